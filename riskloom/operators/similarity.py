@@ -146,7 +146,7 @@ def similar_items(items: DataFrame, k: int, *, id_col: str = "id", vector_col: s
     placed = spark.read.parquet(placed_path)
 
     pairs = F.broadcast(_cell_pairs(placed, centres, k, block_rows))  # at most cells ** 2 rows
-    merged = _compare_blocks(placed, pairs, k)
+    merged = _compare_blocks(placed, spark.read.parquet(placed_path), pairs, k)
 
     # Lists hold at most (k + 1) ** 2 entries before and k + 1 after the cut.
     hits = F.flatten(F.collect_list(
@@ -236,13 +236,16 @@ def _cell_pairs(placed: DataFrame, centres: np.ndarray, k: int, block_rows: int)
     )
 
 
-def _compare_blocks(placed: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The ``k + 1`` nearest distinct vectors of every distinct vector, by block pairs."""
+def _compare_blocks(placed: DataFrame, again: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The ``k + 1`` nearest distinct vectors of every distinct vector, by block pairs.
 
-    def side(own: str, other: str) -> DataFrame:
+    ``again`` reads the same rows as ``placed``; the two sides need columns of their own.
+    """
+
+    def side(rows: DataFrame, own: str, other: str) -> DataFrame:
         number = F.col(f"{own}_first") + F.pmod(F.xxhash64("rep"), F.col(f"{own}_blocks"))
         others = F.sequence(F.col(f"{other}_first"), F.col(f"{other}_first") + F.col(f"{other}_blocks") - 1)
-        return placed.join(pairs, F.col("cell") == F.col(f"{own}_cell")).select(
+        return rows.join(pairs, F.col("cell") == F.col(f"{own}_cell")).select(
             number.alias(f"{own}_block"), F.explode(others).alias(f"{other}_block"), "rep", "ids", "vector"
         )
 
@@ -270,8 +273,7 @@ def _compare_blocks(placed: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
         })
 
     keys = ["r_block", "s_block"]
-    compared = (
-        side("r", "s").groupBy(*keys).cogroup(side("s", "r").groupBy(*keys)).applyInPandas(nearest, schema)
-    )
+    left, right = side(placed, "r", "s"), side(again, "s", "r")
+    compared = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, schema)
     order = [F.col("similarity").desc(), F.col("s_rep").asc()]
     return ranking.top_k_per_group(compared, ["r_rep"], order, k + 1)

@@ -1,4 +1,10 @@
 """Imports every module that registers queries."""
 
-from riskloom.plans import report_queries  # noqa: F401
+from riskloom.plans import (  # noqa: F401
+    cleaning_queries,
+    load_queries,
+    quality_queries,
+    report_queries,
+    text_queries,
+)
 from riskloom.plans.registry import QUERIES, SQL  # noqa: F401

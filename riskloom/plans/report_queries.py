@@ -126,7 +126,7 @@ def sector_events_fanout(spark, sf):
 
 @query("sector_risk", """
 SELECT u3_company_number, company_name, ticker,
-       CAST(sum(CAST(round(dtd * 100) AS BIGINT)) AS DOUBLE) / 100.0 / count(dtd) AS avg_dtd, min(dtd) AS min_dtd
+       CAST(sum(CAST(round(dtd * 100) AS BIGINT)) AS DOUBLE) / (count(dtd) * 100) AS avg_dtd, min(dtd) AS min_dtd
 FROM risk_panel JOIN sector_companies c USING (u3_company_number)
 JOIN industry i ON c.industry_sector_num = i.industry_sector_num
 WHERE industry_sector = 'ASIA' AND year = 1998 GROUP BY 1, 2, 3
@@ -173,7 +173,7 @@ def series_window(spark, sf):
 
 @query("series_window_stats", """
 SELECT count(*) AS n_days, max(purchase) AS peak,
-       CAST(sum(CAST(round(purchase * 100) AS BIGINT)) AS DOUBLE) / 100.0 / count(purchase) AS average,
+       CAST(sum(CAST(round(purchase * 100) AS BIGINT)) AS DOUBLE) / (count(purchase) * 100) AS average,
        max(purchase) > 30 AS above
 FROM macro_wide WHERE date BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' AND purchase IS NOT NULL
 """)

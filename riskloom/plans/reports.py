@@ -21,11 +21,12 @@ def _count(name: str) -> Column:
 
 
 def mean(col: Column, scale: int | None = None) -> Column:
-    """Average; with ``scale`` the sum is taken in decimals of that many digits, so the
-    result does not depend on the order of summation."""
+    """Average; with ``scale`` values of that many decimals are added up as whole units,
+    so the result does not depend on the order of summation."""
     if scale is None:
         return F.avg(col)
-    return F.sum(col.cast(f"decimal(18,{scale})")).cast("double") / F.count(col)
+    units = F.sum(F.round(col * 10**scale).cast("long"))
+    return F.try_divide(units.cast("double"), F.count(col) * 10**scale)
 
 
 def events_in(events: DataFrame, first: str, last: str) -> DataFrame:

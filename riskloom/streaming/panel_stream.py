@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from riskloom import schemas
@@ -16,22 +15,25 @@ _BATCH = "load_batch"
 _COLUMNS = ["company_number", "u3_company_number", "month", *fv.PANEL_MEASURES]
 
 
-def _stored(spark: SparkSession, target: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(_stored_schema()).parquet(target)
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def _stored_schema() -> T.StructType:
+    kinds = {f.name: f.dataType for f in schemas.RISK_INDICATORS.fields}
+    kinds |= {"company_number": T.LongType(), _BATCH: T.LongType()}
+    return T.StructType([T.StructField(n, kinds[n]) for n in [*_COLUMNS, _BATCH, "year"]])
 
 
-def _stored_schema():
-    from pyspark.sql import types as T
+def _stored(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.schema(_stored_schema()).parquet(target)
 
-    kinds = {f.name: f.dataType for f in schemas.RISK_INDICATORS.fields}
-    kinds["company_number"] = T.LongType()
-    kinds[_BATCH] = T.LongType()
-    return T.StructType([T.StructField(n, kinds[n]) for n in [*_COLUMNS, _BATCH, "year"]])
+
+def create_target(spark: SparkSession, target: str) -> None:
+    """Make the target folder if it does not exist yet."""
+    empty = spark.createDataFrame([], _stored_schema())
+    empty.write.mode("ignore").partitionBy(_BATCH, "year").parquet(target)
+
+
+def batch_years(batch: DataFrame) -> DataFrame:
+    """The years a batch touches; reads one column of it."""
+    return loads.panel_rows(batch).select("year").distinct()
 
 
 def append_batch(batch: DataFrame, batch_id: int, known_companies: DataFrame, target: str) -> None:
@@ -43,13 +45,11 @@ def append_batch(batch: DataFrame, batch_id: int, known_companies: DataFrame, ta
     """
     spark = batch.sparkSession
     rows = loads.risk_panel(batch, known_companies)
-    stored = _stored(spark, target)
-    if stored is not None:
-        years = [r["year"] for r in rows.select("year").distinct().collect()]  # calendar years
-        earlier = stored.filter(F.col("year").isin(*years) & (F.col(_BATCH) != batch_id))
-        rows = rows.join(earlier.select(*loads.PANEL_KEY), loads.PANEL_KEY, "left_anti")
+    years = [r["year"] for r in batch_years(batch).collect()]  # as many rows as calendar years
+    earlier = _stored(spark, target).filter(F.col("year").isin(*years) & (F.col(_BATCH) != batch_id))
+    fresh = rows.join(earlier.select(*loads.PANEL_KEY), loads.PANEL_KEY, "left_anti")
     (
-        rows.withColumn(_BATCH, F.lit(batch_id).cast("long"))
+        fresh.withColumn(_BATCH, F.lit(batch_id).cast("long"))
         .select(*_COLUMNS, _BATCH, "year")
         .hint("rebalance", "year")
         .write.mode("overwrite")
@@ -62,6 +62,7 @@ def append_batch(batch: DataFrame, batch_id: int, known_companies: DataFrame, ta
 def stream_panel(spark: SparkSession, source: str, known_companies: DataFrame, target: str,
                  checkpoint: str, max_files: int = 100) -> StreamingQuery:
     """Load all files that have arrived since the last run, then stop."""
+    create_target(spark, target)
     return (
         sheets.stream_panel_csv(spark, source, max_files)
         .writeStream.foreachBatch(
@@ -75,4 +76,4 @@ def stream_panel(spark: SparkSession, source: str, known_companies: DataFrame, t
 
 def stored_panel(spark: SparkSession, target: str) -> DataFrame:
     """What the stream has stored so far."""
-    return spark.read.schema(_stored_schema()).parquet(target).drop(_BATCH)
+    return _stored(spark, target).drop(_BATCH)
