@@ -12,8 +12,9 @@ from riskloom.functions.fixed_values import FORBIDDEN_WORDS
 # Valid inside a SELECT, yet able to write, run code or read arbitrary files.
 _ALSO_REFUSED = ["MERGE", "INTO", "TRANSFORM", "REFLECT", "JAVA_METHOD", "TRY_REFLECT"]
 _PATH_TABLE = r"(?i)\b(parquet|csv|json|orc|text|avro|xml|binaryfile|delta|iceberg)\s*\.\s*`"
-# One statement: everything up to a semicolon that is not inside quotes.
-_STATEMENT = r"(?:'(?:[^']|'')*'|[^';])+"
+# One statement: everything up to a semicolon that is not inside quotes. A doubled quote
+# inside a text reads as the end of one text and the start of the next.
+_STATEMENT = r"(?:[^';]++|'[^']*+(?:'|$))+"
 
 EMPTY = "Empty SQL query"
 DEFAULT_CAP = 100
@@ -33,15 +34,16 @@ def _statement_error(statement: Column, mode: str) -> Column:
         ~F.upper(first_word).isin(*openers),
         F.concat(F.lit("Only SELECT queries allowed, got: "), first_word),
     )
-    hits = []
-    for word in FORBIDDEN_WORDS:
-        found = upper.contains(word) if mode == "substring" else upper.rlike(rf"\b{word}\b")
-        hits.append(F.when(found, F.lit(f"Dangerous keyword detected: {word}")))
-    if mode == "word":
-        for word in _ALSO_REFUSED:
-            hits.append(F.when(upper.rlike(rf"\b{word}\b"), F.lit(f"Dangerous keyword detected: {word}")))
-        hits.append(F.when(statement.rlike(_PATH_TABLE), F.lit("Reading files by path is not allowed")))
-    return F.coalesce(wrong_start, *hits)
+    words = FORBIDDEN_WORDS if mode == "substring" else FORBIDDEN_WORDS + _ALSO_REFUSED
+    edge = "" if mode == "substring" else r"\b"
+    hits = [
+        F.when(upper.rlike(rf"{edge}{word}{edge}"), F.lit(f"Dangerous keyword detected: {word}"))
+        for word in words
+    ]
+    # Most texts hold no such word, and one look settles it.
+    hit = F.when(upper.rlike(rf"{edge}({'|'.join(words)}){edge}"), F.coalesce(*hits))
+    by_path = F.when(statement.rlike(_PATH_TABLE), F.lit("Reading files by path is not allowed"))
+    return F.coalesce(wrong_start, hit) if mode == "substring" else F.coalesce(wrong_start, hit, by_path)
 
 
 def sql_error(sql: Column, mode: str = "word") -> Column:

@@ -11,7 +11,7 @@ def table_profile(tables: dict[str, DataFrame], keys: dict[str, list[str]] | Non
     """One row per column of each table.
 
     Rows, present and distinct values, smallest and largest value, longest text and
-    whether the column belongs to the key; every table is aggregated in one query.
+    whether the column belongs to the key.
     """
     keys = keys or {}
     return reduce(
@@ -26,25 +26,45 @@ def _profile_one(name: str, df: DataFrame, key: set[str]) -> DataFrame:
     for i, f in enumerate(fields):
         col = F.col(f"`{f.name}`")
         aggregates += [
-            F.count(col).alias(f"present{i}"),
-            F.countDistinct(col).alias(f"distinct{i}"),
             F.min(col).cast("string").alias(f"low{i}"),
             F.max(col).cast("string").alias(f"high{i}"),
             F.max(F.length(col.cast("string"))).alias(f"width{i}"),
+            F.count(col).alias(f"present{i}"),
         ]
     rows = [
         F.struct(
+            F.lit(i).alias("place"),
             F.lit(name).alias("table_name"),
             F.lit(f.name).alias("column_name"),
             F.lit(f.dataType.simpleString()).alias("data_type"),
             F.lit(f.name in key).alias("is_key"),
             F.col("rows").alias("n_rows"),
             F.col(f"present{i}").alias("n_present"),
-            F.col(f"distinct{i}").alias("n_distinct"),
             F.col(f"low{i}").alias("min_value"),
             F.col(f"high{i}").alias("max_value"),
             F.col(f"width{i}").cast("long").alias("max_width"),
         )
         for i, f in enumerate(fields)
     ]
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    stats = df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    return stats.join(_distinct_values(df), "place", "left").select(
+        "table_name", "column_name", "data_type", "is_key", "n_rows", "n_present",
+        F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
+        "min_value", "max_value", "max_width",
+    )
+
+
+def _distinct_values(df: DataFrame) -> DataFrame:
+    """Exact distinct counts of all columns as ``(place, n_distinct)``.
+
+    Values are laid out as (column, text) and counted in two steps, so rows stay narrow
+    and repeated values collapse before they are shuffled.
+    """
+    cells = []
+    for i, f in enumerate(df.schema.fields):
+        col = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("double", "float"):
+            col = F.when(col == 0, F.lit(0.0)).otherwise(col)  # 0.0 and -0.0 are one value
+        cells.append(F.struct(F.lit(i).alias("place"), col.cast("string").alias("value")))
+    values = df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+    return values.distinct().groupBy("place").agg(F.count(F.lit(1)).alias("n_distinct"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -13,10 +14,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from riskloom.operators import ranking
 from riskloom.session import scratch_path
+from riskloom.sources import sinks
 
 # Similarities are rounded to this many digits, so that equal directions tie exactly
 # and are then ordered by id.
 DIGITS = 12
+# Rows scored at a time, to bound the memory of a task.
+CHUNK = 2048
 # A request carries few query vectors; they travel with the task, not as a table.
 MAX_QUERIES = 1000
 
@@ -52,10 +56,12 @@ def search(items: DataFrame, queries: dict[int, Sequence[float]], k: int, *,
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, pd.DataFrame] = {}
         for batch in batches:
-            for name, vector in zip(names, vectors):
-                ids, rows = _dense(batch.column(0), batch.column(1), len(vector))
-                found = pd.DataFrame({id_col: ids, "similarity": _cosine_to(rows, vector)}).dropna()
-                best[name] = _head(pd.concat([best[name], found]) if name in best else found, id_col, k)
+            for start in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(start, CHUNK)
+                for name, vector in zip(names, vectors):
+                    ids, rows = _dense(part.column(0), part.column(1), len(vector))
+                    found = pd.DataFrame({id_col: ids, "similarity": _cosine_to(rows, vector)}).dropna()
+                    best[name] = _head(pd.concat([best[name], found]) if name in best else found, id_col, k)
         for name, frame in best.items():
             frame.insert(0, "query_id", name)
             yield pa.RecordBatch.from_pandas(frame, schema=arrow_schema, preserve_index=False)
@@ -125,7 +131,7 @@ def similar_items(items: DataFrame, k: int, *, id_col: str = "id", vector_col: s
 
     1. Equal vectors are folded into one, with the ``k + 1`` lowest ids among them; no
        more of them can ever be listed for one item.
-    2. A fixed number of vectors serve as cell centres. Each vector joins its nearest
+    2. A few vectors, ``cells`` at most, serve as cell centres. Each vector joins its nearest
        centre, and cells are cut into blocks of about ``block_rows`` rows, so a cell
        that holds a third of all rows is simply many blocks.
     3. By the triangle inequality for angles, pairs of cells too far apart to matter are
@@ -135,12 +141,12 @@ def similar_items(items: DataFrame, k: int, *, id_col: str = "id", vector_col: s
     """
     spark = items.sparkSession
     folded_path = scratch_path(spark, "folded-vectors")
-    _fold_copies(items, k, id_col, vector_col).write.parquet(folded_path)
+    distinct = sinks.write_table(_fold_copies(items, k, id_col, vector_col), folded_path)
+    if not distinct:
+        return spark.createDataFrame([], _neighbour_schema(items, id_col))
     folded = spark.read.parquet(folded_path)
 
-    centres = _centres(folded, cells)
-    if not centres.size:
-        return spark.createDataFrame([], _neighbour_schema(items, id_col))
+    centres = _centres(folded, min(cells, math.ceil(distinct / block_rows)))
     placed_path = scratch_path(spark, "placed-vectors")
     _place(folded, centres).write.parquet(placed_path)
     placed = spark.read.parquet(placed_path)
@@ -193,7 +199,7 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 def _centres(folded: DataFrame, cells: int) -> np.ndarray:
     picked = ranking.top_k(folded, [F.xxhash64("rep").asc(), F.col("rep").asc()], cells)
     rows = [r["vector"] for r in picked.select("vector").collect()]  # at most `cells` vectors
-    return _unit(pd.Series(rows)) if rows else np.empty((0, 0))
+    return _unit(pd.Series(rows))
 
 
 def _place(folded: DataFrame, centres: np.ndarray) -> DataFrame:

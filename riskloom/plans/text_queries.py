@@ -109,11 +109,11 @@ def company_profile(spark, sf):
 
 
 @query("pending_embeddings", """
-SELECT doc_id, text FROM documents ANTI JOIN labels USING (doc_id) ORDER BY doc_id LIMIT 100
+SELECT doc_id, text FROM documents ANTI JOIN labels USING (doc_id)
 """)
 def pending_embeddings(spark, sf):
     documents = b.table(spark, sf, "documents").select("doc_id", "text")
-    return integrity.pending(documents, b.table(spark, sf, "labels"), "doc_id", limit=100)
+    return integrity.pending(documents, b.table(spark, sf, "labels"), "doc_id")
 
 
 def _query_vectors(n: int) -> dict[int, list[float]]:
