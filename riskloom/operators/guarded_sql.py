@@ -13,8 +13,9 @@ from riskloom.functions.fixed_values import FORBIDDEN_WORDS
 _ALSO_REFUSED = ["MERGE", "INTO", "TRANSFORM", "REFLECT", "JAVA_METHOD", "TRY_REFLECT"]
 _PATH_TABLE = r"(?i)\b(parquet|csv|json|orc|text|avro|xml|binaryfile|delta|iceberg)\s*\.\s*`"
 # One statement: everything up to a semicolon that is not inside quotes. A doubled quote
-# inside a text reads as the end of one text and the start of the next.
-_STATEMENT = r"(?:[^';]++|'[^']*+(?:'|$))+"
+# inside a text reads as the end of one text and the start of the next. The possessive
+# quantifiers match without recursion, so texts may be of any length.
+_STATEMENT = r"(?:[^';]++|'[^']*+(?:'|$))++"
 
 EMPTY = "Empty SQL query"
 DEFAULT_CAP = 100
