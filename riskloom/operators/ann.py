@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.operators import ranking, similarity
+from riskloom.operators import similarity
 
 # Rows used to place the cell centres; all rows are then assigned.
 TRAINING_ROWS = 1_000_000
@@ -52,23 +51,22 @@ def search_index(spark: SparkSession, path: str, queries: dict[int, Sequence[flo
                  probes: int = 8, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """Top ``k`` per query among the ``probes`` cells nearest to it.
 
-    The cells are chosen on the driver from the centres (as many rows as cells), so each
-    scan is pruned to their partitions; inside them the ranking is exact.
+    The cells are chosen on the driver from the centres (as many rows as cells), so the
+    scan is pruned to their partitions; inside them the ranking is exact. All queries
+    share one scan, and each sees only its own cells.
     """
     centres = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
     matrix = np.array([c["centre"] for c in centres])
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    items = spark.read.parquet(f"{path}/items")
-    groups: dict[tuple[int, ...], dict[int, Sequence[float]]] = {}
-    for query_id, vector in queries.items():
-        near = np.argsort(-(matrix @ np.asarray(vector, dtype=float)), kind="stable")[:probes]
-        groups.setdefault(tuple(sorted(int(centres[i]["cell"]) for i in near)), {})[query_id] = vector
-    found = [
-        similarity.search(items.filter(F.col("cell").isin(*cells)), members, k,
-                          id_col=id_col, vector_col=vector_col)
-        for cells, members in groups.items()
-    ]
-    return reduce(DataFrame.unionByName, found)
+    cells = {
+        query_id: {
+            centres[i]["cell"]
+            for i in np.argsort(-(matrix @ np.asarray(vector, dtype=float)), kind="stable")[:probes]
+        }
+        for query_id, vector in queries.items()
+    }
+    items = spark.read.parquet(f"{path}/items").filter(F.col("cell").isin(*set().union(*cells.values())))
+    return similarity.search(items, queries, k, id_col=id_col, vector_col=vector_col, scope=("cell", cells))
 
 
 def recall(approximate: DataFrame, exact: DataFrame, id_col: str = "id") -> DataFrame:

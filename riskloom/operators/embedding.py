@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from riskloom.operators import integrity
+from riskloom.operators import integrity, similarity
 
 MIN_LENGTH = 10
 HASHING_MODEL = "hashing-tf"
@@ -79,3 +79,22 @@ def embed_pending(df: DataFrame, done: DataFrame, embed: Callable[[DataFrame], D
                   id_col: str = "id", limit: int | None = None) -> DataFrame:
     """Embed only the items without a vector; append the result to resume later."""
     return embed(integrity.pending(df, done, id_col, limit=limit))
+
+
+def query_vectors(spark: SparkSession, texts: dict[int, str],
+                  embed: Callable[[DataFrame], DataFrame]) -> dict[int, list[float]]:
+    """Vectors of a few query texts, made the same way as those of the items.
+
+    Texts that are too short for an embedding get none.
+    """
+    if len(texts) > similarity.MAX_QUERIES:
+        raise ValueError(f"at most {similarity.MAX_QUERIES} query texts per search")
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    return {r["id"]: list(r["embedding"]) for r in embed(df).select("id", "embedding").collect()}
+
+
+def search_texts(items: DataFrame, texts: dict[int, str], embed: Callable[[DataFrame], DataFrame], k: int, *,
+                 id_col: str = "id", filters: dict | None = None) -> DataFrame:
+    """The ``k`` items most similar to each query text."""
+    vectors = query_vectors(items.sparkSession, texts, embed)
+    return similarity.search(items, vectors, k, id_col=id_col, filters=filters)

@@ -21,6 +21,8 @@ from riskloom.sources import sinks
 DIGITS = 12
 # Rows scored at a time, to bound the memory of a task.
 CHUNK = 2048
+# Rows of one block compared with another block at a time.
+BLOCK_CHUNK = 512
 # A request carries few query vectors; they travel with the task, not as a table.
 MAX_QUERIES = 1000
 
@@ -34,13 +36,14 @@ def with_filters(items: DataFrame, filters: dict | None) -> DataFrame:
 
 def search(items: DataFrame, queries: dict[int, Sequence[float]], k: int, *,
            id_col: str = "id", vector_col: str = "embedding",
-           filters: dict | None = None) -> DataFrame:
+           filters: dict | None = None, scope: tuple[str, dict[int, set]] | None = None) -> DataFrame:
     """The ``k`` most similar items for each query vector.
 
     Gives ``(query_id, <id_col>, similarity, rank)``. Items are read once; every task
     scores its rows against all query vectors and keeps ``k`` rows per query, so the
     shuffle carries tasks x queries x k rows however many items there are. Vectors that
     are NULL, of another width or without length have no similarity and are left out.
+    ``scope`` names a column and, per query, the values of it that the query may see.
     """
     if len(queries) > MAX_QUERIES:
         raise ValueError(f"at most {MAX_QUERIES} query vectors per search")
@@ -53,12 +56,18 @@ def search(items: DataFrame, queries: dict[int, Sequence[float]], k: int, *,
         T.StructField("similarity", T.DoubleType()),
     ])
 
+    def visible(part: pa.RecordBatch, query_id: int) -> pa.RecordBatch:
+        if scope is None:
+            return part
+        return part.filter(pc.is_in(part.column(2), value_set=pa.array(list(scope[1][query_id]))))
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, pd.DataFrame] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(start, CHUNK)
+                rows_left = batch.slice(start, CHUNK)
                 for name, vector in zip(names, vectors):
+                    part = visible(rows_left, name)
                     ids, rows = _dense(part.column(0), part.column(1), len(vector))
                     found = pd.DataFrame({id_col: ids, "similarity": _cosine_to(rows, vector)}).dropna()
                     best[name] = _head(pd.concat([best[name], found]) if name in best else found, id_col, k)
@@ -67,7 +76,8 @@ def search(items: DataFrame, queries: dict[int, Sequence[float]], k: int, *,
             yield pa.RecordBatch.from_pandas(frame, schema=arrow_schema, preserve_index=False)
 
     arrow_schema = _arrow_schema(schema)
-    scored = with_filters(items, filters).select(id_col, vector_col).mapInArrow(score, schema)
+    columns = [id_col, vector_col] + ([scope[0]] if scope else [])
+    scored = with_filters(items, filters).select(*columns).mapInArrow(score, schema)
     order = [F.col("similarity").desc(), F.col(id_col).asc()]
     return ranking.top_k_per_group(scored, ["query_id"], order, k)
 
@@ -123,8 +133,26 @@ def hybrid_search(entities: dict[str, DataFrame], queries: dict[int, Sequence[fl
     )
 
 
+def sources(hits: DataFrame, companies: DataFrame, events: DataFrame, id_col: str = "id") -> DataFrame:
+    """What the hits of a hybrid search refer to, as ``(entity, id, name, detail)``.
+
+    A company shows its name and ticker, an event its kind and date. There are few hits,
+    so Spark broadcasts them and neither table is shuffled.
+    """
+    wanted = hits.select("query_id", "entity", "rank", id_col)
+    of_company = wanted.filter(F.col("entity") == "company").join(
+        companies.select(F.col("u3_company_number").alias(id_col), F.col("company_name").alias("name"),
+                         F.col("ticker").alias("detail")), id_col,
+    )
+    of_event = wanted.filter(F.col("entity") == "event").join(
+        events.select(F.col("id").alias(id_col), F.col("action_name").alias("name"),
+                      F.col("announcement_date").cast("string").alias("detail")), id_col,
+    )
+    return of_company.unionByName(of_event)
+
+
 def similar_items(items: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding",
-                  cells: int = 64, block_rows: int = 2048) -> DataFrame:
+                  cells: int = 64, block_rows: int = 8192) -> DataFrame:
     """The ``k`` nearest items of every item, exactly.
 
     Gives ``(<id_col>, neighbour_id, similarity, rank)``. The job has four steps:
@@ -264,19 +292,22 @@ def _compare_blocks(placed: DataFrame, again: DataFrame, pairs: DataFrame, k: in
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=schema.names)
+        # In order of `rep`, so that a stable sort by similarity leaves ties by `rep`.
         right = right.sort_values("rep", ignore_index=True)
-        cosines = np.round(_unit(left["vector"]) @ _unit(right["vector"]).T, DIGITS)
-        keep = min(k + 1, len(right))
-        # A stable sort leaves ties in order of `rep`.
-        columns = np.argsort(-cosines, axis=1, kind="stable")[:, :keep]
-        rows = np.repeat(np.arange(len(left)), keep)
-        columns = columns.ravel()
-        return pd.DataFrame({
-            "r_rep": left["rep"].to_numpy()[rows],
-            "s_rep": right["rep"].to_numpy()[columns],
-            "similarity": cosines[rows, columns],
-            "s_ids": right["ids"].to_numpy()[columns],
-        })
+        units, keep = _unit(right["vector"]).T, min(k + 1, len(right))
+        found = []
+        for start in range(0, len(left), BLOCK_CHUNK):
+            part = left.iloc[start:start + BLOCK_CHUNK]
+            cosines = np.round(_unit(part["vector"]) @ units, DIGITS)
+            columns = np.argsort(-cosines, axis=1, kind="stable")[:, :keep].ravel()
+            rows = np.repeat(np.arange(len(part)), keep)
+            found.append(pd.DataFrame({
+                "r_rep": part["rep"].to_numpy()[rows],
+                "s_rep": right["rep"].to_numpy()[columns],
+                "similarity": cosines[rows, columns],
+                "s_ids": right["ids"].to_numpy()[columns],
+            }))
+        return pd.concat(found)
 
     keys = ["r_block", "s_block"]
     left, right = side(placed, "r", "s"), side(again, "s", "r")

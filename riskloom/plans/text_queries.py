@@ -199,3 +199,29 @@ def ann_topk(spark, sf):
 @query("embed_hashing")
 def embed_hashing(spark, sf):
     return embedding.embed_by_hashing(b.table(spark, sf, "documents"), id_col="doc_id")
+
+
+@query("hybrid_sources", f"""
+WITH hits AS (
+  {_topk_sql(3, 5, "WHERE label < 5", ", 'company' AS entity")}
+  UNION ALL {_topk_sql(3, 5, "WHERE label >= 5", ", 'event' AS entity")}
+)
+SELECT query_id, entity, rank, vec_id, company_name AS name, ticker AS detail
+FROM hits JOIN companies ON vec_id = u3_company_number WHERE entity = 'company'
+UNION ALL
+SELECT query_id, entity, rank, vec_id, action_name, CAST(announcement_date AS VARCHAR)
+FROM hits JOIN credit_events ON vec_id = id WHERE entity = 'event'
+""")
+def hybrid_sources(spark, sf):
+    items = b.table(spark, sf, "embeddings")
+    kinds = {"company": items.filter("label < 5"), "event": items.filter("label >= 5")}
+    hits = similarity.hybrid_search(kinds, _query_vectors(3), 5, id_col="vec_id")
+    return similarity.sources(hits, b.companies(spark, sf), b.credit_events(spark, sf), id_col="vec_id")
+
+
+@query("text_search")
+def text_search(spark, sf):
+    documents = b.table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
+    texts = {1: "the license of this document", 2: "copyright and all rights reserved"}
+    items = embedding.embed_by_hashing(documents)
+    return _rounded(embedding.search_texts(items, texts, embedding.embed_by_hashing, 10))

@@ -8,11 +8,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+CLUSTER_PARTITIONS = 4096
+
+
 def build_session(master: str | None = None, app: str = "riskloom", **conf: str) -> SparkSession:
     """A session with adaptive execution and skew handling on and UTC time.
 
-    Shuffle partitions start high on a cluster and are coalesced at run time, so the
-    same setting serves small and very large inputs.
+    On a cluster shuffles start with many partitions and are coalesced at run time, so
+    the same setting serves small and large inputs; raise ``CLUSTER_PARTITIONS`` where a
+    shuffle exceeds some hundred gigabytes.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -23,8 +27,10 @@ def build_session(master: str | None = None, app: str = "riskloom", **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        **conf,
     }
+    if not (master or "").startswith("local"):
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(CLUSTER_PARTITIONS)
+    settings |= conf
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

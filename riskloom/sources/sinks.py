@@ -26,13 +26,16 @@ def with_audit_columns(df: DataFrame, *names: str) -> DataFrame:
 
 def write_table(df: DataFrame, target: str, *, mode: str = "overwrite",
                 partition_by: list[str] | None = None, sort_by: list[str] | None = None,
-                catalog: bool = False) -> int:
+                catalog: bool = False, buckets: tuple[int, str] | None = None) -> int:
     """Write a table as Parquet and return the number of rows written.
 
     The count is observed during the write, not computed by a second job. Partitioned
     tables are rebalanced first: files get an even size, a small partition is one file
-    and a huge one is split over many tasks.
+    and a huge one is split over many tasks. ``buckets`` (number, key) lays a catalog
+    table out by a key: joins and aggregations on it then need no shuffle.
     """
+    if buckets and not catalog:
+        raise ValueError("only catalog tables can be bucketed")
     rows = Observation(f"rows-{uuid.uuid4().hex}")
     out = df.observe(rows, F.count(F.lit(1)).alias("n"))
     if partition_by:
@@ -42,6 +45,8 @@ def write_table(df: DataFrame, target: str, *, mode: str = "overwrite",
     writer = out.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if buckets:
+        writer = writer.bucketBy(*buckets).sortBy(buckets[1])
     if catalog:
         writer.saveAsTable(target)
     else:

@@ -147,3 +147,16 @@ def test_stream_adds_each_month_once(spark, tmp_path):
     panel_stream.append_batch(again, 1, known, target)
     rows = panel_stream.stored_panel(spark, target).collect()
     assert len(rows) == 3
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 50).alias("u3_company_number"), "id")
+    for name in ("bucketed_a", "bucketed_b"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        assert sinks.write_table(df, name, catalog=True, buckets=(4, "u3_company_number")) == 1000
+    a, other = spark.table("bucketed_a").hint("merge"), spark.table("bucketed_b")
+    joined = a.join(other, "u3_company_number").groupBy("u3_company_number").count()
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.agg(F.sum("count")).first()[0] == 50 * 20 * 20
+    with pytest.raises(ValueError):
+        sinks.write_table(df, "/nowhere", buckets=(4, "id"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,10 +91,9 @@ def test_distant_cells_are_not_compared(spark):
         (i, (centres[i % 4] + rng.normal(scale=0.01, size=4)).tolist()) for i in range(400)
     ]
     items = spark.createDataFrame(rows, "id long, embedding array<double>")
-    placed = similarity._place(
-        similarity._fold_copies(items, 3, "id", "embedding"), similarity._unit(__import__("pandas").Series([r[1] for r in rows[:4]]))
-    )
-    pairs = similarity._cell_pairs(placed, similarity._unit(__import__("pandas").Series([r[1] for r in rows[:4]])), 3, 50)
+    units = similarity._unit(pd.Series([r[1] for r in rows[:4]]))
+    placed = similarity._place(similarity._fold_copies(items, 3, "id", "embedding"), units)
+    pairs = similarity._cell_pairs(placed, units, 3, 50)
     assert sorted((r["r_cell"], r["s_cell"]) for r in pairs.collect()) == [(i, i) for i in range(4)]
 
 
