@@ -123,7 +123,8 @@ def company_profile(companies: DataFrame, events: DataFrame, company: int | None
 
     Without ``company`` the profile of every company is built. An unknown company gives
     no row. The first page opens with the company block; pages have at most
-    ``page_size`` events each.
+    ``page_size`` events each. Pages are the left side of an inner join, which Spark can
+    split where one company owns very many of them; companies without events come apart.
     """
     if company is not None:
         companies = companies.filter(F.col("u3_company_number") == company)
@@ -137,13 +138,12 @@ def company_profile(companies: DataFrame, events: DataFrame, company: int | None
         F.count(F.lit(1)).alias("n_events"), _in_order("position", "block", "\n\n").alias("event_blocks")
     )
     own = company_block(F.col("company_name"), F.col("ticker"), F.col("sector"), F.col("industry"))
-    page = F.coalesce(F.col("page_no"), F.lit(0))
-    return companies.join(pages, "u3_company_number", "left").select(
-        "u3_company_number",
-        page.alias("page_no"),
-        F.coalesce(F.col("n_events"), F.lit(0)).alias("n_events"),
-        join_blocks(
-            F.when(page == 0, own).otherwise(F.lit("")),
-            F.coalesce(F.col("event_blocks"), F.lit("")),
-        ).alias("context"),
+    with_events = pages.join(companies, "u3_company_number").select(
+        "u3_company_number", "page_no", "n_events",
+        join_blocks(F.when(F.col("page_no") == 0, own).otherwise(F.lit("")), F.col("event_blocks")).alias("context"),
+    )
+    quiet = companies.join(events.select("u3_company_number").distinct(), "u3_company_number", "left_anti").select(
+        "u3_company_number", F.lit(0).cast("long").alias("page_no"), F.lit(0).cast("long").alias("n_events"),
+        join_blocks(own, F.lit("")).alias("context"),
     )
+    return with_events.unionByName(quiet)

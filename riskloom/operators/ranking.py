@@ -36,6 +36,9 @@ def number_rows(df: DataFrame, group: list[str], slices: dict[str, Column],
     keys = list(slices)
     sliced = df.withColumns(slices)
     counts = sliced.groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    if len(keys) > 1:
+        # One shuffle serves both the totals and the running sums of the last level.
+        counts = counts.repartition(*group, *keys[:-1])
 
     offsets = None
     for depth in range(1, len(keys) + 1):

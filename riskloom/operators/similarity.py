@@ -25,6 +25,8 @@ CHUNK = 2048
 BLOCK_CHUNK = 512
 # A request carries few query vectors; they travel with the task, not as a table.
 MAX_QUERIES = 1000
+# Hits of one search over all its queries; this many rows may be broadcast.
+MAX_HITS = 100_000
 
 
 def with_filters(items: DataFrame, filters: dict | None) -> DataFrame:
@@ -47,6 +49,8 @@ def search(items: DataFrame, queries: dict[int, Sequence[float]], k: int, *,
     """
     if len(queries) > MAX_QUERIES:
         raise ValueError(f"at most {MAX_QUERIES} query vectors per search")
+    if len(queries) * k > MAX_HITS:
+        raise ValueError(f"queries times k may not exceed {MAX_HITS}")
     names = list(queries)
     vectors = [np.asarray(queries[q], dtype=float) for q in names]
     id_field = items.schema[id_col]
@@ -136,19 +140,21 @@ def hybrid_search(entities: dict[str, DataFrame], queries: dict[int, Sequence[fl
 def sources(hits: DataFrame, companies: DataFrame, events: DataFrame, id_col: str = "id") -> DataFrame:
     """What the hits of a hybrid search refer to, as ``(entity, id, name, detail)``.
 
-    A company shows its name and ticker, an event its kind and date. There are few hits,
-    so Spark broadcasts them and neither table is shuffled.
+    A company shows its name and ticker, an event its kind and date. A search gives at
+    most ``MAX_HITS`` rows per kind, so the hits are broadcast and no table is shuffled.
     """
     wanted = hits.select("query_id", "entity", "rank", id_col)
-    of_company = wanted.filter(F.col("entity") == "company").join(
-        companies.select(F.col("u3_company_number").alias(id_col), F.col("company_name").alias("name"),
-                         F.col("ticker").alias("detail")), id_col,
-    )
-    of_event = wanted.filter(F.col("entity") == "event").join(
-        events.select(F.col("id").alias(id_col), F.col("action_name").alias("name"),
-                      F.col("announcement_date").cast("string").alias("detail")), id_col,
-    )
-    return of_company.unionByName(of_event)
+    named = {
+        "company": companies.select(F.col("u3_company_number").alias(id_col), F.col("company_name").alias("name"),
+                                    F.col("ticker").alias("detail")),
+        "event": events.select(F.col("id").alias(id_col), F.col("action_name").alias("name"),
+                               F.col("announcement_date").cast("string").alias("detail")),
+    }
+    found = [
+        table.join(F.broadcast(wanted.filter(F.col("entity") == kind)), id_col)
+        for kind, table in named.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def similar_items(items: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding",

@@ -177,8 +177,8 @@ def _plan(spark: SparkSession, table: str, path: str, target: str) -> DataFrame:
 
 _LAYOUT = {
     "risk_indicators": {"partition_by": ["year"], "sort_by": ["u3_company_number", "month"]},
-    "credit_events": {"sort_by": ["u3_company_number", "announcement_date"]},
-    "companies": {"sort_by": ["u3_company_number"]},
+    "credit_events": {"cluster_by": ["u3_company_number", "announcement_date", "id"]},
+    "companies": {"cluster_by": ["u3_company_number"]},
     "macro_commodities": {"sort_by": ["date"]},
     "macro_us": {"sort_by": ["date"]},
 }

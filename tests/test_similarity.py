@@ -57,6 +57,13 @@ def test_search_for_more_than_there_is(items, vectors):
     assert got.count() == 299  # all but the zero vector and the two unfit ones
 
 
+def test_requests_are_bounded(items):
+    with pytest.raises(ValueError):
+        similarity.search(items, {i: [1.0] * 8 for i in range(1001)}, 1)
+    with pytest.raises(ValueError):
+        similarity.search(items, {1: [1.0] * 8}, 100_001)
+
+
 def test_similar_to_leaves_the_item_out(items, vectors):
     close(listed(similarity.similar_to(items, 3, 4), 3), brute(vectors, vectors[3], 4, skip=(3,)))
     assert similarity.similar_to(items, 12345, 4).count() == 0
