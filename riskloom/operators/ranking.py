@@ -24,15 +24,33 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
     return df.withColumn(rank_name, F.row_number().over(window)).filter(F.col(rank_name) <= k)
 
 
+# Rows of one group that a single task may sort.
+GROUP_LIMIT = 1_000_000
+
+
 def number_rows(df: DataFrame, group: list[str], slices: dict[str, Column],
                 order: list[Column], name: str = "position") -> DataFrame:
-    """Position (from 0) of every row in its group, without one task per group.
+    """Position (from 0) of every row in its group, without one task per large group.
+
+    The size of the largest group is looked up first, in a job that reads only the group
+    columns. If every group fits a task, a plain window numbers them.
 
-    ``slices`` cut a group into consecutive pieces, coarse to fine: each is a non-null
-    expression that never decreases along ``order`` within the slice above it. Rows are
-    counted per slice first (combined before the shuffle), the running totals of those
+    Otherwise ``slices`` cut a group into consecutive pieces, coarse to fine: each is a
+    non-null expression that never decreases along the order within the slice above it.
+    Rows are counted per slice (combined before the shuffle), the running totals of those
     counts give each slice its offset, and only rows of one slice are sorted together.
+    ``order`` sorts the rows of a finest slice.
     """
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= GROUP_LIMIT:
+        whole = Window.partitionBy(*group).orderBy(*slices.values(), *order)
+        return df.withColumn(name, F.row_number().over(whole).cast("long") - 1)
+    return _number_slices(df, group, slices, order, name)
+
+
+def _number_slices(df: DataFrame, group: list[str], slices: dict[str, Column],
+                   order: list[Column], name: str) -> DataFrame:
     keys = list(slices)
     sliced = df.withColumns(slices)
     counts = sliced.groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("_n"))

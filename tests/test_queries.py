@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import check_oracle
-from riskloom.operators import context
+from riskloom.operators import context, ranking
 from riskloom.plans import bindings as b, reports
 
 WITHOUT_SQL = {"ann_topk", "embed_hashing", "text_search"}
@@ -56,8 +56,10 @@ def test_key_filter_reaches_both_sides(spark, data):
     assert "EqualTo(o_custkey,7)" in plan and "EqualTo(c_custkey,7)" in plan
 
 
-def test_hot_company_gives_the_same_rows(spark, data):
+@pytest.mark.parametrize("limit", [50, 1_000_000])
+def test_hot_company_gives_the_same_rows(spark, data, monkeypatch, limit):
     """A third of all events belong to one company; pages and counts stay exact."""
+    monkeypatch.setattr(ranking, "GROUP_LIMIT", limit)
     events = b.credit_events(spark, data)
     hot = events.withColumn(
         "u3_company_number", F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("u3_company_number"))

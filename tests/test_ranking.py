@@ -1,11 +1,14 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import integrity, ranking
 
 
-def test_positions_in_hot_and_small_groups(spark):
+@pytest.mark.parametrize("limit", [100, 1_000_000])
+def test_positions_in_hot_and_small_groups(spark, monkeypatch, limit):
+    monkeypatch.setattr(ranking, "GROUP_LIMIT", limit)
     rng = random.Random(3)
     rows = [("hot", rng.randrange(4), i) for i in range(3000)] + [
         (f"g{rng.randrange(200)}", rng.randrange(50), i) for i in range(3000, 9000)
@@ -22,7 +25,8 @@ def test_positions_in_hot_and_small_groups(spark):
     assert {(r["g"], r["day"], r["id"]): r["position"] for r in got.collect()} == expected
 
 
-def test_hot_group_is_spread_over_slices(spark):
+def test_hot_group_is_spread_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "GROUP_LIMIT", 1000)
     df = spark.range(20000).select(F.lit("hot").alias("g"), (F.col("id") % 3).alias("day"), "id")
     got = ranking.number_rows(
         df, ["g"], {"_d": F.col("day"), "_s": F.floor(F.col("id") / 500.0)}, [F.col("id").asc()]
@@ -33,7 +37,9 @@ def test_hot_group_is_spread_over_slices(spark):
     assert got.agg(F.countDistinct("position"), F.max("position")).first()[:] == (20000, 19999)
 
 
-def test_surrogate_ids_are_dense(spark):
+@pytest.mark.parametrize("limit", [2, 1_000_000])
+def test_surrogate_ids_are_dense(spark, monkeypatch, limit):
+    monkeypatch.setattr(ranking, "GROUP_LIMIT", limit)
     df = spark.createDataFrame([(k,) for k in (5, -7, 10**12, 999_999, 1_000_000, 2)], "key long")
     got = ranking.surrogate_ids(df, "key")
     assert [tuple(r) for r in got.orderBy("id").select("id", "key").collect()] == list(
