@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskloom.functions import clean
 from riskloom.operators import ranking
 
+# Fixed wording of the documents; the labels of the blocks below are fixed as well.
 NOTHING_FOUND = "No relevant data found."
 _COMPANIES = "## Relevant Companies:"
 _EVENTS = "\n## Relevant Credit Events:"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from riskloom.operators import integrity, similarity
 
@@ -81,6 +82,28 @@ def embed_pending(df: DataFrame, done: DataFrame, embed: Callable[[DataFrame], D
     return embed(integrity.pending(df, done, id_col, limit=limit))
 
 
+def refresh_embeddings(items: DataFrame, target: str, embed: Callable[[DataFrame], DataFrame], *,
+                       id_col: str = "id", limit: int | None = None) -> DataFrame:
+    """Embed what ``target`` does not hold yet and append it there.
+
+    Gives ``(processed, skipped, total)`` of this run. A run that breaks off leaves only
+    whole earlier appends, so the next one goes on from there. The counts are taken
+    during the write.
+    """
+    spark = items.sparkSession
+    schema = embed(items.limit(0)).schema
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(target)
+    done = spark.read.schema(schema).parquet(target)
+    todo, made = (Observation(f"{n}-{uuid.uuid4().hex}") for n in ("todo", "made"))
+    n = F.count(F.lit(1)).alias("n")
+    rest = integrity.pending(items, done, id_col, limit=limit).observe(todo, n)
+    embed(rest).observe(made, n).write.mode("append").parquet(target)
+    total, processed = todo.get["n"], made.get["n"]
+    return spark.createDataFrame(
+        [(processed, total - processed, total)], "processed long, skipped long, total long"
+    )
+
+
 def query_vectors(spark: SparkSession, texts: dict[int, str],
                   embed: Callable[[DataFrame], DataFrame]) -> dict[int, list[float]]:
     """Vectors of a few query texts, made the same way as those of the items.

@@ -17,7 +17,11 @@ _PATH_TABLE = r"(?i)\b(parquet|csv|json|orc|text|avro|xml|binaryfile|delta|icebe
 # quantifiers match without recursion, so texts may be of any length.
 _STATEMENT = r"(?:[^';]++|'[^']*+(?:'|$))++"
 
+# Fixed wording of the messages.
 EMPTY = "Empty SQL query"
+WRONG_START = "Only SELECT queries allowed, got: "
+FORBIDDEN = "Dangerous keyword detected: "
+
 DEFAULT_CAP = 100
 
 
@@ -33,12 +37,12 @@ def _statement_error(statement: Column, mode: str) -> Column:
     openers = ["SELECT"] if mode == "substring" else ["SELECT", "WITH"]
     wrong_start = F.when(
         ~F.upper(first_word).isin(*openers),
-        F.concat(F.lit("Only SELECT queries allowed, got: "), first_word),
+        F.concat(F.lit(WRONG_START), first_word),
     )
     words = FORBIDDEN_WORDS if mode == "substring" else FORBIDDEN_WORDS + _ALSO_REFUSED
     edge = "" if mode == "substring" else r"\b"
     hits = [
-        F.when(upper.rlike(rf"{edge}{word}{edge}"), F.lit(f"Dangerous keyword detected: {word}"))
+        F.when(upper.rlike(rf"{edge}{word}{edge}"), F.lit(FORBIDDEN + word))
         for word in words
     ]
     # Most texts hold no such word, and one look settles it.

@@ -47,7 +47,8 @@ def companies(raw: DataFrame) -> DataFrame:
     return sinks.conform(sinks.with_audit_columns(table, "created_at", "updated_at"), schemas.COMPANIES)
 
 
-def credit_events(raw: DataFrame) -> DataFrame:
+def credit_events(raw: DataFrame, known_companies: DataFrame | None = None) -> DataFrame:
+    """Typed events; with ``known_companies`` events of other companies are left out."""
     table = raw.select(
         clean.required_int(F.col("u3_company_number"), "u3_company_number").alias("u3_company_number"),
         clean.to_int(_maybe(raw, "id_bb_company")).alias("id_bb_company"),
@@ -57,6 +58,8 @@ def credit_events(raw: DataFrame) -> DataFrame:
         clean.clean_blank(_maybe(raw, "action_name")).alias("action_name"),
         F.trim(clean.clean_blank(_maybe(raw, "subcategory"))).alias("subcategory"),
     )
+    if known_companies is not None:
+        table = integrity.keep_known(table, known_companies, "u3_company_number")
     return sinks.conform(
         sinks.with_audit_columns(ranking.unique_ids(table), "created_at"), schemas.CREDIT_EVENTS
     )
@@ -204,3 +207,11 @@ def load_all(spark: SparkSession, source: str, target: str,
         log.info("%s: %d rows in %.2f s", table, rows, time.monotonic() - started)
         stats.append((table, rows))
     return spark.createDataFrame(stats, "table_name string, n_rows long")
+
+
+def open_tables(spark: SparkSession, target: str, only: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """The loaded tables by name, ready for reports or guarded SQL."""
+    return {
+        name: spark.read.schema(schemas.TABLES[name]).parquet(f"{target}/{name}")
+        for name in (SHEET_FILES if only is None else only)
+    }

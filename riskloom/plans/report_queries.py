@@ -207,6 +207,18 @@ def table_counts(spark, sf):
     })
 
 
+@query("date_spans", """
+SELECT 'credit_events' AS table_name, strftime(min(announcement_date), '%Y-%m-%d') AS first_date,
+       strftime(max(announcement_date), '%Y-%m-%d') AS last_date FROM undated
+UNION ALL SELECT 'macro_us', strftime(min(date), '%Y-%m-%d'), strftime(max(date), '%Y-%m-%d') FROM macro_wide
+""")
+def date_spans(spark, sf):
+    return iso_frame(r.date_spans({
+        "credit_events": (b.undated_events(spark, sf), "announcement_date"),
+        "macro_us": (b.macro_wide(spark, sf), "date"),
+    }))
+
+
 @query("events_per_company", """
 WITH numbered AS (
   SELECT u3_company_number, announcement_date, action_name, id,

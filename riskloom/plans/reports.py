@@ -8,10 +8,11 @@ count per company and task, and a company that owns a third of all events is one
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.operators import ranking
+from riskloom.operators import context, ranking
 
 KEY = "u3_company_number"
 
@@ -221,8 +222,6 @@ def series_on_date(macro: DataFrame, day: str, key: str = "date") -> DataFrame:
 
 def nested_events(events: DataFrame, page_size: int = 100) -> DataFrame:
     """The events of every company as nested rows, in pages of bounded size."""
-    from riskloom.operators import context
-
     line = F.concat_ws(
         " ", F.coalesce(F.col("announcement_date").cast("string"), F.lit("undated")), "action_name",
         F.col("id").cast("string"),
@@ -231,9 +230,20 @@ def nested_events(events: DataFrame, page_size: int = 100) -> DataFrame:
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    from functools import reduce
-
+    """Rows of each table."""
     return reduce(
         DataFrame.unionByName,
         [df.agg(_count("n_rows")).select(F.lit(t).alias("table_name"), "n_rows") for t, df in tables.items()],
     )
+
+
+def date_spans(columns: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """First and last date of each table."""
+    return reduce(
+        DataFrame.unionByName,
+        [
+            df.agg(F.min(c).alias("first_date"), F.max(c).alias("last_date"))
+            .select(F.lit(t).alias("table_name"), "first_date", "last_date")
+            for t, (df, c) in columns.items()
+        ],
+    )

@@ -225,3 +225,21 @@ def text_search(spark, sf):
     texts = {1: "the license of this document", 2: "copyright and all rights reserved"}
     items = embedding.embed_by_hashing(documents)
     return _rounded(embedding.search_texts(items, texts, embedding.embed_by_hashing, 10))
+
+
+@query("embedding_refresh", """
+SELECT count(*) FILTER (WHERE length(text) >= 10) AS processed, count(*) FILTER (WHERE length(text) < 10) AS skipped,
+       count(*) AS total
+FROM documents WHERE doc_id NOT IN (SELECT d.doc_id FROM documents d JOIN labels USING (doc_id) WHERE length(d.text) >= 10)
+""")
+def embedding_refresh(spark, sf):
+    """A first run embeds the labelled documents, a second one the rest; its counts are given."""
+    documents = b.table(spark, sf, "documents").select("doc_id", "text")
+    labelled = integrity.keep_known(documents, b.table(spark, sf, "labels"), "doc_id")
+    target = scratch_path(spark, "document-embeddings")
+
+    def embed(df):
+        return embedding.embed_by_hashing(df, id_col="doc_id", width=64)
+
+    embedding.refresh_embeddings(labelled, target, embed, id_col="doc_id")
+    return embedding.refresh_embeddings(documents, target, embed, id_col="doc_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom import schemas
 from riskloom.functions import fixed_values as fv
-from riskloom.operators import profile
+from riskloom.operators import guarded_sql, profile
 from riskloom.plans import loads
 from riskloom.sources import sheets, sinks
 from riskloom.streaming import panel_stream
@@ -77,6 +77,10 @@ def test_load_all(spark, source, tmp_path):
     first = panel[26978, 2008, 9]
     assert (first["dtd"], first["dtd_median"], first["dtd_median_i"]) == (None, 2.5, 3.5)
 
+    opened = loads.open_tables(spark, target)
+    top = guarded_sql.run_select(spark, "SELECT action_name, announcement_date FROM credit_events ORDER BY 2", opened)
+    assert [r[1] for r in top.collect()] == [None, "2008-09-15"]
+
     described = {(r["table_name"], r["column_name"]): r for r in profile.table_profile(tables).collect()}
     assert described["risk_indicators", "dtd"]["n_present"] == 1
     assert described["companies", "company_name"]["max_width"] == 14
@@ -100,6 +104,13 @@ def test_required_key_stops_the_load(spark, source, tmp_path):
         loads.load_all(spark, str(source), str(tmp_path / "t"), only=["companies"])
 
 
+def test_events_of_unknown_companies_can_be_left_out(spark, source):
+    raw = sheets.read_sheet(spark, str(source / "credit_events.csv"))
+    known = spark.createDataFrame([(5,)], "u3_company_number int")
+    assert [r["u3_company_number"] for r in loads.credit_events(raw, known).collect()] == [5]
+    assert loads.credit_events(raw).count() == 2
+
+
 def test_rejects_are_counted(spark, source):
     raw = sheets.read_panel_csv(spark, str(source / "risk_indicators.csv"))
     known = spark.createDataFrame([(26978,), (5,)], "u3_company_number int")

@@ -109,3 +109,18 @@ def test_embedding_resumes(spark):
     rows = rest.collect()
     assert sorted(r["id"] for r in rows) == [2, 3, 4]
     assert all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-6 and len(r["embedding"]) == 1024 for r in rows)
+
+
+def test_refresh_appends_only_what_is_missing(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text number {i}") for i in range(5)] + [(9, "short")], "id int, text string")
+    target = str(tmp_path / "vectors")
+
+    def refresh(items, **options):
+        return tuple(embedding.refresh_embeddings(items, target, embedding.embed_by_hashing, **options).first())
+
+    assert refresh(df, limit=2) == (2, 0, 2)
+    assert refresh(df) == (3, 1, 4)
+    assert refresh(df) == (0, 1, 1)
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [0, 1, 2, 3, 4]
+    found = embedding.search_texts(spark.read.parquet(target), {1: "text number 3"}, embedding.embed_by_hashing, 1)
+    assert found.first()["id"] == 3
