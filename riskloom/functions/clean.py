@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Date spellings accepted besides ISO; month comes before day.
-DATE_FORMATS = ["M/d/yyyy", "yyyyMMdd", "d-MMM-yyyy", "MMM d, yyyy"]
+# Date spellings accepted besides ISO, each with its outline; month comes before day. A
+# format is tried only where the outline fits, as a failed parse costs far more.
+DATE_FORMATS = {
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+}
 
 _ISO_DATE = (
     r"^\d{4}(-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?)?)?$"
@@ -67,12 +73,12 @@ def required_int(col: Column, name: str) -> Column:
     return F.coalesce(value, F.raise_error(problem).cast("int"))
 
 
-def to_date_lenient(col: Column, formats: Iterable[str] = DATE_FORMATS) -> Column:
+def to_date_lenient(col: Column, formats: Mapping[str, str] = DATE_FORMATS) -> Column:
     """Text to date by ISO form first, then a fixed list of formats; otherwise NULL."""
     text = F.trim(col)
     return F.coalesce(
         F.when(text.rlike(_ISO_DATE), text.try_cast("date")),
-        *[F.try_to_date(text, f) for f in formats],
+        *[F.when(text.rlike(outline), F.try_to_date(text, f)) for f, outline in formats.items()],
     )
 
 

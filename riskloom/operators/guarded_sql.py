@@ -88,7 +88,8 @@ def run_select(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | Non
                rows: int = DEFAULT_CAP, mode: str = "word") -> DataFrame:
     """Check one SQL text, run it on the given tables and cap the result.
 
-    Dates and times come back as ISO text. The check is a policy, not a security
+    The tables become temporary views of the session under their names. Dates and times
+    come back as ISO text. The check is a policy, not a security
     boundary; the session should only hold read access to its data.
     """
     text = spark.range(1).select(strip_fences(F.lit(sql)).alias("sql"))

@@ -28,7 +28,6 @@ def _profile_one(name: str, df: DataFrame, key: set[str]) -> DataFrame:
         aggregates += [
             F.min(col).cast("string").alias(f"low{i}"),
             F.max(col).cast("string").alias(f"high{i}"),
-            F.max(F.length(col.cast("string"))).alias(f"width{i}"),
             F.count(col).alias(f"present{i}"),
         ]
     rows = [
@@ -42,20 +41,19 @@ def _profile_one(name: str, df: DataFrame, key: set[str]) -> DataFrame:
             F.col(f"present{i}").alias("n_present"),
             F.col(f"low{i}").alias("min_value"),
             F.col(f"high{i}").alias("max_value"),
-            F.col(f"width{i}").cast("long").alias("max_width"),
         )
         for i, f in enumerate(fields)
     ]
     stats = df.agg(*aggregates).select(F.inline(F.array(*rows)))
-    return stats.join(_distinct_values(df), "place", "left").select(
+    return stats.join(_values(df), "place", "left").select(
         "table_name", "column_name", "data_type", "is_key", "n_rows", "n_present",
         F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
         "min_value", "max_value", "max_width",
     )
 
 
-def _distinct_values(df: DataFrame) -> DataFrame:
-    """Exact distinct counts of all columns as ``(place, n_distinct)``.
+def _values(df: DataFrame) -> DataFrame:
+    """Distinct values and longest text of all columns: ``(place, n_distinct, max_width)``.
 
     Values are laid out as (column, text) and counted in two steps, so rows stay narrow
     and repeated values collapse before they are shuffled.
@@ -67,4 +65,6 @@ def _distinct_values(df: DataFrame) -> DataFrame:
             col = F.when(col == 0, F.lit(0.0)).otherwise(col)  # 0.0 and -0.0 are one value
         cells.append(F.struct(F.lit(i).alias("place"), col.cast("string").alias("value")))
     values = df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
-    return values.distinct().groupBy("place").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return values.distinct().groupBy("place").agg(
+        F.count(F.lit(1)).alias("n_distinct"), F.max(F.length("value")).cast("long").alias("max_width")
+    )

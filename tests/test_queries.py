@@ -77,3 +77,34 @@ def test_hot_company_gives_the_same_rows(spark, data, monkeypatch, limit):
     assert profile.agg(F.sum("n_events")).first()[0] == total
     top = reports.top_companies(b.companies(spark, data), hot, "1-URGENT", 1).first()
     assert top["u3_company_number"] == 1
+
+
+def test_joins_on_a_hot_company_are_split(spark, monkeypatch):
+    """Joins that cannot be aggregated first keep the large side where Spark can split it."""
+    monkeypatch.setattr(ranking, "GROUP_LIMIT", 50)
+    data = "/root/testdata/sf0.01"
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        events = b.credit_events(spark, data).withColumn(
+            "u3_company_number", F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("u3_company_number"))
+        ).repartition(8)
+        companies = b.companies_described(spark, data)
+        jobs = {
+            "recent": reports.recent_events(companies, events, "1-URGENT", 10_000),
+            "profile": context.company_profile(companies, events, page_size=2),
+        }
+        for name, df in jobs.items():
+            assert df.collect(), name
+            assert "skew=true" in plan_of(df), name
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
