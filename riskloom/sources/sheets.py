@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom import schemas
@@ -38,11 +40,15 @@ def read_matrix(spark: SparkSession, path: str, header_row: int = 1) -> tuple[Da
     """A sheet without headings whose row ``header_row`` describes the columns.
 
     Gives all rows as text and the descriptions. Only the rows up to the descriptions
-    reach the driver; data rows are told apart later by their date.
+    reach the driver, to learn the width of the sheet, which a title row need not have;
+    data rows are told apart later by their date.
     """
-    rows = spark.read.option("header", False).csv(path)
-    top = rows.take(header_row + 1)
-    headings = list(top[header_row]) if len(top) > header_row else []
+    top = [r[0] for r in spark.read.text(path).take(header_row + 1)]
+    cells = [next(csv.reader([line]), []) for line in top]
+    headings = [c or None for c in cells[header_row]] if len(cells) > header_row else []
+    width = max((len(row) for row in cells), default=1)
+    columns = schemas.text_schema([f"_c{i}" for i in range(width)])
+    rows = spark.read.schema(columns).options(header=False, escape='"').csv(path)
     return rows, headings
 
 

@@ -73,10 +73,11 @@ def test_no_known_heading(spark):
         reshape.unpivot_sheet(sheet, F.current_date(), ["nothing"], fv.COMMODITY_SERIES, "_row")
 
 
-def test_matrix_file(spark, tmp_path):
+@pytest.mark.parametrize("title", ["FX rates,,,", "FX rates"])
+def test_matrix_file(spark, tmp_path, title):
     path = tmp_path / "fx.csv"
     path.write_text(
-        "FX rates,,,\n,AUDUSD Curncy,USDJPY Curncy,JPY again: usdjpy\n"
+        title + "\n,AUDUSD Curncy,USDJPY Curncy,JPY again: usdjpy\n"
         "20080915,0.81,105.1,\n20080916.0,NA,104.0,104.5\n2008091,1,1,1\ntotal,1,1,1\n"
     )
     fx = loads.fx_rates(*sheets.read_matrix(spark, str(path)))
