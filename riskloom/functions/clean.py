@@ -20,9 +20,18 @@ _ISO_DATE = (
 )
 
 
+# Everything that counts as white space in Unicode, not only the space character.
+_WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
+def strip(col: Column) -> Column:
+    """Text without white space at either end."""
+    return F.trim(col, F.lit(_WHITE_SPACE))
+
+
 def clean_blank(col: Column) -> Column:
     """Blank text becomes NULL; any other text stays as it is, spaces included."""
-    return F.when(F.trim(col) != "", col)
+    return F.when(strip(col) != "", col)
 
 
 def clean_nan(col: Column) -> Column:
@@ -32,7 +41,7 @@ def clean_nan(col: Column) -> Column:
 
 def clean_na(col: Column, ignore_case: bool = True) -> Column:
     """Blank, ``NA`` and ``N/A`` become NULL."""
-    key = F.trim(col)
+    key = strip(col)
     if ignore_case:
         key = F.upper(key)
     return F.when(~key.isin("", "NA", "N/A"), col)
@@ -52,7 +61,7 @@ def clean_na_frame(df: DataFrame, ignore_case: bool = True) -> DataFrame:
 
 def to_double(col: Column, ignore_case: bool = True) -> Column:
     """Text to double; NA tokens, dates, other text and NaN become NULL."""
-    return clean_nan(F.trim(clean_na(col, ignore_case)).try_cast("double"))
+    return clean_nan(strip(clean_na(col, ignore_case)).try_cast("double"))
 
 
 def is_rejected_number(col: Column, ignore_case: bool = True) -> Column:
@@ -62,7 +71,7 @@ def is_rejected_number(col: Column, ignore_case: bool = True) -> Column:
 
 def to_int(col: Column) -> Column:
     """Text such as ``10`` or ``10.0`` to int; anything else becomes NULL."""
-    number = F.trim(col.cast("string")).try_cast("double")
+    number = strip(col.cast("string")).try_cast("double")
     return F.when(number == F.floor(number), number.try_cast("int"))
 
 
@@ -75,7 +84,7 @@ def required_int(col: Column, name: str) -> Column:
 
 def to_date_lenient(col: Column, formats: Mapping[str, str] = DATE_FORMATS) -> Column:
     """Text to date by ISO form first, then a fixed list of formats; otherwise NULL."""
-    text = F.trim(col)
+    text = strip(col)
     return F.coalesce(
         F.when(text.rlike(_ISO_DATE), text.try_cast("date")),
         *[F.when(text.rlike(outline), F.try_to_date(text, f)) for f, outline in formats.items()],
@@ -84,7 +93,7 @@ def to_date_lenient(col: Column, formats: Mapping[str, str] = DATE_FORMATS) -> C
 
 def quarter_end(col: Column) -> Column:
     """``Q3 2008`` to the last day of that quarter; text after the year is ignored."""
-    text = F.trim(col)
+    text = strip(col)
     pattern = r"^Q([1-4])\s+(\d{4})"
     quarter = F.regexp_extract(text, pattern, 1).try_cast("int")
     year = F.regexp_extract(text, pattern, 2).try_cast("int")
@@ -93,12 +102,12 @@ def quarter_end(col: Column) -> Column:
 
 def period_date(col: Column) -> Column:
     """A date cell that may hold a quarter instead of a date."""
-    return F.when(F.trim(col).startswith("Q"), quarter_end(col)).otherwise(to_date_lenient(col))
+    return F.when(strip(col).startswith("Q"), quarter_end(col)).otherwise(to_date_lenient(col))
 
 
 def yyyymmdd_to_date(col: Column) -> Column:
     """An eight-digit number (also ``20080915.0``) to date; anything else becomes NULL."""
-    digits = F.regexp_replace(F.trim(col.cast("string")), r"\.0*$", "")
+    digits = F.regexp_replace(strip(col.cast("string")), r"\.0*$", "")
     return F.when(digits.rlike(r"^\d{8}$"), F.try_to_date(digits, "yyyyMMdd"))
 
 

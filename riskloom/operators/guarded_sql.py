@@ -27,8 +27,8 @@ DEFAULT_CAP = 100
 
 def strip_fences(sql: Column) -> Column:
     """Remove Markdown code fences and surrounding space."""
-    without_open = F.regexp_replace(F.trim(sql), r"(?m)^```(sql)?\s*", "")
-    return F.regexp_replace(F.regexp_replace(without_open, r"(?m)\s*```$", ""), r"^\s+|\s+$", "")
+    without_open = F.regexp_replace(clean.strip(sql), r"(?m)^```(sql)?\s*", "")
+    return clean.strip(F.regexp_replace(without_open, r"(?m)\s*```$", ""))
 
 
 def _statement_error(statement: Column, mode: str) -> Column:

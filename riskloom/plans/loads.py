@@ -56,7 +56,7 @@ def credit_events(raw: DataFrame, known_companies: DataFrame | None = None) -> D
         clean.to_date_lenient(_maybe(raw, "effective_date")).alias("effective_date"),
         clean.to_int(_maybe(raw, "event_type")).alias("event_type"),
         clean.clean_blank(_maybe(raw, "action_name")).alias("action_name"),
-        F.trim(clean.clean_blank(_maybe(raw, "subcategory"))).alias("subcategory"),
+        clean.strip(clean.clean_blank(_maybe(raw, "subcategory"))).alias("subcategory"),
     )
     if known_companies is not None:
         table = integrity.keep_known(table, known_companies, "u3_company_number")

@@ -78,6 +78,9 @@ def test_load_all(spark, source, tmp_path):
     assert (first["dtd"], first["dtd_median"], first["dtd_median_i"]) == (None, 2.5, 3.5)
 
     opened = loads.open_tables(spark, target)
+    one_year = opened["risk_indicators"].filter("year = 2009")
+    assert one_year.count() == 1
+    assert "(year#" in one_year._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
     top = guarded_sql.run_select(spark, "SELECT action_name, announcement_date FROM credit_events ORDER BY 2", opened)
     assert [r[1] for r in top.collect()] == [None, "2008-09-15"]
 
