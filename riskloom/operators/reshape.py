@@ -62,7 +62,7 @@ def _cell(date: Column, field: str, value: Column, index: int, row: Column) -> C
     return F.struct(
         date.alias("date"),
         F.lit(field).alias("series"),
-        clean.to_double(value, ignore_case=False).alias("value"),
+        clean.to_double(value).alias("value"),
         _position(index, row).alias("position"),
     )
 
@@ -101,7 +101,7 @@ def select_matrix(df: DataFrame, headings: list[str | None], fields: list[str],
     for name, heading in zip(df.columns, headings):
         field = field_of_heading(heading, [(f, f) for f in fields])
         if field is not None:
-            cell = clean.to_double(F.col(f"`{name}`"), ignore_case=False)
+            cell = clean.to_double(F.col(f"`{name}`"))
             by_field.setdefault(field, []).insert(0, cell)
     return (
         df.select(

@@ -126,7 +126,7 @@ def bond_yields(raw: DataFrame) -> DataFrame:
     return raw.select(
         clean.to_date_lenient(F.col("data_date")).alias("data_date"),
         *[
-            clean.to_double(_maybe(raw, heading), ignore_case=False).alias(field)
+            clean.to_double(_maybe(raw, heading)).alias(field)
             for heading, field in fv.YIELD_COLUMNS.items()
         ],
     ).filter(F.col("data_date").isNotNull())
