@@ -11,10 +11,13 @@ from riskloom.llm import (
     fingerprints,
     html_main,
     mixing,
+    ngram_join,
     packing,
+    quality_knn,
     quality_rules,
     sharding,
     sql,
+    substring_dedup,
     url_filter,
 )
 
@@ -52,6 +55,19 @@ def op1(spark: SparkSession, data: str) -> DataFrame:
     return url_filter.judge(table(spark, data, "pages"), rules)
 
 
+GOOD = 0.7
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, data: str) -> DataFrame:
+    docs = table(spark, data, "documents")
+    model = quality_knn.train(docs, table(spark, data, "labels"))
+    return quality_knn.score(docs, model).select(
+        "doc_id", quality_knn.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
+    )
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, data: str) -> DataFrame:
     return quality_rules.quality(table(spark, data, "documents")).select(
@@ -60,6 +76,18 @@ def op3(spark: SparkSession, data: str) -> DataFrame:
     )
 
 
+@query("op4_substring_dedup", sql.SUBSTRING_DEDUP)
+def op4(spark: SparkSession, data: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, data, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+@query("op5_ngram_jaccard_join", sql.NGRAM_JOIN)
+def op5(spark: SparkSession, data: str) -> DataFrame:
+    return ngram_join.join(table(spark, data, "documents"))
+
+
 SEQUENCE_TOKENS = 1024
 
 
@@ -94,7 +122,8 @@ SHARDS = 40
 
 @query("op10_sharding")
 def op10(spark: SparkSession, data: str) -> DataFrame:
-    return sharding.shard(table(spark, data, "documents"), SHARDS).select(
+    # Dimensions that equal texts share keep copies together.
+    return sharding.shard(table(spark, data, "documents"), SHARDS, dims=("n_chars", "lang")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -25,6 +25,8 @@ BLOCKS = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p "
     "pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
+CONTAINERS = frozenset("html body main section div center article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("iframe noembed noframes noscript object script select style svg template textarea title".split())
 NOISE_TAGS = frozenset("aside button dialog fieldset footer form head header menu nav search".split())
@@ -63,12 +65,12 @@ def _is_noise(tag: str, attributes: str) -> bool:
     return False
 
 
-def blocks_of(page: str) -> tuple[list[tuple[int, str]], list[int]]:
-    """Text blocks (path number, text) in page order, and the parent of every path.
+def blocks_of(page: str) -> tuple[list[tuple[int, str]], list[int], list[str], list[int]]:
+    """Text blocks (path number, text) in page order; parent, tag and elements of each path.
 
     Path 0 is the root. Blocks inside what is noise by name are left out.
     """
-    parents, numbers = [0], {}
+    parents, tags, elements, numbers = [0], [""], [1], {}
     stack: list[tuple[str, int, bool]] = [("", 0, False)]
     blocks: list[tuple[int, str]] = []
     parts: list[str] = []
@@ -129,12 +131,15 @@ def blocks_of(page: str) -> tuple[list[tuple[int, str]], list[int]]:
             path = numbers.setdefault((stack[-1][1], label), len(parents))
             if path == len(parents):
                 parents.append(stack[-1][1])
+                tags.append(tag)
+                elements.append(0)
+            elements[path] += 1
             stack.append((tag, path, noise))
         elif noise and not stack[-1][2]:
             # An inline element is kept on the stack only where its text is to be left out.
             stack.append((tag, stack[-1][1], True))
     flush()
-    return blocks, parents
+    return blocks, parents, tags, elements
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -143,8 +148,12 @@ def _smooth(values: list[float]) -> list[float]:
     return [(a + 2 * b + c) / 4 for a, b, c in zip(padded, padded[1:], padded[2:], strict=False)]
 
 
-def content_node(blocks: list[tuple[int, str]], parents: list[int]) -> int:
-    """The deepest path that holds nearly all text of the paths above the threshold."""
+def content_node(blocks: list[tuple[int, str]], parents: list[int], tags: list[str], elements: list[int]) -> int:
+    """The deepest container that holds nearly all text of the paths above the threshold.
+
+    An article or main element ends the search, and so does a container beside whose
+    successor a heading stands: the heading belongs to the text.
+    """
     order = list(dict.fromkeys(p for p, _ in blocks))
     length, marks, count = dict.fromkeys(order, 0), dict.fromkeys(order, 0), dict.fromkeys(order, 0)
     for path, text in blocks:
@@ -162,19 +171,24 @@ def content_node(blocks: list[tuple[int, str]], parents: list[int]) -> int:
         below[p] += n
     for p in range(len(parents) - 1, 0, -1):  # children have higher numbers
         below[parents[p]] += below[p]
+    headed = {parents[p] for p in order if tags[p] in HEADINGS}
     node, whole = 0, below[0]
-    while True:
-        deeper = [p for p in range(node + 1, len(parents)) if parents[p] == node and below[p] >= SHARE * whole]
+    while tags[node] not in ("article", "main") and node not in headed:
+        deeper = [
+            p for p in range(node + 1, len(parents))
+            if parents[p] == node and tags[p] in CONTAINERS and elements[p] == 1 and below[p] >= SHARE * whole
+        ]
         if not deeper:
-            return node
+            break
         node = deeper[0]
+    return node
 
 
 def main_text(page: str | None) -> str:
-    blocks, parents = blocks_of(page or "")
+    blocks, parents, tags, elements = blocks_of(page or "")
     if not blocks:
         return ""
-    node = content_node(blocks, parents)
+    node = content_node(blocks, parents, tags, elements)
     inside = [False] * len(parents)
     inside[node] = True
     for p in range(node + 1, len(parents)):

@@ -10,7 +10,7 @@ text then decides. DataFrame functions only.
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, mul
+from operator import mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,8 @@ from riskloom.llm.common import GAP, stored, words
 
 WINDOW = 5
 ROUNDS = 20
-PRIOR, ACCURACY, LEAST, MOST = 0.8, 0.8, 0.55, 0.999
+PRIOR, ON_GOOD, ON_BAD = 0.8, 0.98, 0.5  # where the rounds start
+MOST, LEAST_ON_GOOD, LEAST_ON_BAD = 0.999, 0.98, 0.02
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +99,7 @@ def votes(measured: DataFrame) -> dict[str, Column]:
         "few_duplicate_lines": _vote(duplicates, duplicates < 0.1, duplicates > 0.3),
         "usual_word_length": _vote(mean, mean.between(3, 8), (mean < 2) | (mean > 12)),
         "few_capitals": _vote(upper, upper < 0.15, upper > 0.4),
-        "sentences": _vote(per_stop, (per_stop <= 40) & (F.col("n_stops") > 0), per_stop > 100),
+        "sentences": _vote(per_stop, (per_stop <= 20) & (F.col("n_stops") > 0), per_stop > 30),
         "enough_words": _vote(n, n >= 40, n < 10),
     }
 
@@ -106,47 +107,60 @@ def votes(measured: DataFrame) -> dict[str, Column]:
 def estimate(voted: DataFrame, rules: list[str], rounds: int = ROUNDS) -> dict:
     """Prior of good texts and, per rule, the accuracy on good and on bad texts.
 
-    ``voted`` has one column per rule. Each round is one aggregate over the pattern
-    counts; accuracies are kept between 0.55 and 0.999, so that the classes cannot swap.
+    ``voted`` has one column per rule. The pattern counts (at most 3 ** rules of them) are
+    gathered in one row, in which an array fold runs the rounds. Rules are right about
+    nearly all good texts (0.98 to 0.999), so the classes cannot swap; a rule that sees only one
+    kind of bad text may be wrong about most others, whose good votes then say little. One
+    vote is added to each, so that few votes settle nothing.
     """
-    patterns = stored(voted.groupBy(*rules).agg(F.count("*").cast("double").alias("n")).coalesce(1), "vote-patterns")
-    model = {"prior": PRIOR, "good": [ACCURACY] * len(rules), "bad": [ACCURACY] * len(rules)}
-    for _ in range(rounds):
-        good = posterior(rules, model)
-        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * good).alias("g")]
-        for i, r in enumerate(rules):
-            sums += [
-                F.sum(F.when(F.col(r) == 1, F.col("n") * good).otherwise(0.0)).alias(f"gg{i}"),
-                F.sum(F.when(F.col(r) == -1, F.col("n") * good).otherwise(0.0)).alias(f"gb{i}"),
-                F.sum(F.when(F.col(r) == 1, F.col("n") * (1 - good)).otherwise(0.0)).alias(f"bg{i}"),
-                F.sum(F.when(F.col(r) == -1, F.col("n") * (1 - good)).otherwise(0.0)).alias(f"bb{i}"),
-            ]
-        x = patterns.agg(*sums).first()
-        if not x["n"]:
-            break
-
-        def kept(right: float, wrong: float) -> float:
-            # One vote of each kind is added, so that few votes settle nothing.
-            return min(MOST, max(LEAST, (right + ACCURACY) / (right + wrong + 1)))
-
-        model = {
-            "prior": min(MOST, max(1 - MOST, x["g"] / x["n"])),
-            "good": [kept(x[f"gg{i}"], x[f"gb{i}"]) for i in range(len(rules))],
-            "bad": [kept(x[f"bb{i}"], x[f"bg{i}"]) for i in range(len(rules))],
-        }
-    return model
-
-
-def posterior(rules: list[str], model: dict) -> Column:
+    counts = voted.groupBy(*rules).agg(F.count("*").cast("double").alias("n"))
+    patterns = counts.agg(F.sort_array(F.collect_list(F.struct(*rules, "n"))).alias("patterns"), F.sum("n").alias("total"))
+    start = F.struct(
+        F.lit(PRIOR).alias("prior"),
+        F.array(*[F.lit(ON_GOOD)] * len(rules)).alias("good"),
+        F.array(*[F.lit(ON_BAD)] * len(rules)).alias("bad"),
+    )
+    seen = ("good_right", "good_wrong", "bad_right", "bad_wrong")
+
+    def one_round(model: Column, _: Column) -> Column:
+        weighed = F.transform("patterns", lambda p: F.struct(
+            *[p[r].alias(r) for r in rules], p["n"].alias("n"),
+            (p["n"] * posterior([p[r] for r in rules], model["prior"], model["good"], model["bad"])).alias("g"),
+        ))
+        nothing = F.struct(F.lit(0.0).alias("g"), *[F.array(*[F.lit(0.0)] * len(rules)).alias(s) for s in seen])
+
+        def add_up(acc: Column, x: Column) -> Column:
+            bad = x["n"] - x["g"]
+            share = {"good_right": (1, x["g"]), "good_wrong": (-1, x["g"]), "bad_right": (-1, bad), "bad_wrong": (1, bad)}
+            return F.struct((acc["g"] + x["g"]).alias("g"), *[
+                F.array(*[acc[s][i] + F.when(x[r] == vote, n).otherwise(0.0) for i, r in enumerate(rules)]).alias(s)
+                for s, (vote, n) in share.items()
+            ])
+
+        def kept(right: Column, wrong: Column, start: float, least: float) -> Column:
+            return F.zip_with(right, wrong, lambda a, b: F.least(F.lit(MOST), F.greatest(F.lit(least), (a + start) / (a + b + 1))))
+
+        return F.aggregate(weighed, nothing, add_up, lambda acc: F.struct(
+            F.least(F.lit(MOST), F.greatest(F.lit(1 - MOST), acc["g"] / F.col("total"))).alias("prior"),
+            kept(acc["good_right"], acc["good_wrong"], ON_GOOD, LEAST_ON_GOOD).alias("good"),
+            kept(acc["bad_right"], acc["bad_wrong"], ON_BAD, LEAST_ON_BAD).alias("bad"),
+        ))
+
+    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, one_round)
+    row = patterns.select(F.when(F.col("total") > 0, fitted).otherwise(start).alias("m")).first()["m"]
+    return row.asDict()
+
+
+def posterior(votes_cast: list[Column], prior: Column, good: Column, bad: Column) -> Column:
     """Probability of a good text given the votes; abstentions say nothing."""
-    def chance(votes_right: int, accuracies: list[float]) -> Column:
+    def chance(right: int, accuracies: Column) -> Column:
         return reduce(mul, [
-            F.when(F.col(r) == votes_right, a).when(F.col(r) == -votes_right, 1 - a).otherwise(1.0)
-            for r, a in zip(rules, accuracies, strict=True)
+            F.when(v == right, accuracies[i]).when(v == -right, 1 - accuracies[i]).otherwise(1.0)
+            for i, v in enumerate(votes_cast)
         ])
 
-    good = F.lit(model["prior"]) * chance(1, model["good"])
-    return good / reduce(add, [good, F.lit(1 - model["prior"]) * chance(-1, model["bad"])])
+    is_good = prior * chance(1, good)
+    return is_good / (is_good + (1 - prior) * chance(-1, bad))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -159,11 +173,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """
     measured = stored(measures(docs, id_col, text_col), "quality-measures")
     rules = votes(measured)
-    voted = measured.withColumns(rules)
-    model = estimate(voted, list(rules))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    voted = measured.withColumns(rules).withColumn("base_failed", failed)
+    # Texts that the base rules drop have no say in how far the other rules are trusted.
+    model = estimate(voted.where("NOT base_failed"), list(rules))
     return (
-        voted.withColumn("posterior", posterior(list(rules), model))
-        .withColumn("base_failed", failed)
+        voted.withColumn("posterior", posterior([F.col(r) for r in rules], *[F.lit(model[k]) for k in ("prior", "good", "bad")]))
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
     )

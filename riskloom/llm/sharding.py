@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import stored
 
-DIM_BITS, TEXT_BITS, ROW_BITS = 22, 20, 20
+DIM_BITS, TEXT_BITS, ROW_BITS = 16, 16, 16
 BINS = 4096
 SLICES = 1024
 OVERHEAD = 16  # bytes that a row takes besides its text
@@ -139,7 +139,7 @@ def _cut_level(rows: DataFrame, root: Node, keys: list[str]) -> bool:
             n, v, step_n = row["node"], going[row["node"]], steps[row["node"]]
             first = v["lo"] + row["b"]["bin"] * step_n
             below, inside = row["b"]["upto"] - row["b"]["n"], row["b"]["n"]
-            if step_n == 1 or inside <= v["bytes"] // 1_000_000:
+            if step_n == 1 or inside <= v["bytes"] // 20_000:
                 # One key, or too little to matter: it goes to the nearer side.
                 nearer = v["wanted"] - below < inside / 2
                 open_nodes[n].cut = first if nearer else first + step_n

@@ -41,7 +41,7 @@ WITH sized AS (
   FROM ranked
 ), targets AS (
   SELECT *, least(most, coalesce(
-            min(CASE WHEN level * weight <= most THEN level END) OVER () * weight, most)) AS target
+            (min(CASE WHEN level * weight <= most THEN {'at': most / weight, 'no': source_no, 'level': level} END) OVER ()).level * weight, most)) AS target
   FROM levels
 ), limits AS (
   SELECT *, greatest(1, CAST(floor(sum(target) OVER () / 10000) AS BIGINT)) AS block_size,
@@ -70,3 +70,57 @@ SELECT doc_id, size, source_size, target,
        CAST(full_passes * size + greatest(0, least(start + size, last_pass) - start) AS BIGINT) AS taken
 FROM placed
 """
+
+SUBSTRING_DEDUP = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), windows AS (
+  SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + 20], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS s FROM split)
+), repeated AS (
+  SELECT doc_id, s FROM (
+    SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS nth FROM windows
+  ) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT doc_id, s + k AS i FROM repeated, range(20) r(k)
+), gathered AS (
+  SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT s.doc_id, s.w, coalesce(g.gone, []) AS gone FROM split s LEFT JOIN gathered g USING (doc_id)
+), words AS (
+  SELECT doc_id, i, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM split)
+), texts AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text
+  FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id
+)
+SELECT k.doc_id, CAST(len(k.w) AS BIGINT) AS n_words, CAST(len(k.gone) AS BIGINT) AS n_removed,
+       sha256(coalesce(t.text, '')) AS kept_sha256
+FROM kept k LEFT JOIN texts t USING (doc_id)
+"""
+
+NGRAM_JOIN = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[s + 1 : s + 5], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS s FROM split WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_common FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE n_common / (x.n + y.n - n_common) >= 0.8
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least_id AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+), degrees AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+), copies AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE count(*) OVER (PARTITION BY w) - 1 END AS n FROM split
+)
+SELECT d.doc_id, least(d.doc_id, l.b) AS class_id, CAST(coalesce(g.n, 0) AS BIGINT) AS n_links, CAST(c.n AS BIGINT) AS n_copies
+FROM documents d LEFT JOIN least_id l ON l.a = d.doc_id LEFT JOIN degrees g ON g.a = d.doc_id JOIN copies c USING (doc_id)
+"""
