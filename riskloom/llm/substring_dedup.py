@@ -24,7 +24,7 @@ from riskloom.llm.common import partitions
 from riskloom.llm.windows import WORD_BASES, pieces, words_of
 
 BLOCK = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("ties", pa.binary()), ("counts", pa.binary()), ("sent", pa.binary()), ("hashes", pa.binary())])
-REPEATS = pa.schema([("id_key", pa.int64()), ("tie", pa.int64()), ("bucket", pa.int32()), ("nth", pa.list_(pa.int32()))])
+REPLY = pa.schema([("deal", pa.int32()), ("ids", pa.binary()), ("ties", pa.binary()), ("buckets", pa.binary()), ("counts", pa.binary()), ("nth", pa.binary())])
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 RESULT = ["n_words", "n_removed", "text", "removed"]
 NULL_ID = np.iinfo(np.int64).min  # sorts first
@@ -87,8 +87,15 @@ def _send(size: int, buckets: int):
     return send
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows among all blocks of a partition: per text, their numbers in the bucket."""
+def _find(buckets: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Repeated windows among all blocks of a partition: per text, their numbers in the bucket."""
+        yield from _answers(batches, buckets)
+
+    return find
+
+
+def _answers(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     ids, ties, counts, sent, hashes, bucket = [], [], [], [], [], []
     for batch in batches:
         for row in range(batch.num_rows):
@@ -124,49 +131,89 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     runs = run[found]
     cuts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+    lengths = np.diff(np.r_[cuts, len(found)])
     of = runs[cuts]
-    step = 20_000
-    ends = np.r_[cuts[1:], len(found)]
-    for a in range(0, len(of), step):
-        part = slice(a, a + step)
-        lo, hi = cuts[part][0], ends[part][-1]
-        lists = pa.ListArray.from_arrays(np.r_[cuts[part] - lo, hi - lo].astype(np.int32), pa.array(nth[found[lo:hi]].astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[of[part]]), pa.array(ties[of[part]]), pa.array(bucket[of[part]]), lists], schema=REPEATS)
+    # One packed answer for each partition to which documents are dealt.
+    deal = _deal(ids[of], ties[of], buckets)
+    order = np.argsort(deal, kind="stable")
+    of, lengths, cuts, deal = of[order], lengths[order], cuts[order], deal[order]
+    ends = np.cumsum(lengths)
+    numbers = nth[found[np.repeat(cuts - (ends - lengths), lengths) + np.arange(len(found))]].astype(np.int32)
+    edges = np.flatnonzero(np.r_[True, deal[1:] != deal[:-1], True])
+    columns: list[list] = [[] for _ in REPLY]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        part = of[a:b]
+        for column, value in zip(columns, (
+            int(deal[a]), ids[part].tobytes(), ties[part].tobytes(), bucket[part].tobytes(),
+            lengths[a:b].astype(np.int32).tobytes(), numbers[ends[a] - lengths[a] : ends[b - 1]].tobytes(),
+        ), strict=True):
+            column.append(value)
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, REPLY, strict=True)], schema=REPLY)
+
+
+def _deal(ids: np.ndarray, ties: np.ndarray, buckets: int) -> np.ndarray:
+    """Partition of a document: copies differ in their ids, so they are spread."""
+    return np.mod(ids ^ ties, buckets).astype(np.int32)
+
+
+class _Answers:
+    """Answers for the documents of one partition, looked up by (id, tie)."""
+
+    def __init__(self, rows: list[list[bytes]]):
+        def joined(i: int, kind) -> np.ndarray:
+            return np.concatenate([np.frombuffer(r[i], kind) for r in rows]) if rows else np.zeros(0, kind)
+
+        ids, ties, self.bucket, self.count, self.nth = (joined(i, k) for i, k in enumerate((np.int64, np.int64, np.int32, np.int32, np.int32)))
+        self.end = np.cumsum(self.count, dtype=np.int64)
+        self.runs: dict[tuple[int, int], list[int]] = {}
+        for n, key in enumerate(zip(ids.tolist(), ties.tolist(), strict=True)):
+            self.runs.setdefault(key, []).append(n)
+
+    def of(self, keys: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, bucket, number in the bucket) of the repeated windows of a run of texts."""
+        text, runs = [], []
+        for n, key in enumerate(keys):
+            own = self.runs.get(key, ())
+            runs += own
+            text += [n] * len(own)
+        runs, text = np.array(runs, np.int64), np.array(text, np.int64)
+        lengths = self.count[runs].astype(np.int64)
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.end[runs] - ends, lengths) + np.arange(int(lengths.sum()))
+        return np.repeat(text, lengths), np.repeat(self.bucket[runs], lengths), self.nth[at]
 
 
 def _remove(size: int, buckets: int):
-    """Batches of (text, repeats, columns to carry along)."""
+    """Answers of the partition first, then its documents.
 
+    Columns: is_text, id_key, tie, text, the answer's five, then columns to carry along.
+    """
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list[bytes]] = []
+        answers = None
         for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(0)):
+            n_answers = batch.num_rows - int(np.asarray(batch.column(0)).sum())
+            rows += [[batch.column(c)[r].as_py() for c in range(4, 9)] for r in range(n_answers)]
+            batch = batch.slice(n_answers)
+            if not batch.num_rows:
+                continue
+            if answers is None:
+                answers = _Answers(rows)
+            keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            for a, b, data, offsets in pieces(batch.column(3)):
                 part = batch.slice(a, b - a)
-                carried = [part.column(i) for i in range(2, part.num_columns)]
-                names = batch.schema.names[2:]
-                result = _kept(part.column(1), data, offsets, size, buckets)
-                yield pa.RecordBatch.from_arrays([*result, *carried], [*RESULT, *names])
+                carried = [part.column(i) for i in range(9, part.num_columns)]
+                result = _kept(answers.of(keys[a:b]), data, offsets, size, buckets)
+                yield pa.RecordBatch.from_arrays([*result, *carried], [*RESULT, *batch.schema.names[9:]])
 
     return remove
 
 
-def _repeats(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, number in the bucket) of the repeated windows of a run of texts."""
-    column = column.fill_null([]) if column.null_count else column
-    per_text = np.asarray(column.value_lengths())
-    entries = column.flatten()
-    if not len(entries):
-        return (np.zeros(0, np.int64),) * 3
-    lists = entries.field("nth")
-    text = np.repeat(np.arange(len(column)), per_text)
-    lengths = np.asarray(lists.value_lengths())
-    return np.repeat(text, lengths), np.repeat(np.asarray(entries.field("bucket")), lengths), np.asarray(lists.flatten())
-
-
-def _kept(repeats: pa.Array, data, offsets, size: int, buckets: int) -> list[pa.Array]:
+def _kept(repeats: tuple, data, offsets, size: int, buckets: int) -> list[pa.Array]:
     found = words_of(data, offsets)
     n_texts, n_words = len(offsets) - 1, len(found.starts)
     gone = np.zeros(n_words + 1, np.int64)
-    text, bucket, nth = _repeats(repeats)
+    text, bucket, nth = repeats
     if len(text):
         at, w_text, w_bucket, _ = _by_bucket(found, size, buckets)
         keys = w_bucket.astype(np.int64) * n_texts + w_text
@@ -222,20 +269,23 @@ def remove_repeats(
     blocks = docs.select(*[c.alias(n) for n, c in keys.items()], F.col(text_col).alias("text")).mapInArrow(
         _send(size, buckets), "bucket int, ids binary, ties binary, counts binary, sent binary, hashes binary"
     )
-    found = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(
-        _find, "id_key long, tie long, bucket int, nth array<int>"
-    )
-    repeats = found.groupBy("id_key", "tie").agg(F.collect_list(F.struct("bucket", "nth")).alias("repeats"))
+    packed = "ids binary, ties binary, buckets binary, counts binary, nth binary"
+    answers = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_find(buckets), f"deal int, {packed}")
     carried = {"doc_id": F.col(id_col)}
     if with_columns is not None:
         carried["original"] = F.col(text_col)
         carried |= {c: F.col(f"`{c}`") for c in with_columns}
     # Carried columns travel under numbers, so no name can clash.
     numbered = {f"c{i}": c for i, c in enumerate(carried.values())}
-    texts = docs.select(*[c.alias(n) for n, c in (keys | {"text": F.col(text_col)} | numbered).items()])
-    joined = texts.join(repeats, ["id_key", "tie"], "left").select("text", "repeats", *numbered)
-    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in joined.schema[2:])
-    out = joined.mapInArrow(
+    texts = docs.select(*[c.alias(n) for n, c in (keys | {"text": F.col(text_col)} | numbered).items()]).withColumns({
+        "deal": F.pmod(F.col("id_key").bitwiseXOR(F.col("tie")), F.lit(buckets)).cast("int"), "is_text": F.lit(True),
+    })
+    both = texts.unionByName(answers.withColumn("is_text", F.lit(False)), allowMissingColumns=True)
+    dealt = both.repartitionById(buckets, F.col("deal")).sortWithinPartitions("is_text").select(
+        "is_text", "id_key", "tie", "text", "ids", "ties", "buckets", "counts", "nth", *numbered
+    )
+    kinds = "".join(f", {n} {dealt.schema[n].dataType.simpleString()}" for n in numbered)
+    out = dealt.mapInArrow(
         _remove(size, buckets), "n_words long, n_removed long, text string, removed array<struct<start:int,end:int>>" + kinds
     )
     result = ["c0 AS doc_id", *RESULT]
