@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,15 +92,14 @@ def op5(spark: SparkSession, data: str) -> DataFrame:
 SEQUENCE_TOKENS = 1024
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+def tokenizer() -> tuple[str, str]:
+    """Ranks of the vocabulary in byte_bpe_50k.json, and its pre-tokenizer's pattern."""
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, data: str) -> DataFrame:
-    return packing.pack_documents(table(spark, data, "documents"), tokenizer_path(), SEQUENCE_TOKENS)
+    return packing.pack_documents(table(spark, data, "documents"), tokenizer(), SEQUENCE_TOKENS)
 
 
 @query("op7_source_mixing", sql.MIXING)

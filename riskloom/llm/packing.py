@@ -11,69 +11,56 @@ checksums travel to the groups, never token ids.
 
 from __future__ import annotations
 
+import base64
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import stored
 
 GROUP_PIECES = 16_384
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 END_ID = 2
 
 
-class PieceEncoder:
-    """Token ids of texts, with the ids of space-separated parts remembered.
+class PieceEncoder(dict):
+    """Token ids of texts by a byte-level BPE given as ranks, as little-endian 32-bit ids.
 
-    The pre-tokenizer of byte-level BPE never joins what stands before a single space with
-    what follows it, so a text may be encoded part by part. Texts with runs of white space
-    around a space are encoded whole.
+    The pre-tokenizer never joins what stands before a single space with what follows it,
+    so a text is encoded part by part and the ids of parts are remembered (this dict).
+    Texts in which a space touches other white space are encoded whole.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.inner: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split: list[list[str] | None] = []
-        first: list[str] = []
-        missing: dict[str, None] = {}
-        known = self.inner
-        for text in texts:
-            parts = text.split(" ")
-            # An empty part is a second space; a part that starts or ends in white space
-            # would share a run of it with the space.
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in parts[1:]) or parts[0][-1:].isspace() or (len(parts) > 1 and not parts[0]):
-                split.append(None)
-                first.append(text)
-                continue
-            first.append(parts[0])
-            rest = parts[1:]
-            split.append(rest)
-            for p in rest:
-                if p not in known:
-                    missing[p] = None
-        if missing:
-            new = list(missing)
-            known.update(zip(new, self._encode([" " + p for p in new]), strict=True))
-        heads = self._encode(first)
-        look = known.__getitem__
-        out = [h if rest is None else h + b"".join(map(look, rest)) for h, rest in zip(heads, split, strict=True)]
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        return out
+    touching = re.compile(r" \s|\s ")
+
+    def __init__(self, ranks: str, pattern: str):
+        super().__init__()
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(t): int(i) for t, i in map(bytes.split, lines)}
+        self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.bpe.encode_ordinary(text)).tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.whole(" " + part)
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if self.touching.search(text):
+            return self.whole(text)
+        head, *parts = text.split(" ")
+        ids = self.whole(head) + b"".join(map(self.__getitem__, parts))
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        return ids
 
 
 def cut(n_tokens: int, most: int) -> list[tuple[int, int]]:
@@ -88,22 +75,22 @@ PIECES = pa.schema([
 TEXTS_AT_ONCE = 64
 
 
-def pieces(docs: DataFrame, tokenizer: str, most: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: tuple[str, str], most: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32.
 
-    Null and empty texts are the end token alone.
+    ``tokenizer`` is the path of a ranks file and the pre-tokenizer's pattern. Null and
+    empty texts are the end token alone.
     """
     end = np.asarray([end_id], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = PieceEncoder(*tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 rows = []
-                encoded = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                for doc, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
-                    ids = memoryview(ids + end)
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = memoryview(encoder.encode(text or "") + end)
                     for i, (start, n) in enumerate(cut(len(ids) // 4, most)):
                         rows.append((doc, i, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
                 yield pa.RecordBatch.from_arrays(
@@ -188,7 +175,7 @@ def pack(
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, most: int = 1024, max_docs: int = 1024, max_cost: int | None = None, **options
+    docs: DataFrame, tokenizer: tuple[str, str], most: int = 1024, max_docs: int = 1024, max_cost: int | None = None, **options
 ) -> DataFrame:
     """Tokenise, cut and pack all documents.
 
