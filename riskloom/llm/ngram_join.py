@@ -34,7 +34,7 @@ STEP, STEPS = 16, 4
 TOLERANCE = 1e-9
 BLOCK = 1024
 DENSE = 1_000_000  # pairs compared at once
-UNIT_ROWS = 4096
+UNIT_ROWS = 512
 
 _random = np.random.default_rng(20240229)
 FACTORS = (_random.integers(0, 2**32, BANDS * ROWS + STEP * STEPS, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -221,13 +221,13 @@ def _units(size: int, threshold: float):
         waiting: list[pa.RecordBatch] = []
         for batch in batches:
             waiting.append(batch)
-            if sum(b.num_rows for b in waiting) < UNIT_ROWS:
-                continue
             table = pa.Table.from_batches(waiting)
-            last = _cuts(table)[-1][0]
-            if last:  # the last unit may go on in the next batch
-                yield work(table.slice(0, last))
-                waiting = table.slice(last).to_batches()
+            start = 0
+            for a, _ in _cuts(table):  # the last unit may go on in the next batch
+                if a - start >= UNIT_ROWS:
+                    yield work(table.slice(start, a - start))
+                    start = a
+            waiting = table.slice(start).to_batches()
         if waiting:
             yield work(pa.Table.from_batches(waiting))
 

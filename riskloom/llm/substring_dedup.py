@@ -60,7 +60,9 @@ def _send(size: int, buckets: int):
             rank = np.lexsort((ties, ids))
             same = np.r_[False, (ids[rank][1:] == ids[rank][:-1]) & (ties[rank][1:] == ties[rank][:-1])]
             rank = rank[~same]
-            texts = batch.column(2).take(pa.array(rank))
+            texts = batch.column(2)
+            if len(rank) < len(texts) or (rank[1:] < rank[:-1]).any():
+                texts = texts.take(pa.array(rank))
             ids, ties = ids[rank], ties[rank]
             for a, b, data, offsets in pieces(texts):
                 _, text, bucket, hashes = _by_bucket(words_of(data, offsets), size, buckets)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 # Odd multipliers, so that they have inverses modulo 2 ** 64.
@@ -83,6 +83,7 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
         own = offsets[at : end + 1]
         yield at, end, data[own[0] : own[-1]], own - own[0]
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
