@@ -77,7 +77,7 @@ def blocks_of(page: str) -> tuple[list[tuple[int, str]], list[int], list[str], l
 
     def flush() -> None:
         if parts:
-            if not stack[-1][2] and (text := " ".join(html.unescape("".join(parts)).split())):
+            if text := " ".join(html.unescape("".join(parts)).split()):
                 blocks.append((stack[-1][1], text))
             parts.clear()
 
@@ -100,7 +100,8 @@ def blocks_of(page: str) -> tuple[list[tuple[int, str]], list[int], list[str], l
         if closing:
             open_at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if open_at:
-                flush()
+                if tag in BLOCKS:
+                    flush()
                 del stack[open_at:]
             elif tag in BLOCKS:
                 flush()
