@@ -11,7 +11,9 @@ from riskloom.functions.fixed_values import FORBIDDEN_WORDS
 
 # Valid inside a SELECT, yet able to write, run code or read arbitrary files.
 _ALSO_REFUSED = ["MERGE", "INTO", "TRANSFORM", "REFLECT", "JAVA_METHOD", "TRY_REFLECT"]
-_PATH_TABLE = r"(?i)\b(parquet|csv|json|orc|text|avro|xml|binaryfile|delta|iceberg)\s*\.\s*`"
+# The format's name may be quoted, and comments may stand around the dot.
+_SPACE = r"(?:\s|/\*.*?\*/|--[^\n]*\n)*+"
+_PATH_TABLE = rf"(?is)\b(parquet|csv|json|orc|text|avro|xml|binaryfile|delta|iceberg)`?{_SPACE}\.{_SPACE}`"
 # One statement: everything up to a semicolon that is not inside quotes. A doubled quote
 # inside a text reads as the end of one text and the start of the next. The possessive
 # quantifiers match without recursion, so texts may be of any length.
@@ -75,9 +77,9 @@ def audit_sql(df: DataFrame, column: str, mode: str = "word") -> DataFrame:
     )
 
 
-def cap(df: DataFrame, rows: int = DEFAULT_CAP) -> DataFrame:
-    """At most so many rows; the limit is part of the plan, whatever the text says."""
-    return df.limit(rows)
+def cap(df: DataFrame, rows: int | None = DEFAULT_CAP) -> DataFrame:
+    """At most so many rows, or all for None; the limit is part of the plan, whatever the text says."""
+    return df if rows is None else df.limit(rows)
 
 
 class UnsafeSql(ValueError):
@@ -85,7 +87,7 @@ class UnsafeSql(ValueError):
 
 
 def run_select(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None,
-               rows: int = DEFAULT_CAP, mode: str = "word") -> DataFrame:
+               rows: int | None = DEFAULT_CAP, mode: str = "word") -> DataFrame:
     """Check one SQL text, run it on the given tables and cap the result.
 
     The tables become temporary views of the session under their names. Dates and times

@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions import clean
 
-# Bits for the row number inside a (column, row) position.
-_ROW_BITS = 56
-
 
 def field_of_heading(heading: str | None, patterns: Iterable[tuple[str, str]]) -> str | None:
     """Field of the first pattern contained in one heading (headings are metadata)."""
@@ -21,7 +18,8 @@ def field_of_heading(heading: str | None, patterns: Iterable[tuple[str, str]]) -
 
 
 def _position(column_index: int, row: Column) -> Column:
-    return F.shiftleft(F.lit(column_index).cast("long"), _ROW_BITS).bitwiseOR(row)
+    """Order of a cell: by column, then by row, for any number of columns."""
+    return F.struct(F.lit(column_index).alias("column"), row.alias("row"))
 
 
 def unpivot_sheet(df: DataFrame, date: Column, headings: list[str], patterns,
@@ -45,16 +43,18 @@ def unpair_sheet(df: DataFrame, headings: list[str], patterns, row: str) -> Data
     The heading of the value column names the series, and its dates stand in the column
     to the left. After a match the next column is skipped. Dates may be quarters.
     """
-    names = df.columns[: len(headings)]
-    cells, index = [], 0
-    while index < len(headings):
-        field = field_of_heading(headings[index], patterns)
-        if field is None:
-            index += 1
-            continue
-        date = clean.period_date(F.col(f"`{names[max(index - 1, 0)]}`"))
-        cells.append(_cell(date, field, F.col(f"`{names[index]}`"), index, F.col(row)))
-        index += 2
+    fields = [field_of_heading(h, patterns) for h in headings]
+    taken: list[int] = []
+    for column, field in enumerate(fields):
+        # A column right after a match is that match's partner.
+        if field is not None and column - 1 not in taken[-1:]:
+            taken.append(column)
+    cells = []
+    for column in taken:
+        dates = df.columns[column - 1 if column else 0]
+        cells.append(_cell(
+            clean.period_date(F.col(f"`{dates}`")), fields[column], F.col(f"`{df.columns[column]}`"), column, F.col(row)
+        ))
     return _explode_cells(df, cells)
 
 

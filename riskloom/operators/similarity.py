@@ -30,9 +30,10 @@ MAX_HITS = 100_000
 
 
 def with_filters(items: DataFrame, filters: dict | None) -> DataFrame:
-    """Equality filters, applied before any similarity is computed."""
+    """Equality filters, applied before any similarity is computed; None is not given."""
     for column, value in (filters or {}).items():
-        items = items.filter(F.col(column) == F.lit(value))
+        if value is not None:
+            items = items.filter(F.col(column) == F.lit(value))
     return items
 
 

@@ -258,11 +258,11 @@ FROM (SELECT date_trunc('month', announcement_date) AS month_start, count(*) AS
 
 @query("k3_window", f"""
 SELECT strftime(month_start, '%Y-%m') AS month, n_events, change FROM ({WINDOW_SQL})
-ORDER BY month LIMIT 100
+ORDER BY month
 """)
 def k3_window(spark, sf):
     sql = f"SELECT date_format(month_start, 'yyyy-MM') AS month, n_events, change FROM ({WINDOW_SQL}) ORDER BY month"
-    return guarded_sql.run_select(spark, sql, _views(spark, sf))
+    return guarded_sql.run_select(spark, sql, _views(spark, sf), rows=None)
 
 
 SETOPS_SQL = """
@@ -271,7 +271,7 @@ EXCEPT SELECT u3_company_number FROM credit_events WHERE action_name = '1-URGENT
 """
 
 
-@query("k3_setops", f"SELECT * FROM ({SETOPS_SQL}) ORDER BY u3_company_number LIMIT 100")
+@query("k3_setops", f"SELECT * FROM ({SETOPS_SQL}) ORDER BY u3_company_number")
 def k3_setops(spark, sf):
     sql = f"SELECT * FROM ({SETOPS_SQL}) ORDER BY u3_company_number"
-    return guarded_sql.run_select(spark, sql, _views(spark, sf))
+    return guarded_sql.run_select(spark, sql, _views(spark, sf), rows=None)

@@ -176,7 +176,8 @@ def sector_recent(companies: DataFrame, industry: DataFrame, events: DataFrame,
     members = companies.select(KEY, "company_name", "ticker", "industry_subgroup_num").join(
         of_sector, "industry_subgroup_num", "left_semi"
     )
-    recent = events.filter(F.col("announcement_date") > F.date_sub(end, days))
+    day = F.col("announcement_date")
+    recent = events.filter((day > F.date_sub(end, days)) & (day <= end))
     return ranking.top_k(recent.join(members, KEY), _newest_first(), n).select(
         "id", KEY, "company_name", "ticker", "action_name", "announcement_date"
     )
@@ -186,9 +187,8 @@ def companies_with_recent(companies: DataFrame, events: DataFrame, action: str,
                           as_of: Column | None = None) -> DataFrame:
     """Companies with an event of one kind within so many days before a date."""
     end = latest_date(events) if as_of is None else as_of
-    recent = events.filter(
-        (F.col("action_name") == action) & (F.col("announcement_date") > F.date_sub(end, days))
-    )
+    day = F.col("announcement_date")
+    recent = events.filter((F.col("action_name") == action) & (day > F.date_sub(end, days)) & (day <= end))
     found = recent.select(KEY).distinct()
     return companies.select(KEY, "company_name", "ticker").join(found, KEY, "left_semi")
 

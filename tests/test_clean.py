@@ -45,8 +45,8 @@ def test_integers_from_sheets(spark):
 
 
 def test_company_key(spark):
-    numbers = [26978004, 12345678, 1000, 999, 5000000, -1]
-    assert apply(spark, numbers, clean.company_key, "long") == [26978, 12345, 1, 0, 5000, -1]
+    numbers = [31415926, 2718281, 7000, 42, 9000001, -1]
+    assert apply(spark, numbers, clean.company_key, "long") == [31415, 2718, 7, 0, 9000, -1]
 
 
 def test_dates(spark):
