@@ -21,3 +21,11 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision; NULL if a vector has no length."""
     return F.try_divide(dot(a, b), norm(a) * norm(b))
+
+
+def measurable(a: Column, width: int | None = None) -> Column:
+    """Whether a vector has a direction: finite, not all zero and of the given width."""
+    values = _as_double(a)
+    finite = F.forall(values, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fits = finite & F.exists(values, lambda x: x != 0)
+    return F.coalesce(fits if width is None else fits & (F.size(a) == width), F.lit(False))

@@ -9,36 +9,33 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskloom.functions import vector
 from riskloom.operators import similarity
 
-# Rows used to place the cell centres; all rows are then assigned.
-TRAINING_ROWS = 1_000_000
-
 
 def build_index(items: DataFrame, path: str, *, cells: int = 64, id_col: str = "id",
                 vector_col: str = "embedding", seed: int = 17) -> None:
     """Write all items partitioned by cell, and the cell centres beside them.
 
+    The centres are fitted on all rows. Vectors without a direction, or of another width
+    than most, can never be hits and are left out.
     ``rebalance`` sizes the output files and splits a cell that holds far more rows
     than the others over several tasks.
     """
+    width = similarity.common_width(items, vector_col)
     unit = F.transform(
         F.col(vector_col).cast("array<double>"),
         lambda x: F.try_divide(x, F.col("_length")),
     )
     ready = (
-        items.withColumn("_length", F.sqrt(F.aggregate(
-            F.col(vector_col).cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)))
-        .filter(F.col("_length") > 0)
+        items.filter(vector.measurable(F.col(vector_col), width))
+        .withColumn("_length", vector.norm(F.col(vector_col)))
         .withColumn("features", array_to_vector(unit))
         .drop("_length")
     )
-    total = ready.count()
-    share = min(1.0, TRAINING_ROWS / max(total, 1))
-    sample = ready if share == 1.0 else ready.sample(share, seed)
     model: KMeansModel = KMeans(
         k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell"
-    ).fit(sample.select("features"))
+    ).fit(ready.select("features"))
     placed = model.transform(ready).drop("features")
     placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/items")
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
@@ -61,9 +58,9 @@ def search_index(spark: SparkSession, path: str, queries: dict[int, Sequence[flo
     cells = {
         query_id: {
             centres[i]["cell"]
-            for i in np.argsort(-(matrix @ np.asarray(vector, dtype=float)), kind="stable")[:probes]
+            for i in np.argsort(-(matrix @ np.asarray(values, dtype=float)), kind="stable")[:probes]
         }
-        for query_id, vector in queries.items()
+        for query_id, values in queries.items()
     }
     items = spark.read.parquet(f"{path}/items").filter(F.col("cell").isin(*set().union(*cells.values())))
     return similarity.search(items, queries, k, id_col=id_col, vector_col=vector_col, scope=("cell", cells))

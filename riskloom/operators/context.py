@@ -71,32 +71,29 @@ def latest_events(events: DataFrame, n: int) -> DataFrame:
     )
 
 
-def company_context(companies: DataFrame, events: DataFrame, n_events: int = 5) -> DataFrame:
-    """One document per company: its own block and its latest events.
+def company_context(companies: DataFrame, events: DataFrame, n_events: int | None = None,
+                    page_size: int = 100) -> DataFrame:
+    """Documents of companies: their own block and their events, the latest first.
 
-    ``companies`` has ``sector`` and ``industry`` columns. At most ``n_events`` rows per
-    company reach the aggregation, and companies without events keep their document.
+    ``companies`` has ``sector`` and ``industry`` columns. With ``n_events`` only so many
+    events of a company are shown, as one page of a question's context. Pages are as
+    ``company_profile`` describes them, and companies without events keep their document.
     """
-    blocks = latest_events(events, n_events).select(
-        "u3_company_number", "rank",
-        event_block(F.col("announcement_date"), F.col("action_name"),
-                    F.col("u3_company_number")).alias("block"),
-    )
-    texts = blocks.groupBy("u3_company_number").agg(_in_order("rank", "block", "\n\n").alias("event_blocks"))
-    own = company_block(F.col("company_name"), F.col("ticker"), F.col("sector"), F.col("industry"))
-    return companies.join(texts, "u3_company_number", "left").select(
-        "u3_company_number",
-        join_blocks(own, F.coalesce(F.col("event_blocks"), F.lit(""))).alias("context"),
-    )
+    if n_events is not None:
+        events = latest_events(events, n_events)
+        page_size = n_events
+    return _pages(companies, events, page_size, latest_first=True)
 
 
-def _chronological(events: DataFrame, id_span: int = 1_000_000) -> DataFrame:
+def _numbered(events: DataFrame, latest_first: bool = False, id_span: int = 1_000_000) -> DataFrame:
     """Position of every event among those of its company, by date and id.
 
-    Days cut a company's events into slices, and spans of ids cut a day, so even one
+    Undated events come last in time, so they open a list of the latest ones. Days cut a company's events into slices, and spans of ids cut a day, so even one
     company that owns a third of all events, or one day of it, spreads over many tasks.
     """
     day = F.coalesce(F.unix_date("announcement_date"), F.lit(2**31 - 1))
+    if latest_first:
+        day = -day
     return ranking.number_rows(
         events, ["u3_company_number"],
         {"_day": day, "_span": F.floor(F.col("id") / float(id_span))},
@@ -106,7 +103,7 @@ def _chronological(events: DataFrame, id_span: int = 1_000_000) -> DataFrame:
 
 def event_pages(events: DataFrame, line: Column, page_size: int = 100) -> DataFrame:
     """All events of every company as text lines, cut into pages of bounded size."""
-    numbered = _chronological(events).select(
+    numbered = _numbered(events).select(
         "u3_company_number",
         F.floor(F.col("position") / page_size).alias("page_no"),
         "position",
@@ -130,8 +127,12 @@ def company_profile(companies: DataFrame, events: DataFrame, company: int | None
     if company is not None:
         companies = companies.filter(F.col("u3_company_number") == company)
         events = events.filter(F.col("u3_company_number") == company)
+    return _pages(companies, events, page_size)
+
+
+def _pages(companies: DataFrame, events: DataFrame, page_size: int, latest_first: bool = False) -> DataFrame:
     block = event_block(F.col("announcement_date"), F.col("action_name"), F.col("u3_company_number"))
-    numbered = _chronological(events).select(
+    numbered = _numbered(events, latest_first).select(
         "u3_company_number", F.floor(F.col("position") / page_size).alias("page_no"),
         "position", block.alias("block"),
     )

@@ -5,15 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from riskloom.operators import integrity, similarity
 
 MIN_LENGTH = 10
-HASHING_MODEL = "hashing-tf"
+HASHING_MODEL = "hashed-words"
+# A word: anything between ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def long_enough(text: Column, least: int = MIN_LENGTH) -> Column:
@@ -63,14 +64,28 @@ def embed_texts(df: DataFrame, fn: Callable[[list[str]], Sequence[Sequence[float
 
 def embed_by_hashing(df: DataFrame, *, id_col: str = "id", text_col: str = "text",
                      width: int = 1024) -> DataFrame:
-    """Embed texts without a model: hashed word counts, scaled to unit length."""
+    """Embed texts without a model: hashed word counts, scaled to unit length.
+
+    A word's place is given by the first eight hex digits of its MD5, so that vectors can
+    be made outside Spark as well. A text without words gets zeros.
+    """
     usable = df.select(id_col, text_col).filter(long_enough(F.col(text_col)))
-    words = usable.withColumn("words", F.split(F.lower(F.trim(text_col)), r"\s+"))
-    counted = HashingTF(numFeatures=width, inputCol="words", outputCol="counts").transform(words)
-    scaled = Normalizer(inputCol="counts", outputCol="unit").transform(counted)
-    return scaled.select(
+    words = F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0))
+    places = F.transform(
+        words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % width).cast("int")
+    )
+
+    @F.pandas_udf("array<float>")
+    def unit_counts(rows: pd.Series) -> pd.Series:
+        def one(row: np.ndarray) -> np.ndarray:
+            counts = np.bincount(row, minlength=width).astype(float)
+            return (counts / max(np.sqrt((counts * counts).sum()), 1.0)).astype("float32")
+
+        return rows.map(one)
+
+    return usable.select(
         id_col,
-        vector_to_array("unit", "float32").alias("embedding"),
+        unit_counts(places).alias("embedding"),
         F.col(text_col).alias("text_content"),
         F.lit(HASHING_MODEL).alias("embedding_model"),
     )
@@ -110,8 +125,6 @@ def query_vectors(spark: SparkSession, texts: dict[int, str],
 
     Texts that are too short for an embedding get none.
     """
-    if len(texts) > similarity.MAX_QUERIES:
-        raise ValueError(f"at most {similarity.MAX_QUERIES} query texts per search")
     df = spark.createDataFrame(list(texts.items()), "id long, text string")
     return {r["id"]: list(r["embedding"]) for r in embed(df).select("id", "embedding").collect()}
 

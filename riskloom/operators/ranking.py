@@ -24,36 +24,21 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
     return df.withColumn(rank_name, F.row_number().over(window)).filter(F.col(rank_name) <= k)
 
 
-# Rows of one group that a single task may sort.
-GROUP_LIMIT = 1_000_000
-
-
 def number_rows(df: DataFrame, group: list[str], slices: dict[str, Column],
-                order: list[Column], name: str = "position") -> DataFrame:
+                order: list[Column], name: str = "position", weight: str | None = None) -> DataFrame:
     """Position (from 0) of every row in its group, without one task per large group.
 
-    The size of the largest group is looked up first, in a job that reads only the group
-    columns. If every group fits a task, a plain window numbers them.
-
-    Otherwise ``slices`` cut a group into consecutive pieces, coarse to fine: each is a
-    non-null expression that never decreases along the order within the slice above it.
-    Rows are counted per slice (combined before the shuffle), the running totals of those
-    counts give each slice its offset, and only rows of one slice are sorted together.
-    ``order`` sorts the rows of a finest slice.
+    ``slices`` cut a group into consecutive pieces, coarse to fine: each is a non-null
+    expression that never decreases along the order within the slice above it. Rows are
+    counted per slice (combined before the shuffle), the running totals of those counts
+    give each slice its offset, and only rows of one slice are sorted together.
+    ``order`` sorts the rows of a finest slice. A row counts as many positions as its
+    ``weight`` column says, or one.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= GROUP_LIMIT:
-        whole = Window.partitionBy(*group).orderBy(*slices.values(), *order)
-        return df.withColumn(name, F.row_number().over(whole).cast("long") - 1)
-    return _number_slices(df, group, slices, order, name)
-
-
-def _number_slices(df: DataFrame, group: list[str], slices: dict[str, Column],
-                   order: list[Column], name: str) -> DataFrame:
     keys = list(slices)
+    places = F.lit(1).cast("long") if weight is None else F.col(weight)
     sliced = df.withColumns(slices)
-    counts = sliced.groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = sliced.groupBy(*group, *keys).agg(F.sum(places).alias("_n"))
     if len(keys) > 1:
         # One shuffle serves both the totals and the running sums of the last level.
         counts = counts.repartition(*group, *keys[:-1])
@@ -81,9 +66,12 @@ def _number_slices(df: DataFrame, group: list[str], slices: dict[str, Column],
             )
 
     inside = Window.partitionBy(*group, *keys).orderBy(*order)
+    before = F.row_number().over(inside) - 1 if weight is None else F.coalesce(
+        F.sum(places).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
     return (
         sliced.join(offsets, [*group, *keys])
-        .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
+        .withColumn(name, F.col("_offset") + before)
         .drop(*keys, "_offset")
     )
 
@@ -103,6 +91,20 @@ def surrogate_ids(df: DataFrame, key: str, name: str = "id", width: int = 1_000_
     return numbered.withColumn(name, F.col("_position") + 1).drop("_position")
 
 
-def unique_ids(df: DataFrame, name: str = "id") -> DataFrame:
-    """Unique but not dense ids; costs no shuffle."""
-    return df.withColumn(name, F.monotonically_increasing_id() + 1)
+def content_ids(df: DataFrame, name: str = "id") -> DataFrame:
+    """Dense ids that depend on the rows alone, not on files or input splits.
+
+    Rows are numbered in the order of a hash, and rows of one hash by their values. Equal
+    rows take consecutive ids: they travel as one row and a count, so however often a row
+    occurs, no task sorts its copies.
+    """
+    columns = df.columns
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    folded = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    top = F.shiftright(hashed, 44)
+    numbered = number_rows(
+        folded, [], {"_coarse": F.shiftright(top, 8), "_fine": top},
+        [hashed.asc(), *[F.col(f"`{c}`").asc() for c in columns]], name="_first", weight="_copies",
+    )
+    copies = F.explode(F.sequence(F.col("_first") + 1, F.col("_first") + F.col("_copies")))
+    return numbered.select(*[F.col(f"`{c}`") for c in columns], copies.alias(name))

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from riskloom.functions import vector
 from riskloom.operators import ranking
 from riskloom.session import scratch_path
 from riskloom.sources import sinks
@@ -23,10 +24,10 @@ DIGITS = 12
 CHUNK = 2048
 # Rows of one block compared with another block at a time.
 BLOCK_CHUNK = 512
-# A request carries few query vectors; they travel with the task, not as a table.
-MAX_QUERIES = 1000
-# Hits of one search over all its queries; this many rows may be broadcast.
-MAX_HITS = 100_000
+# Queries scored against a chunk at a time.
+QUERY_CHUNK = 512
+# Tasks' lists of one query are merged in so many parts before they meet in one.
+MERGE_PARTS = 64
 
 
 def with_filters(items: DataFrame, filters: dict | None) -> DataFrame:
@@ -43,17 +44,13 @@ def search(items: DataFrame, queries: dict[int, Sequence[float]], k: int, *,
     """The ``k`` most similar items for each query vector.
 
     Gives ``(query_id, <id_col>, similarity, rank)``. Items are read once; every task
-    scores its rows against all query vectors and keeps ``k`` rows per query, so the
-    shuffle carries tasks x queries x k rows however many items there are. Vectors that
-    are NULL, of another width or without length have no similarity and are left out.
+    scores its rows against all query vectors as matrices and keeps ``k`` rows per query,
+    so the shuffle carries tasks x queries x k rows however many items there are. The
+    lists of a query are merged in parts first, then as one. Vectors that are NULL, of
+    another width or without length have no similarity and are left out.
     ``scope`` names a column and, per query, the values of it that the query may see.
     """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} query vectors per search")
-    if len(queries) * k > MAX_HITS:
-        raise ValueError(f"queries times k may not exceed {MAX_HITS}")
-    names = list(queries)
-    vectors = [np.asarray(queries[q], dtype=float) for q in names]
+    groups = _query_groups(queries)
     id_field = items.schema[id_col]
     schema = T.StructType([
         T.StructField("query_id", T.LongType()),
@@ -61,21 +58,23 @@ def search(items: DataFrame, queries: dict[int, Sequence[float]], k: int, *,
         T.StructField("similarity", T.DoubleType()),
     ])
 
-    def visible(part: pa.RecordBatch, query_id: int) -> pa.RecordBatch:
-        if scope is None:
-            return part
-        return part.filter(pc.is_in(part.column(2), value_set=pa.array(list(scope[1][query_id]))))
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, pd.DataFrame] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
-                rows_left = batch.slice(start, CHUNK)
-                for name, vector in zip(names, vectors):
-                    part = visible(rows_left, name)
-                    ids, rows = _dense(part.column(0), part.column(1), len(vector))
-                    found = pd.DataFrame({id_col: ids, "similarity": _cosine_to(rows, vector)}).dropna()
-                    best[name] = _head(pd.concat([best[name], found]) if name in best else found, id_col, k)
+                chunk = batch.slice(start, CHUNK)
+                for names, units in groups:
+                    part, rows = _dense(chunk, units.shape[1])
+                    if not len(rows):
+                        continue
+                    cosines = np.round(rows @ units.T, DIGITS)
+                    ids = part.column(0).to_pandas()
+                    seen = part.column(2).to_numpy(zero_copy_only=False) if scope else None
+                    for place, name in enumerate(names):
+                        found = pd.DataFrame({id_col: ids, "similarity": cosines[:, place]})
+                        if scope:
+                            found = found[np.isin(seen, list(scope[1][name]))]
+                        best[name] = _head(pd.concat([best[name], found]) if name in best else found, id_col, k)
         for name, frame in best.items():
             frame.insert(0, "query_id", name)
             yield pa.RecordBatch.from_pandas(frame, schema=arrow_schema, preserve_index=False)
@@ -84,7 +83,25 @@ def search(items: DataFrame, queries: dict[int, Sequence[float]], k: int, *,
     columns = [id_col, vector_col] + ([scope[0]] if scope else [])
     scored = with_filters(items, filters).select(*columns).mapInArrow(score, schema)
     order = [F.col("similarity").desc(), F.col(id_col).asc()]
-    return ranking.top_k_per_group(scored, ["query_id"], order, k)
+    parts = scored.withColumn("part", F.pmod(F.hash(id_col), F.lit(MERGE_PARTS)))
+    merged = ranking.top_k_per_group(parts, ["query_id", "part"], order, k).drop("part", "rank")
+    return ranking.top_k_per_group(merged, ["query_id"], order, k)
+
+
+def _query_groups(queries: dict[int, Sequence[float]]) -> list[tuple[list[int], np.ndarray]]:
+    """Query names and unit vectors, in blocks of equal width; a query without direction
+    has no hits."""
+    by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for name, values in queries.items():
+        row = np.asarray(values, dtype=float)
+        length = np.sqrt((row * row).sum())
+        if np.isfinite(length) and length > 0:
+            by_width.setdefault(len(row), []).append((name, row / length))
+    return [
+        ([n for n, _ in block], np.stack([v for _, v in block]))
+        for same in by_width.values()
+        for block in (same[i:i + QUERY_CHUNK] for i in range(0, len(same), QUERY_CHUNK))
+    ]
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -93,17 +110,22 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _dense(ids: pa.Array, vectors: pa.Array, width: int):
-    """Ids and matrix of the vectors that have the given width."""
-    fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False)
-    values = vectors.filter(fits).flatten().to_numpy(zero_copy_only=False)
-    return ids.filter(fits).to_pandas(), values.reshape(-1, width).astype(float)
+def _dense(chunk: pa.RecordBatch, width: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows whose second column is a vector of the given width with a direction, and
+    those vectors as unit rows."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(chunk.column(1)), width), False)
+    part = chunk.filter(fits)
+    rows = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
+    lengths = np.sqrt((rows * rows).sum(axis=1))
+    good = np.isfinite(lengths) & (lengths > 0)
+    return part.filter(pa.array(good)), rows[good] / lengths[good, None]
 
 
-def _cosine_to(rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        lengths = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((vector * vector).sum())
-        return np.round((rows * vector).sum(axis=1) / lengths, DIGITS)
+def common_width(items: DataFrame, vector_col: str) -> int | None:
+    """The width most vectors have, the larger of equals; None if there is no vector."""
+    widths = items.filter(vector.measurable(F.col(vector_col))).groupBy(F.size(vector_col).alias("width")).count()
+    first = ranking.top_k(widths, [F.col("count").desc(), F.col("width").desc()], 1).first()
+    return first and first["width"]
 
 
 def _head(frame: pd.DataFrame, id_col: str, k: int) -> pd.DataFrame:
@@ -119,8 +141,7 @@ def similar_to(items: DataFrame, item_id: int, k: int, *, id_col: str = "id",
     row = items.filter(F.col(id_col) == item_id).select(vector_col).first()
     known = row is not None and row[0] is not None
     others = items.filter(F.col(id_col) != item_id if known else F.lit(False))
-    vector = row[0] if known else [1.0]
-    return search(others, {item_id: vector}, k, id_col=id_col, vector_col=vector_col)
+    return search(others, {item_id: row[0] if known else [1.0]}, k, id_col=id_col, vector_col=vector_col)
 
 
 def hybrid_search(entities: dict[str, DataFrame], queries: dict[int, Sequence[float]], k: int, *,
@@ -141,8 +162,8 @@ def hybrid_search(entities: dict[str, DataFrame], queries: dict[int, Sequence[fl
 def sources(hits: DataFrame, companies: DataFrame, events: DataFrame, id_col: str = "id") -> DataFrame:
     """What the hits of a hybrid search refer to, as ``(entity, id, name, detail)``.
 
-    A company shows its name and ticker, an event its kind and date. A search gives at
-    most ``MAX_HITS`` rows per kind, so the hits are broadcast and no table is shuffled.
+    A company shows its name and ticker, an event its kind and date. Few hits are
+    broadcast by Spark's own size check.
     """
     wanted = hits.select("query_id", "entity", "rank", id_col)
     named = {
@@ -152,7 +173,7 @@ def sources(hits: DataFrame, companies: DataFrame, events: DataFrame, id_col: st
                                F.col("announcement_date").cast("string").alias("detail")),
     }
     found = [
-        table.join(F.broadcast(wanted.filter(F.col("entity") == kind)), id_col)
+        table.join(wanted.filter(F.col("entity") == kind), id_col)
         for kind, table in named.items()
     ]
     return reduce(DataFrame.unionByName, found)
@@ -162,7 +183,8 @@ def similar_items(items: DataFrame, k: int, *, id_col: str = "id", vector_col: s
                   cells: int = 64, block_rows: int = 8192) -> DataFrame:
     """The ``k`` nearest items of every item, exactly.
 
-    Gives ``(<id_col>, neighbour_id, similarity, rank)``. The job has four steps:
+    Gives ``(<id_col>, neighbour_id, similarity, rank)``. Vectors without a direction, or
+    of another width than most, take no part. The job has four steps:
 
     1. Equal vectors are folded into one, with the ``k + 1`` lowest ids among them; no
        more of them can ever be listed for one item.
@@ -219,7 +241,8 @@ def _neighbour_schema(items: DataFrame, id_col: str) -> T.StructType:
 
 def _fold_copies(items: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
     rows = items.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    measurable = rows.filter(F.exists("vector", lambda x: x != 0) & F.forall("vector", lambda x: ~F.isnan(x)))
+    width = common_width(items, vector_col)
+    measurable = rows.filter(vector.measurable(F.col("vector"), width))
     lowest = ranking.top_k_per_group(measurable, ["vector"], [F.col("id").asc()], k + 1)
     return lowest.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(
         F.element_at("ids", 1).alias("rep"), "ids", "vector"

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
-from riskloom.functions import clean, fixed_values as fv
+from riskloom import schemas
+from riskloom.functions import fixed_values as fv
 from riskloom.functions.clean import iso_frame
 from riskloom.operators import integrity, reshape
 from riskloom.plans import bindings as b, loads
@@ -29,9 +30,10 @@ SELECT * EXCLUDE (pick) FROM (
 """
 
 
-@query("panel_load", f"""
-SELECT * FROM ({FIRST_SQL}) WHERE u3_company_number IN (SELECT u3_company_number FROM companies)
-""")
+KNOWN_SQL = f"SELECT * FROM ({FIRST_SQL}) WHERE u3_company_number IN (SELECT u3_company_number FROM companies)"
+
+
+@query("panel_load", KNOWN_SQL)
 def panel_load(spark, sf):
     panel = loads.risk_panel(b.panel_text(spark, sf), b.companies(spark, sf))
     return panel.select(*loads.PANEL_KEY, "company_number", "stk_index", "dtd")
@@ -106,7 +108,7 @@ def _paired_sheet(spark, sf):
     return long.select(*columns, F.col("position").alias(sheets.ROW)), headings
 
 
-@query("macro_long_to_wide", """
+US_MACRO_SQL = """
 WITH kept AS (
   SELECT CASE series WHEN 'error' THEN last_day(make_date(year(date), quarter(date) * 3, 1)) ELSE date END AS day,
          series, value, position
@@ -117,7 +119,10 @@ SELECT CAST(day AS VARCHAR) AS date,
        max_by(value, position) FILTER (WHERE series = 'error' AND value IS NOT NULL) AS gdp,
        max_by(value, position) FILTER (WHERE series = 'purchase' AND value IS NOT NULL) AS sp500
 FROM kept GROUP BY day
-""")
+"""
+
+
+@query("macro_long_to_wide", US_MACRO_SQL)
 def macro_long_to_wide(spark, sf):
     sheet, headings = _paired_sheet(spark, sf)
     cells = reshape.unpair_sheet(sheet, headings, fv.US_MACRO_SERIES, sheets.ROW)
@@ -125,18 +130,54 @@ def macro_long_to_wide(spark, sf):
     return iso_frame(wide)
 
 
-@query("fx_load", """
+def _write_us_macros(spark, sf, path):
+    """The paired sheet as files; date headings differ, as a sheet's columns do here."""
+    sheet, headings = _paired_sheet(spark, sf)
+    names = [f"d{i}" if h == "Date" else h for i, h in enumerate(headings)]
+    ordered = sheet.repartitionByRange(sheets.ROW).sortWithinPartitions(sheets.ROW)
+    _write_sheet(ordered.drop(sheets.ROW).toDF(*names), path)
+
+
+@query("macro_us_load", US_MACRO_SQL)
+def macro_us_load(spark, sf):
+    """As ``macro_long_to_wide``, from a sheet in files."""
+    path = scratch_path(spark, "us-macros")
+    _write_us_macros(spark, sf, path)
+    wide = loads.us_macros(sheets.read_numbered_sheet(spark, path))
+    return iso_frame(wide.select("date", "vix", "gdp", "sp500"))
+
+
+FX_SQL = """
 SELECT CAST(date AS VARCHAR) AS date, click AS audusd, coalesce(purchase, error) AS usdjpy, view AS eurusd
 FROM macro_wide
-""")
-def fx_load(spark, sf):
-    wide = b.macro_wide(spark, sf)
-    matrix = wide.select(
+"""
+FX_HEADINGS = [None, "AUDUSD Curncy", "USDJPY fixing", "spot USDJPY", "Total", "EurUsd Curncy"]
+
+
+def _fx_matrix(spark, sf):
+    return b.macro_wide(spark, sf).select(
         F.date_format("date", "yyyyMMdd").alias("_c0"),
         *[F.coalesce(F.col(s).cast("string"), F.lit("N/A")).alias(f"_c{i + 1}") for i, s in enumerate(b.SERIES)],
     )
-    headings = [None, "AUDUSD Curncy", "USDJPY fixing", "spot USDJPY", "Total", "EurUsd Curncy"]
-    rates = reshape.select_matrix(matrix, headings, fv.FX_PAIRS, "_c0")
+
+
+@query("fx_load", FX_SQL)
+def fx_load(spark, sf):
+    rates = reshape.select_matrix(_fx_matrix(spark, sf), FX_HEADINGS, fv.FX_PAIRS, "_c0")
+    return iso_frame(rates.select("date", "audusd", "usdjpy", "eurusd"))
+
+
+def _write_fx(spark, sf, path):
+    """A title line, the line of descriptions, then the rates; every part opens so."""
+    _write_lines(_fx_matrix(spark, sf), ["FX rates", ",".join(h or "" for h in FX_HEADINGS)], path)
+
+
+@query("macro_fx_load", FX_SQL)
+def macro_fx_load(spark, sf):
+    """As ``fx_load``, from a matrix sheet in files."""
+    path = scratch_path(spark, "fx-rates")
+    _write_fx(spark, sf, path)
+    rates = loads.fx_rates(*sheets.read_matrix(spark, path))
     return iso_frame(rates.select("date", "audusd", "usdjpy", "eurusd"))
 
 
@@ -167,6 +208,8 @@ def _export_sheets(spark, sf) -> str:
         ),
         f"{source}/{loads.SHEET_FILES['macro_bond_yields']}",
     )
+    _write_us_macros(spark, sf, f"{source}/{loads.SHEET_FILES['macro_us']}")
+    _write_fx(spark, sf, f"{source}/{loads.SHEET_FILES['macro_fx']}")
     _write_panel(b.panel_text(spark, sf), f"{source}/{loads.SHEET_FILES['risk_indicators']}")
     return source
 
@@ -175,30 +218,39 @@ HEADINGS = {"click": "WTI Crude spot", "error": "Brent Crude spot", "purchase":
 
 
 def _write_panel(panel, path):
-    """Write panel text with the original heading line, duplicate heading included."""
-    heading = ",".join(fv.PANEL_HEADINGS)
+    """Write panel text with the original headings of its columns, duplicate included."""
+    names = dict(zip(schemas.PANEL_FIELDS, fv.PANEL_HEADINGS))
+    _write_lines(panel, [",".join(names[c] for c in panel.columns)], path)
 
-    def with_heading(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": [heading]})
+
+def _write_lines(rows, opening: list[str], path):
+    """Comma-separated rows in files that all start with the same lines."""
+
+    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": opening})
         yield from frames
 
-    lines = panel.select(F.concat_ws(",", *panel.columns).alias("value"))
-    lines.mapInPandas(with_heading, "value string").write.text(path)
+    rows.select(F.concat_ws(",", *rows.columns).alias("value")).mapInPandas(opened, "value string").write.text(path)
 
 
 @query("load_stats", f"""
+WITH us_days AS (
+  SELECT DISTINCT CASE series WHEN 'error' THEN last_day(make_date(year(date), quarter(date) * 3, 1)) ELSE date END
+  FROM macro_long WHERE series IN ('click', 'error', 'purchase')
+)
 SELECT 'industry_mapping' AS table_name, count(*) AS n_rows FROM industry
 UNION ALL SELECT 'companies', count(*) FROM companies
 UNION ALL SELECT 'credit_events', count(*) FROM credit_events
 UNION ALL SELECT 'macro_commodities', count(*) FROM macro_wide
 UNION ALL SELECT 'macro_bond_yields', count(*) FROM macro_wide
+UNION ALL SELECT 'macro_us', count(*) FROM us_days
+UNION ALL SELECT 'macro_fx', count(*) FROM macro_wide
 UNION ALL SELECT 'risk_indicators', count(*) FROM (
   SELECT DISTINCT u3_company_number, year, month FROM ({PANEL_SQL})
   WHERE u3_company_number IN (SELECT u3_company_number FROM companies))
 """)
 def load_stats(spark, sf):
-    tables = [t for t in loads.SHEET_FILES if t not in ("macro_us", "macro_fx")]
-    return loads.load_all(spark, _export_sheets(spark, sf), scratch_path(spark, "tables"), only=tables)
+    return loads.load_all(spark, _export_sheets(spark, sf), scratch_path(spark, "tables"))
 
 
 @query("src_csv_roundtrip", """
@@ -222,6 +274,19 @@ def panel_dup_header(spark, sf):
     return rows.select(*loads.PANEL_KEY, "dtd_median", "dtd_median_i")
 
 
+@query("panel_by_name", f"""
+SELECT * EXCLUDE (stk_index, dtd), dtd, dtd AS dtd_median_i, stk_index AS dtd_median, stk_index FROM ({KNOWN_SQL})
+""")
+def panel_by_name(spark, sf):
+    """The columns of the file stand in reverse; of the two equal headings, the first one
+    in the file is still the first."""
+    path = scratch_path(spark, "panel-reversed")
+    panel = b.panel_text(spark, sf)
+    _write_panel(panel.select(*reversed(panel.columns)), path)
+    loaded = loads.risk_panel(sheets.read_panel_csv(spark, path), b.companies(spark, sf))
+    return loaded.select(*loads.PANEL_KEY, "company_number", "stk_index", "dtd", "dtd_median", "dtd_median_i")
+
+
 @query("write_roundtrip", """
 SELECT CAST(year(announcement_date) AS INTEGER) AS year, count(*) AS n_events, min(id) AS first_id,
        (SELECT count(*) FROM credit_events) AS n_written
@@ -236,14 +301,11 @@ def write_roundtrip(spark, sf):
     )
 
 
-@query("panel_stream", f"""
-SELECT DISTINCT u3_company_number, year, month FROM ({PANEL_SQL})
-WHERE u3_company_number IN (SELECT u3_company_number FROM companies)
-""")
+@query("panel_stream", KNOWN_SQL)
 def panel_stream(spark, sf):
     source, target = scratch_path(spark, "panel-files"), scratch_path(spark, "panel-table")
     _write_panel(b.panel_text(spark, sf).repartition(4, "company_number"), source)
     known = b.companies(spark, sf)
     job = stream.stream_panel(spark, source, known, target, scratch_path(spark, "panel-progress"), max_files=2)
     job.awaitTermination()
-    return stream.stored_panel(spark, target).select(*loads.PANEL_KEY)
+    return stream.stored_panel(spark, target).select(*loads.PANEL_KEY, "company_number", "stk_index", "dtd")

@@ -30,7 +30,7 @@ def industry_mapping(raw: DataFrame) -> DataFrame:
         clean.clean_blank(_maybe(raw, "industry_subgroup")).alias("industry_subgroup"),
         clean.to_int(_maybe(raw, "industry_subgroup_num")).alias("industry_subgroup_num"),
     )
-    return sinks.conform(ranking.unique_ids(table), schemas.INDUSTRY_MAPPING)
+    return sinks.conform(ranking.content_ids(table), schemas.INDUSTRY_MAPPING)
 
 
 def companies(raw: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def credit_events(raw: DataFrame, known_companies: DataFrame | None = None) -> D
     if known_companies is not None:
         table = integrity.keep_known(table, known_companies, "u3_company_number")
     return sinks.conform(
-        sinks.with_audit_columns(ranking.unique_ids(table), "created_at"), schemas.CREDIT_EVENTS
+        sinks.with_audit_columns(ranking.content_ids(table), "created_at"), schemas.CREDIT_EVENTS
     )
 
 
@@ -175,7 +175,16 @@ def _plan(spark: SparkSession, table: str, path: str, target: str) -> DataFrame:
         return fx_rates(*sheets.read_matrix(spark, path))
     known = spark.read.parquet(f"{target}/companies")
     panel = risk_panel(sheets.read_panel_csv(spark, path), known)
-    return sinks.conform(ranking.unique_ids(panel), schemas.RISK_INDICATORS)
+    return sinks.conform(_numbered_panel(panel), schemas.RISK_INDICATORS)
+
+
+def _numbered_panel(panel: DataFrame) -> DataFrame:
+    """Dense ids in the order of year, month and company; a slice is a span of companies."""
+    slices = {c: F.col(c) for c in ("_year", "_month")}
+    slices["_span"] = F.floor(F.col("u3_company_number") / 1_000_000.0)
+    keyed = panel.withColumns({"_year": F.col("year"), "_month": F.col("month")})
+    numbered = ranking.number_rows(keyed, [], slices, [F.col("u3_company_number").asc()], name="_position")
+    return numbered.withColumn("id", F.col("_position") + 1)
 
 
 _LAYOUT = {

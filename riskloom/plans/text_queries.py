@@ -73,36 +73,33 @@ _OWN = """'## Relevant Companies:' || chr(10) || chr(10) || '- ' || company_name
 _EVENT = """'- Date: ' || coalesce(CAST(announcement_date AS VARCHAR), 'None') || chr(10)
   || '  Type: ' || action_name || chr(10) || '  Company ID: ' || u3_company_number"""
 _EVENTS_HEAD = "chr(10) || '## Relevant Credit Events:' || chr(10) || chr(10)"
+_PAGES_SQL = f"""pages AS (
+  SELECT u3_company_number, pos // 10 AS page_no, count(*) AS n_events,
+         string_agg({_EVENT}, chr(10) || chr(10) ORDER BY pos) AS blocks
+  FROM numbered GROUP BY 1, 2
+)
+SELECT u3_company_number, CAST(coalesce(page_no, 0) AS BIGINT) AS page_no, coalesce(n_events, 0) AS n_events,
+  CASE WHEN coalesce(page_no, 0) = 0 THEN {_OWN} || coalesce(chr(10) || chr(10) || {_EVENTS_HEAD} || blocks, '')
+       ELSE {_EVENTS_HEAD} || blocks END AS context
+FROM described LEFT JOIN pages USING (u3_company_number)"""
 
 
 @query("company_context", f"""
-WITH latest AS (
-  SELECT u3_company_number, string_agg({_EVENT}, chr(10) || chr(10) ORDER BY rank) AS blocks
-  FROM (SELECT *, row_number() OVER (PARTITION BY u3_company_number
-          ORDER BY announcement_date DESC NULLS FIRST, id) AS rank FROM undated)
-  WHERE rank <= 5 GROUP BY 1
-)
-SELECT u3_company_number, {_OWN}
-  || coalesce(chr(10) || chr(10) || {_EVENTS_HEAD} || blocks, '') AS context
-FROM described LEFT JOIN latest USING (u3_company_number)
+WITH numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY u3_company_number
+           ORDER BY announcement_date DESC NULLS FIRST, id) - 1 AS pos
+  FROM undated
+), {_PAGES_SQL}
 """)
 def company_context(spark, sf):
-    return context.company_context(b.companies_described(spark, sf), b.undated_events(spark, sf), n_events=5)
+    return context.company_context(b.companies_described(spark, sf), b.undated_events(spark, sf), page_size=10)
 
 
 @query("company_profile", f"""
 WITH numbered AS (
   SELECT *, row_number() OVER (PARTITION BY u3_company_number ORDER BY announcement_date NULLS LAST, id) - 1 AS pos
   FROM undated
-), pages AS (
-  SELECT u3_company_number, pos // 10 AS page_no, count(*) AS n_events,
-         string_agg({_EVENT}, chr(10) || chr(10) ORDER BY pos) AS blocks
-  FROM numbered GROUP BY 1, 2
-)
-SELECT u3_company_number, CAST(coalesce(page_no, 0) AS BIGINT) AS page_no, coalesce(n_events, 0) AS n_events,
-  CASE WHEN coalesce(page_no, 0) = 0 THEN {_OWN} || coalesce(chr(10) || chr(10) || {_EVENTS_HEAD} || blocks, '')
-       ELSE {_EVENTS_HEAD} || blocks END AS context
-FROM described LEFT JOIN pages USING (u3_company_number)
+), {_PAGES_SQL}
 """)
 def company_profile(spark, sf):
     return context.company_profile(b.companies_described(spark, sf), b.undated_events(spark, sf), page_size=10)
@@ -186,19 +183,49 @@ SELECT vec_id, neighbour_id, round(similarity, 6) AS similarity, rank FROM (
 ) WHERE rank <= 5
 """)
 def similar_items(spark, sf):
-    return _rounded(similarity.similar_items(b.table(spark, sf, "embeddings"), 5, id_col="vec_id"))
+    items = b.table(spark, sf, "embeddings")
+    return _rounded(similarity.similar_items(items, 5, id_col="vec_id", cells=4, block_rows=128))
 
 
-@query("ann_topk")
-def ann_topk(spark, sf):
+def _index(spark, sf) -> str:
     path = scratch_path(spark, "vector-index")
     ann.build_index(b.table(spark, sf, "embeddings"), path, cells=16, id_col="vec_id")
-    return _rounded(ann.search_index(spark, path, _query_vectors(5), 10, probes=8, id_col="vec_id"))
+    return path
 
 
-@query("embed_hashing")
+@query("ann_topk", _topk_sql(5, 10))
+def ann_topk(spark, sf):
+    """All cells are probed here, so the hits are the exact ones."""
+    return _rounded(ann.search_index(spark, _index(spark, sf), _query_vectors(5), 10, probes=16, id_col="vec_id"))
+
+
+@query("ann_recall")
+def ann_recall(spark, sf):
+    found = ann.search_index(spark, _index(spark, sf), _query_vectors(20), 10, probes=8, id_col="vec_id")
+    exact = similarity.search(b.table(spark, sf, "embeddings"), _query_vectors(20), 10, id_col="vec_id")
+    return ann.recall(found, exact, "vec_id")
+
+
+def _hashed_sql(source: str, key: str) -> str:
+    """Places and weights of the hashed words of texts, as a table body."""
+    return f"""
+  SELECT {key}, place, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS FLOAT) AS weight FROM (
+    SELECT {key}, CAST(concat('0x', md5(word)[1:8]) AS BIGINT) % 1024 AS place, count(*)::DOUBLE AS n
+    FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS word
+          FROM {source} WHERE length(text) >= 10)
+    GROUP BY 1, 2)"""
+
+
+@query("embed_hashing", f"""
+SELECT doc_id, CAST(place AS INTEGER) AS place, round(weight::DOUBLE, 6) AS weight
+FROM ({_hashed_sql("documents", "doc_id")})
+""")
 def embed_hashing(spark, sf):
-    return embedding.embed_by_hashing(b.table(spark, sf, "documents"), id_col="doc_id")
+    """The filled places of every document's vector."""
+    made = embedding.embed_by_hashing(b.table(spark, sf, "documents"), id_col="doc_id")
+    return made.select("doc_id", F.posexplode("embedding").alias("place", "weight")).filter("weight <> 0").select(
+        "doc_id", "place", F.round(F.col("weight").cast("double"), 6).alias("weight")
+    )
 
 
 @query("hybrid_sources", f"""
@@ -219,12 +246,50 @@ def hybrid_sources(spark, sf):
     return similarity.sources(hits, b.companies(spark, sf), b.credit_events(spark, sf), id_col="vec_id")
 
 
-@query("text_search")
+TEXTS = {1: "the license of this document", 2: "copyright and all rights reserved"}
+
+
+@query("text_search", f"""
+WITH asked(query_id, text) AS (VALUES {", ".join(f"({q}::BIGINT, '{t}')" for q, t in TEXTS.items())}),
+d AS ({_hashed_sql("documents", "doc_id")}),
+q AS ({_hashed_sql("asked", "query_id")}),
+lengths AS (SELECT doc_id, sqrt(sum(weight::DOUBLE * weight::DOUBLE)) AS length FROM d GROUP BY 1),
+asked_lengths AS (SELECT query_id, sqrt(sum(weight::DOUBLE * weight::DOUBLE)) AS length FROM q GROUP BY 1),
+dots AS (
+  SELECT query_id, doc_id, sum(d.weight::DOUBLE * q.weight::DOUBLE) AS dot FROM d JOIN q USING (place) GROUP BY 1, 2
+)
+SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM (
+  SELECT query_id, doc_id AS id, similarity, CAST(row_number() OVER (
+           PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank
+  FROM (SELECT a.query_id, l.doc_id, round(coalesce(dot, 0) / (a.length * l.length), 12) AS similarity
+        FROM asked_lengths a CROSS JOIN lengths l
+        LEFT JOIN dots USING (query_id, doc_id))
+) WHERE rank <= 10
+""")
 def text_search(spark, sf):
-    documents = b.table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
-    texts = {1: "the license of this document", 2: "copyright and all rights reserved"}
-    items = embedding.embed_by_hashing(documents)
-    return _rounded(embedding.search_texts(items, texts, embedding.embed_by_hashing, 10))
+    """Texts are embedded once and stored; the search reads the stored vectors."""
+    documents = b.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    target = scratch_path(spark, "text-vectors")
+    embedding.refresh_embeddings(documents, target, embedding.embed_by_hashing)
+    return _rounded(embedding.search_texts(spark.read.parquet(target), TEXTS, embedding.embed_by_hashing, 10))
+
+
+def _letter_shares(texts: list[str]) -> list[list[float]]:
+    """A small embedding function as a caller would bring it: shares of five vowels."""
+    return [[t.count(v) / len(t) for v in "aeiou"] for t in texts]
+
+
+@query("embed_custom", """
+SELECT doc_id, 'vowels' AS embedding_model, length(text) AS n_chars,
+       round(CAST((length(text) - length(replace(text, 'a', ''))) / length(text) AS FLOAT)::DOUBLE, 6) AS share_a,
+       round(CAST((length(text) - length(replace(text, 'u', ''))) / length(text) AS FLOAT)::DOUBLE, 6) AS share_u
+FROM documents WHERE length(text) >= 10
+""")
+def embed_custom(spark, sf):
+    made = embedding.embed_texts(b.table(spark, sf, "documents"), _letter_shares, "vowels", id_col="doc_id")
+    share = lambda i: F.round(F.col("embedding")[i].cast("double"), 6)
+    return made.select("doc_id", "embedding_model", F.length("text_content").cast("long").alias("n_chars"),
+                       share(0).alias("share_a"), share(4).alias("share_u"))
 
 
 @query("embedding_refresh", """

@@ -62,11 +62,27 @@ TABLES = {
     "credit_event_embeddings": CREDIT_EVENT_EMBEDDINGS,
 }
 
-# Raw panel file: everything is text, and columns are taken by position because two
-# of them carry the same heading.
-PANEL_RAW = T.StructType(
-    [T.StructField(n, _str) for n in ["company_number", "year", "month", *fv.PANEL_MEASURES]]
-)
+# Fields of the raw panel file, in the order of ``fixed_values.PANEL_HEADINGS``.
+PANEL_FIELDS = ["company_number", "year", "month", *fv.PANEL_MEASURES]
+
+
+def panel_layout(headings: list[str]) -> list[str]:
+    """Field of each column of a panel file by its heading.
+
+    The n-th column of a repeated heading is the n-th field of that name. Columns with
+    other headings get names of their own and are not used.
+    """
+    waiting: dict[str, list[str]] = {}
+    for heading, field in zip(fv.PANEL_HEADINGS, PANEL_FIELDS):
+        waiting.setdefault(heading.lower(), []).append(field)
+    fields = []
+    for place, heading in enumerate(headings):
+        same = waiting.get(heading.strip().lower())
+        fields.append(same.pop(0) if same else f"_other{place}")
+    absent = {"company_number", "year", "month"} - set(fields)
+    if absent:
+        raise ValueError(f"panel file without {', '.join(sorted(absent))}: {headings}")
+    return fields
 
 
 def text_schema(names: list[str]) -> T.StructType:

@@ -7,7 +7,7 @@ import csv
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom import schemas
-from riskloom.functions import clean
+from riskloom.functions import clean, fixed_values as fv
 
 ROW = "_row"
 
@@ -29,11 +29,16 @@ def read_sheet(spark: SparkSession, path: str, columns: list[str] | None = None,
 def read_numbered_sheet(spark: SparkSession, path: str) -> DataFrame:
     """As ``read_sheet``, but with the original headings and a row number.
 
-    The number grows with the row's place in the file, which "first" and "last value
-    wins" rules need; a sheet is one file.
+    The number grows with the row's place in the sheet, which "first" and "last value
+    wins" rules need. Rows of a sheet in several files follow the order of file names.
     """
     sheet = spark.read.options(header=True, escape='"').csv(path)
-    return sheet.withColumn(ROW, F.monotonically_increasing_id())
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return sheet.withColumn(ROW, place)
 
 
 def read_matrix(spark: SparkSession, path: str, header_row: int = 1) -> tuple[DataFrame, list[str | None]]:
@@ -52,22 +57,53 @@ def read_matrix(spark: SparkSession, path: str, header_row: int = 1) -> tuple[Da
     return rows, headings
 
 
+def _panel_headings(spark: SparkSession, path: str) -> list[str]:
+    first = spark.read.text(path).first()
+    return next(csv.reader([first[0]]), []) if first else fv.PANEL_HEADINGS
+
+
+def _panel_by_heading(lines: DataFrame, headings: list[str]) -> DataFrame:
+    """Panel rows without heading lines, columns named by their fields.
+
+    Every file repeats the heading line. One that differs stops the job, since its
+    columns would be taken for others.
+    """
+    fields = schemas.panel_layout(headings)
+    cells = [F.lower(clean.strip(F.col(f))) for f in fields]
+    names = [h.strip().lower() for h in headings]
+    known = sorted({h.lower() for h in fv.PANEL_HEADINGS})
+    same = F.lit(True)
+    for cell, name in zip(cells, names):
+        same = same & (F.coalesce(cell, F.lit("")) == name)
+    keys = [F.col(f) for f in ("company_number", "year", "month")]
+    is_heading = F.coalesce(
+        F.exists(F.array(*keys), lambda c: F.lower(clean.strip(c)).isin(*known)), F.lit(False)
+    )
+    other = F.raise_error(F.concat(F.lit("panel file with other headings: "), F.concat_ws(",", *fields)))
+    rows = lines.filter(~F.when(is_heading, F.when(same, F.lit(True)).otherwise(other.cast("boolean")))
+                        .otherwise(F.lit(False)))
+    return rows.select(*[
+        F.col(f) if f in fields else F.lit(None).cast("string").alias(f) for f in schemas.PANEL_FIELDS
+    ])
+
+
 def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
     """The monthly risk panel, read in parallel splits.
 
-    Columns go by position, because the heading DTDmedian occurs twice.
+    Columns go by their headings, whatever their order; a field without a column is
+    NULL. All files of a folder share one heading line.
     """
-    return spark.read.schema(schemas.PANEL_RAW).option("header", True).csv(path)
+    headings = _panel_headings(spark, path)
+    layout = schemas.text_schema(schemas.panel_layout(headings))
+    return _panel_by_heading(spark.read.schema(layout).csv(path), headings)
 
 
 def stream_panel_csv(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """New panel files of a folder as a stream."""
-    return (
-        spark.readStream.schema(schemas.PANEL_RAW)
-        .option("header", True)
-        .option("maxFilesPerTrigger", max_files)
-        .csv(path)
-    )
+    """New panel files of a folder as a stream; all files share one heading line."""
+    headings = _panel_headings(spark, path)
+    layout = schemas.text_schema(schemas.panel_layout(headings))
+    lines = spark.readStream.schema(layout).option("maxFilesPerTrigger", max_files).csv(path)
+    return _panel_by_heading(lines, headings)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from riskloom import schemas
 from riskloom.functions import fixed_values as fv
-from riskloom.operators import integrity
 from riskloom.plans import loads
 from riskloom.sources import sheets
 
-_BATCH = "load_batch"
+# Every batch of every run owns a partition, and what it holds is never changed.
+_RUN, _BATCH = "load_run", "load_batch"
 _COLUMNS = ["company_number", "u3_company_number", "month", *fv.PANEL_MEASURES]
 
 
 def _stored_schema() -> T.StructType:
     kinds = {f.name: f.dataType for f in schemas.RISK_INDICATORS.fields}
-    kinds |= {"company_number": T.LongType(), _BATCH: T.LongType()}
-    return T.StructType([T.StructField(n, kinds[n]) for n in [*_COLUMNS, _BATCH, "year"]])
+    kinds |= {"company_number": T.LongType(), _RUN: T.StringType(), _BATCH: T.LongType()}
+    return T.StructType([T.StructField(n, kinds[n]) for n in [*_COLUMNS, _RUN, _BATCH, "year"]])
 
 
 def _stored(spark: SparkSession, target: str) -> DataFrame:
@@ -28,33 +30,34 @@ def _stored(spark: SparkSession, target: str) -> DataFrame:
 def create_target(spark: SparkSession, target: str) -> None:
     """Make the target folder if it does not exist yet."""
     empty = spark.createDataFrame([], _stored_schema())
-    empty.write.mode("ignore").partitionBy(_BATCH, "year").parquet(target)
+    empty.write.mode("ignore").partitionBy(_RUN, _BATCH, "year").parquet(target)
+
 
+def _run_name(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lives as long as the checkpoint, whose batch numbers it qualifies.
 
-def batch_years(batch: DataFrame) -> DataFrame:
-    """The years a batch touches; reads one column of it."""
-    return loads.panel_rows(batch).select("year").distinct()
+    A lost checkpoint starts again at batch 0; under a new name that batch does not
+    replace the rows of the earlier one.
+    """
+    path = f"{checkpoint.rstrip('/')}/run-name"
+    spark.createDataFrame([(uuid.uuid4().hex,)], "name string").coalesce(1).write.mode("ignore").parquet(path)
+    return spark.read.schema("name string").parquet(path).first()["name"]
 
 
-def append_batch(batch: DataFrame, batch_id: int, known_companies: DataFrame, target: str) -> None:
-    """Clean one batch and add the company months the target does not hold yet.
+def append_batch(batch: DataFrame, run: str, batch_id: int, known_companies: DataFrame, target: str) -> None:
+    """Clean one batch and store it, unique by company and month.
 
-    Every batch owns the partition that carries its number: a batch that is run again
-    after a failure ignores and replaces what it wrote before. Only the years of the
-    batch are read from the target.
+    A batch that is run again after a failure replaces what it wrote before, and nothing
+    else. Rows of other batches for the same month are settled when the panel is read.
     """
-    spark = batch.sparkSession
-    rows = loads.risk_panel(batch, known_companies)
-    years = [r["year"] for r in batch_years(batch).collect()]  # as many rows as calendar years
-    earlier = _stored(spark, target).filter(F.col("year").isin(*years) & (F.col(_BATCH) != batch_id))
-    fresh = rows.join(earlier.select(*loads.PANEL_KEY), loads.PANEL_KEY, "left_anti")
     (
-        fresh.withColumn(_BATCH, F.lit(batch_id).cast("long"))
-        .select(*_COLUMNS, _BATCH, "year")
+        loads.risk_panel(batch, known_companies)
+        .withColumns({_RUN: F.lit(run), _BATCH: F.lit(batch_id).cast("long")})
+        .select(*_COLUMNS, _RUN, _BATCH, "year")
         .hint("rebalance", "year")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(_BATCH, "year")
+        .partitionBy(_RUN, _BATCH, "year")
         .parquet(target)
     )
 
@@ -63,10 +66,11 @@ def stream_panel(spark: SparkSession, source: str, known_companies: DataFrame, t
                  checkpoint: str, max_files: int = 100) -> StreamingQuery:
     """Load all files that have arrived since the last run, then stop."""
     create_target(spark, target)
+    run = _run_name(spark, checkpoint)
     return (
         sheets.stream_panel_csv(spark, source, max_files)
         .writeStream.foreachBatch(
-            lambda batch, batch_id: append_batch(batch, batch_id, known_companies, target)
+            lambda batch, batch_id: append_batch(batch, run, batch_id, known_companies, target)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -75,5 +79,21 @@ def stream_panel(spark: SparkSession, source: str, known_companies: DataFrame, t
 
 
 def stored_panel(spark: SparkSession, target: str) -> DataFrame:
-    """What the stream has stored so far."""
-    return _stored(spark, target).drop(_BATCH)
+    """What the stream has stored so far, as the batch load would have it.
+
+    The lowest company number of a month wins, in whatever order files came. Filters on
+    the year reach the scan.
+    """
+    return loads.one_row_per_month(_stored(spark, target))
+
+
+def compact(spark: SparkSession, target: str, fresh: str) -> None:
+    """Write what ``target`` holds as one batch of a new target, to go on with there."""
+    (
+        stored_panel(spark, target)
+        .withColumns({_RUN: F.lit("compacted"), _BATCH: F.lit(0).cast("long")})
+        .select(*_COLUMNS, _RUN, _BATCH, "year")
+        .hint("rebalance", "year")
+        .write.partitionBy(_RUN, _BATCH, "year")
+        .parquet(fresh)
+    )

@@ -136,31 +136,72 @@ def test_write_table_overwrites_and_counts(spark, tmp_path):
     assert with_time == "timestamp_ntz"
 
 
-def test_stream_adds_each_month_once(spark, tmp_path):
-    source, target, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+@pytest.mark.parametrize("names", ["ab", "ba"])
+def test_stream_holds_what_a_batch_load_would(spark, tmp_path, names):
+    source, target, progress = tmp_path / "in", str(tmp_path / "out"), tmp_path / "progress"
     source.mkdir()
     known = spark.createDataFrame([(1,), (2,)], "u3_company_number int")
+    files = {
+        "a": [panel_line(1002, 2008, 1, "7"), panel_line(1001, 2008, 1, "5"), panel_line(9001, 2008, 1)],
+        "b": [panel_line(1000, 2008, 1, "9"), panel_line(2000, 2008, 1, "NA"), panel_line(1000, 2009, 1, "3")],
+    }
 
-    def run():
-        panel_stream.stream_panel(spark, str(source), known, target, progress).awaitTermination()
+    def run(checkpoint=progress):
+        panel_stream.stream_panel(spark, str(source), known, target, str(checkpoint)).awaitTermination()
         rows = panel_stream.stored_panel(spark, target).collect()
         return {(r["u3_company_number"], r["year"], r["month"]): r["dtd"] for r in rows}, len(rows)
 
-    def put(name, *lines):
-        (source / name).write_text("\n".join([PANEL_HEAD, *lines]) + "\n")
-
-    put("a.csv", panel_line(1002, 2008, 1, "7"), panel_line(1001, 2008, 1, "5"), panel_line(9001, 2008, 1))
-    assert run() == ({(1, 2008, 1): 5.0}, 1)
-    assert run() == ({(1, 2008, 1): 5.0}, 1)
-    put("b.csv", panel_line(1000, 2008, 1, "9"), panel_line(2000, 2008, 1, "NA"), panel_line(1000, 2009, 1, "3"))
-    expected = {(1, 2008, 1): 5.0, (2, 2008, 1): None, (1, 2009, 1): 3.0}
+    for name in names:
+        (source / f"{name}.csv").write_text("\n".join([PANEL_HEAD, *files[name]]) + "\n")
+        run()
+    expected = {(1, 2008, 1): 9.0, (2, 2008, 1): None, (1, 2009, 1): 3.0}
     assert run() == (expected, 3)
 
     # A batch that is run again replaces what it wrote.
     again = sheets.read_panel_csv(spark, str(source / "b.csv"))
-    panel_stream.append_batch(again, 1, known, target)
-    rows = panel_stream.stored_panel(spark, target).collect()
-    assert len(rows) == 3
+    for _ in range(2):
+        panel_stream.append_batch(again, "other", 1, known, target)
+    assert panel_stream.stored_panel(spark, target).count() == 3
+    # With a new checkpoint and only later files there, earlier months stay.
+    later = tmp_path / "later"
+    later.mkdir()
+    (later / "c.csv").write_text("\n".join([PANEL_HEAD, panel_line(2001, 2010, 2, "4")]) + "\n")
+    source = later
+    assert run(tmp_path / "lost") == (expected | {(2, 2010, 2): 4.0}, 4)
+    fresh = str(tmp_path / "fresh")
+    panel_stream.compact(spark, target, fresh)
+    assert panel_stream.stored_panel(spark, fresh).count() == 4
+
+
+def test_panel_columns_go_by_heading(spark, tmp_path):
+    path = tmp_path / "panel.csv"
+    path.write_text("dtd,DTDmedian,note,Year,MONTH,company_number,DTDmedian\n9,1,x,2008,1,1001,2\n,,,2008,2,1001,3\n")
+    rows = [r.asDict() for r in sheets.read_panel_csv(spark, str(path)).collect()]
+    assert (rows[0]["dtd"], rows[0]["dtd_median"], rows[0]["dtd_median_i"], rows[0]["stk_index"]) == ("9", "1", "2", None)
+    assert len(rows) == 2 and rows[1]["dtd_median_i"] == "3"
+    with pytest.raises(ValueError, match="company_number"):
+        schemas.panel_layout(["year", "month", "dtd"])
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "1.csv").write_text(PANEL_HEAD + "\n" + panel_line(1001, 2008, 1) + "\n")
+    (folder / "2.csv").write_text("year,month,Company_Number,dtd\n2008,1,1001,9\n")
+    with pytest.raises(Exception, match="other headings"):
+        sheets.read_panel_csv(spark, str(folder)).collect()
+
+
+def test_rows_of_a_sheet_in_two_files_keep_their_order(spark, tmp_path):
+    folder = tmp_path / "sheet"
+    folder.mkdir()
+    (folder / "1.csv").write_text("Dates,Gold spot\n2008-09-15,1\n")
+    (folder / "2.csv").write_text("Dates,Gold spot\n" + "2008-09-15,2\n" * 5000)
+    got = loads.commodities(sheets.read_numbered_sheet(spark, str(folder)))
+    assert [r["gold"] for r in got.collect()] == [1.0]
+
+
+def test_event_ids_do_not_depend_on_files(spark, source, tmp_path):
+    whole = sheets.read_sheet(spark, str(source / "credit_events.csv"))
+    key = lambda df: sorted((r["id"], r["action_name"]) for r in loads.credit_events(df).collect())
+    assert key(whole.coalesce(1)) == key(whole.repartition(7))
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark):

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import check_oracle
-from riskloom.operators import context, ranking
-from riskloom.plans import bindings as b, reports
+from riskloom.operators import context
+from riskloom.plans import bindings as b, catalog, reports
 
-WITHOUT_SQL = {"ann_topk", "embed_hashing", "text_search"}
+WITHOUT_SQL = {"ann_recall"}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def test_query(spark, con, data, name):
 
 
 def test_which_queries_have_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(catalog.QUERIES) - set(catalog.SQL) == WITHOUT_SQL
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -56,10 +56,8 @@ def test_key_filter_reaches_both_sides(spark, data):
     assert "EqualTo(o_custkey,7)" in plan and "EqualTo(c_custkey,7)" in plan
 
 
-@pytest.mark.parametrize("limit", [50, 1_000_000])
-def test_hot_company_gives_the_same_rows(spark, data, monkeypatch, limit):
+def test_hot_company_gives_the_same_rows(spark, data):
     """A third of all events belong to one company; pages and counts stay exact."""
-    monkeypatch.setattr(ranking, "GROUP_LIMIT", limit)
     events = b.credit_events(spark, data)
     hot = events.withColumn(
         "u3_company_number", F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("u3_company_number"))
@@ -79,9 +77,8 @@ def test_hot_company_gives_the_same_rows(spark, data, monkeypatch, limit):
     assert top["u3_company_number"] == 1
 
 
-def test_joins_on_a_hot_company_are_split(spark, monkeypatch):
+def test_joins_on_a_hot_company_are_split(spark):
     """Joins that cannot be aggregated first keep the large side where Spark can split it."""
-    monkeypatch.setattr(ranking, "GROUP_LIMIT", 50)
     data = "/root/testdata/sf0.01"
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",

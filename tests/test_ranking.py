@@ -1,14 +1,11 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import integrity, ranking
 
 
-@pytest.mark.parametrize("limit", [100, 1_000_000])
-def test_positions_in_hot_and_small_groups(spark, monkeypatch, limit):
-    monkeypatch.setattr(ranking, "GROUP_LIMIT", limit)
+def test_positions_in_hot_and_small_groups(spark):
     rng = random.Random(3)
     rows = [("hot", rng.randrange(4), i) for i in range(3000)] + [
         (f"g{rng.randrange(200)}", rng.randrange(50), i) for i in range(3000, 9000)
@@ -25,8 +22,7 @@ def test_positions_in_hot_and_small_groups(spark, monkeypatch, limit):
     assert {(r["g"], r["day"], r["id"]): r["position"] for r in got.collect()} == expected
 
 
-def test_hot_group_is_spread_over_slices(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "GROUP_LIMIT", 1000)
+def test_hot_group_is_spread_over_slices(spark):
     df = spark.range(20000).select(F.lit("hot").alias("g"), (F.col("id") % 3).alias("day"), "id")
     got = ranking.number_rows(
         df, ["g"], {"_d": F.col("day"), "_s": F.floor(F.col("id") / 500.0)}, [F.col("id").asc()]
@@ -37,15 +33,23 @@ def test_hot_group_is_spread_over_slices(spark, monkeypatch):
     assert got.agg(F.countDistinct("position"), F.max("position")).first()[:] == (20000, 19999)
 
 
-@pytest.mark.parametrize("limit", [2, 1_000_000])
-def test_surrogate_ids_are_dense(spark, monkeypatch, limit):
-    monkeypatch.setattr(ranking, "GROUP_LIMIT", limit)
+def test_surrogate_ids_are_dense(spark):
     df = spark.createDataFrame([(k,) for k in (5, -7, 10**12, 999_999, 1_000_000, 2)], "key long")
     got = ranking.surrogate_ids(df, "key")
     assert [tuple(r) for r in got.orderBy("id").select("id", "key").collect()] == list(
         enumerate(sorted([5, -7, 10**12, 999_999, 1_000_000, 2]), 1)
     )
-    assert ranking.unique_ids(df).select("id").distinct().count() == 6
+
+
+def test_content_ids_do_not_depend_on_splits(spark):
+    rows = [(i % 7 if i % 3 else None, "hot" if i % 2 else f"x{i}") for i in range(600)] + [(1, "hot")] * 400
+    df = spark.createDataFrame(rows, "a int, `b c` string")
+    one = sorted(map(repr, ranking.content_ids(df.coalesce(1)).collect()))
+    assert one == sorted(map(repr, ranking.content_ids(df.repartition(7)).collect()))
+    got = ranking.content_ids(df)
+    assert sorted(r["id"] for r in got.collect()) == list(range(1, 1001))
+    assert sorted(map(repr, got.drop("id").collect())) == sorted(map(repr, df.collect()))
+    assert ranking.content_ids(df.limit(0)).count() == 0
 
 
 def test_top_k_per_group_limits_before_the_shuffle(spark):

@@ -52,13 +52,21 @@ HEAD = "\n## Relevant Credit Events:"
 
 def test_company_context(spark):
     companies, events = _tables(spark)
-    got = {r[0]: r[1] for r in context.company_context(companies, events, 2).collect()}
+    got = {r["u3_company_number"]: r["context"] for r in context.company_context(companies, events, 2).collect()}
     assert got == {
         1: "\n\n".join([OWN, HEAD, _event("None"), _event("2008-01-02")]),
         2: "## Relevant Companies:\n\n- Bolt (None)\n  Sector: N/A\n  Industry: Oil",
     }
 
 
+def test_company_context_holds_all_events(spark):
+    companies, events = _tables(spark)
+    got = {(r[0], r[1]): r[3] for r in context.company_context(companies, events, page_size=2).collect()}
+    assert got[1, 0] == "\n\n".join([OWN, HEAD, _event("None"), _event("2008-01-02")])
+    assert got[1, 1] == "\n\n".join([HEAD, _event("2008-01-01")])
+    assert set(got) == {(1, 0), (1, 1), (2, 0)}
+
+
 def test_company_profile_pages_hold_all_events(spark):
     companies, events = _tables(spark)
     got = {(r[0], r[1]): (r[2], r[3]) for r in context.company_profile(companies, events, page_size=2).collect()}
