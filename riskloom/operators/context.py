@@ -101,6 +101,40 @@ def _numbered(events: DataFrame, latest_first: bool = False, id_span: int = 1_00
     )
 
 
+def event_children(events: DataFrame, page_size: int = 100) -> DataFrame:
+    """The events of every company as arrays of structs, in pages of bounded size."""
+    numbered = _numbered(events).withColumn("page_no", F.floor(F.col("position") / page_size))
+    child = F.struct("position", "id", "announcement_date", "action_name")
+    fields = ["id", "announcement_date", "action_name"]
+    return numbered.groupBy("u3_company_number", "page_no").agg(
+        F.sort_array(F.collect_list(child)).alias("events")
+    ).withColumn("events", F.transform("events", lambda e: F.struct(*[e[f].alias(f) for f in fields])))
+
+
+def query_context(hits: DataFrame, companies: DataFrame, events: DataFrame, id_col: str = "id") -> DataFrame:
+    """One document per question from the hits of a hybrid search, in order of rank.
+
+    ``companies`` has ``sector`` and ``industry`` columns. A question has at most ``k``
+    hits of a kind, so its document is bounded. Hits that no table knows are left out; a
+    question without known hits says so.
+    """
+    wanted = hits.select("query_id", "entity", "rank", F.col(id_col).alias("_hit"))
+    named = wanted.filter("entity = 'company'").join(companies, F.col("_hit") == F.col("u3_company_number")).select(
+        "query_id", "entity", "rank",
+        company_block(F.col("company_name"), F.col("ticker"), F.col("sector"), F.col("industry")).alias("block"),
+    )
+    dated = wanted.filter("entity = 'event'").join(events, F.col("_hit") == F.col("id")).select(
+        "query_id", "entity", "rank",
+        event_block(F.col("announcement_date"), F.col("action_name"), F.col("u3_company_number")).alias("block"),
+    )
+    blocks = named.unionByName(dated).groupBy("query_id").pivot("entity", ["company", "event"]).agg(
+        _in_order("rank", "block", "\n\n")
+    )
+    return wanted.select("query_id").distinct().join(blocks, "query_id", "left").select(
+        "query_id", join_blocks(F.coalesce("company", F.lit("")), F.coalesce("event", F.lit(""))).alias("context")
+    )
+
+
 def event_pages(events: DataFrame, line: Column, page_size: int = 100) -> DataFrame:
     """All events of every company as text lines, cut into pages of bounded size."""
     numbered = _numbered(events).select(

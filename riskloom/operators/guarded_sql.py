@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -86,18 +87,29 @@ class UnsafeSql(ValueError):
     """A SQL text was refused."""
 
 
-def run_select(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None,
+Tables = dict[str, DataFrame] | Callable[[SparkSession], dict[str, DataFrame]]
+
+
+def run_select(spark: SparkSession, sql: str, tables: Tables | None = None,
                rows: int | None = DEFAULT_CAP, mode: str = "word") -> DataFrame:
     """Check one SQL text, run it on the given tables and cap the result.
 
-    The tables become temporary views of the session under their names. Dates and times
-    come back as ISO text. The check is a policy, not a security
-    boundary; the session should only hold read access to its data.
+    A function that opens the tables in the session it is given gets a session of its
+    own: the text then sees no views but these, and cannot name files as tables. Tables
+    given as such belong to a session already and become temporary views of it. Dates and
+    times come back as ISO text. The check is a policy, not a security boundary; the
+    session should only hold read access to its data.
     """
     text = spark.range(1).select(strip_fences(F.lit(sql)).alias("sql"))
     checked = audit_sql(text, "sql", mode).first()
     if not checked["is_safe"]:
         raise UnsafeSql(f"Unsafe SQL: {checked['error']}")
+    if callable(tables):
+        own = spark.newSession()
+        for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+            own.conf.set(key, spark.conf.get(key))
+        own.conf.set("spark.sql.runSQLOnFiles", "false")
+        spark, tables = own, tables(own)
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
     return clean.iso_frame(cap(spark.sql(re.sub(r";\s*$", "", checked["sql"])), rows))

@@ -159,6 +159,11 @@ def hybrid_search(entities: dict[str, DataFrame], queries: dict[int, Sequence[fl
     )
 
 
+def with_attributes(hits: DataFrame, table: DataFrame, id_col: str = "id") -> DataFrame:
+    """Hits with the columns of the table they refer to; hits it does not know go."""
+    return hits.join(table, id_col)
+
+
 def sources(hits: DataFrame, companies: DataFrame, events: DataFrame, id_col: str = "id") -> DataFrame:
     """What the hits of a hybrid search refer to, as ``(entity, id, name, detail)``.
 

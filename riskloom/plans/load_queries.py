@@ -58,6 +58,31 @@ def panel_rejects(spark, sf):
     return loads.panel_rejects(b.panel_text(spark, sf), b.companies(spark, sf))
 
 
+@query("panel_summary", f"""
+WITH lines AS (
+  SELECT company_number // 1000 AS company, year, month, company_number % 7 <> 0 AS dated,
+         company_number // 1000 IN (SELECT u3_company_number FROM companies) AS known
+  FROM panel_text
+)
+SELECT count(*) AS n_read,
+       (SELECT count(*) FROM (SELECT DISTINCT company, year, month FROM lines WHERE dated AND known)) AS n_kept,
+       count(*) FILTER (WHERE NOT dated) AS n_without_month,
+       count(*) FILTER (WHERE dated AND NOT known) AS n_unknown_company,
+       count(*) FILTER (WHERE dated AND known)
+         - (SELECT count(*) FROM (SELECT DISTINCT company, year, month FROM lines WHERE dated AND known)) AS n_repeated,
+       count(*) FILTER (WHERE month = 3) AS n_bad_numbers
+FROM lines
+""")
+def panel_summary(spark, sf):
+    """Lines are spoilt by a rule: no month where 7 divides the number, text in March."""
+    raw = b.panel_text(spark, sf)
+    spoilt = raw.withColumns({
+        "sigma": F.when(F.col("month") == "3", F.lit("about 2")).otherwise(F.col("sigma")),
+        "month": F.when(F.col("company_number").cast("long") % 7 != 0, F.col("month")),
+    })
+    return loads.panel_summary(spoilt, b.companies(spark, sf))
+
+
 def _wins_sql(function: str) -> str:
     columns = ", ".join(
         f"{function}(value, position) FILTER (WHERE series = '{s}' AND value IS NOT NULL) AS \"{s}\""

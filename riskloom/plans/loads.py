@@ -106,6 +106,37 @@ def risk_panel(raw: DataFrame, known_companies: DataFrame) -> DataFrame:
     return integrity.keep_known(rows, known_companies, "u3_company_number")
 
 
+def panel_summary(raw: DataFrame, known_companies: DataFrame) -> DataFrame:
+    """One row about a panel file: lines read and kept, and lines rejected by reason.
+
+    A line without a whole year or month is skipped; of the others, those of unknown
+    companies are, and those that repeat a company month. ``n_bad_numbers`` counts lines
+    kept or not with a measure that is neither a number nor a known blank; it becomes
+    NULL. Lines are counted per company month before the join.
+    """
+    number = clean.to_double(F.col("company_number"))
+    bad = F.lit(False)
+    for measure in fv.PANEL_MEASURES:
+        bad = bad | F.coalesce(clean.is_rejected_number(F.col(measure)), F.lit(False))
+    per_month = raw.groupBy(
+        clean.company_key(number).alias("u3_company_number"),
+        clean.to_int(F.col("year")).alias("year"), clean.to_int(F.col("month")).alias("month"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"))
+    known = known_companies.select(F.col("u3_company_number").alias("_known")).distinct()
+    judged = per_month.join(known, F.col("u3_company_number") == F.col("_known"), "left")
+    dated = F.col("year").isNotNull() & F.col("month").isNotNull()
+    kept = dated & F.col("_known").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return judged.agg(
+        total("n").alias("n_read"),
+        F.count_if(kept).alias("n_kept"),
+        total(F.when(~dated, F.col("n"))).alias("n_without_month"),
+        total(F.when(dated & F.col("_known").isNull(), F.col("n"))).alias("n_unknown_company"),
+        total(F.when(kept, F.col("n") - 1)).alias("n_repeated"),
+        total("bad").alias("n_bad_numbers"),
+    )
+
+
 def panel_rejects(raw: DataFrame, known_companies: DataFrame) -> DataFrame:
     """Companies of the panel file that are unknown, with their number of rows."""
     keys = raw.select(clean.company_key(clean.to_double(F.col("company_number"))).alias("u3_company_number"))

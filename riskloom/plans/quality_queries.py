@@ -204,6 +204,7 @@ def table_profile(spark, sf):
     return profile.table_profile(
         {"companies": b.companies(spark, sf), "credit_events": b.undated_events(spark, sf)},
         {"companies": ["u3_company_number"], "credit_events": ["id"]},
+        exact=True,
     )
 
 

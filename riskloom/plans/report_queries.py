@@ -234,8 +234,8 @@ def events_per_company(spark, sf):
     return r.nested_events(b.undated_events(spark, sf), page_size=10)
 
 
-def _views(spark, sf):
-    return {"companies": b.companies(spark, sf), "credit_events": b.credit_events(spark, sf)}
+def _views(sf):
+    return lambda own: {"companies": b.companies(own, sf), "credit_events": b.credit_events(own, sf)}
 
 
 @query("capped_query", """
@@ -246,7 +246,7 @@ def capped_query(spark, sf):
     sql = """```sql
 SELECT id, u3_company_number, announcement_date, action_name FROM credit_events ORDER BY id;
 ```"""
-    return guarded_sql.run_select(spark, sql, _views(spark, sf))
+    return guarded_sql.run_select(spark, sql, _views(sf))
 
 
 WINDOW_SQL = """
@@ -262,7 +262,7 @@ ORDER BY month
 """)
 def k3_window(spark, sf):
     sql = f"SELECT date_format(month_start, 'yyyy-MM') AS month, n_events, change FROM ({WINDOW_SQL}) ORDER BY month"
-    return guarded_sql.run_select(spark, sql, _views(spark, sf), rows=None)
+    return guarded_sql.run_select(spark, sql, _views(sf), rows=None)
 
 
 SETOPS_SQL = """
@@ -274,4 +274,4 @@ EXCEPT SELECT u3_company_number FROM credit_events WHERE action_name = '1-URGENT
 @query("k3_setops", f"SELECT * FROM ({SETOPS_SQL}) ORDER BY u3_company_number")
 def k3_setops(spark, sf):
     sql = f"SELECT * FROM ({SETOPS_SQL}) ORDER BY u3_company_number"
-    return guarded_sql.run_select(spark, sql, _views(spark, sf), rows=None)
+    return guarded_sql.run_select(spark, sql, _views(sf), rows=None)

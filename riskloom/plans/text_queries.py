@@ -246,6 +246,60 @@ def hybrid_sources(spark, sf):
     return similarity.sources(hits, b.companies(spark, sf), b.credit_events(spark, sf), id_col="vec_id")
 
 
+@query("event_search", f"""
+SELECT query_id, vec_id, rank, round(similarity, 6) AS similarity, action_name AS event_type,
+       CAST(announcement_date AS VARCHAR) AS announcement_date, company_name, ticker
+FROM ({_topk_sql(3, 10, "WHERE label >= 5")}) JOIN credit_events ON vec_id = id JOIN companies USING (u3_company_number)
+""")
+def event_search(spark, sf):
+    events = b.credit_events(spark, sf).join(b.companies(spark, sf), "u3_company_number").select(
+        F.col("id").alias("vec_id"), F.col("action_name").alias("event_type"),
+        F.col("announcement_date").cast("string").alias("announcement_date"), "company_name", "ticker",
+    )
+    items = b.table(spark, sf, "embeddings").filter("label >= 5")
+    hits = similarity.search(items, _query_vectors(3), 10, id_col="vec_id")
+    return _rounded(similarity.with_attributes(hits, events, "vec_id"))
+
+
+_COMPANY_LINES = """'- ' || company_name || ' (' || ticker || ')' || chr(10) || '  Sector: '
+  || coalesce(sector, 'N/A') || chr(10) || '  Industry: ' || coalesce(industry, 'N/A')"""
+
+
+@query("query_context", f"""
+WITH company_hits AS (
+  SELECT query_id, string_agg({_COMPANY_LINES}, chr(10) || chr(10) ORDER BY rank) AS blocks
+  FROM ({_topk_sql(4, 5, "WHERE label < 5")}) JOIN described ON vec_id = u3_company_number GROUP BY 1
+), event_hits AS (
+  SELECT query_id, string_agg({_EVENT}, chr(10) || chr(10) ORDER BY rank) AS blocks
+  FROM ({_topk_sql(4, 5, "WHERE label >= 5")}) JOIN undated ON vec_id = id GROUP BY 1
+)
+SELECT q AS query_id, coalesce(nullif(concat_ws(chr(10) || chr(10),
+  '## Relevant Companies:' || chr(10) || chr(10) || c.blocks, {_EVENTS_HEAD} || e.blocks), ''),
+  'No relevant data found.') AS context
+FROM range(4) AS t(q) LEFT JOIN company_hits c ON q = c.query_id LEFT JOIN event_hits e ON q = e.query_id
+""")
+def query_context(spark, sf):
+    items = b.table(spark, sf, "embeddings")
+    kinds = {"company": items.filter("label < 5"), "event": items.filter("label >= 5")}
+    hits = similarity.hybrid_search(kinds, _query_vectors(4), 5, id_col="vec_id")
+    return context.query_context(hits, b.companies_described(spark, sf), b.undated_events(spark, sf), "vec_id")
+
+
+@query("company_children", """
+SELECT u3_company_number, CAST(pos // 10 AS BIGINT) AS page_no, count(*) AS n_events,
+       min_by(id, pos) AS first_id, max_by(id, pos) AS last_id, max_by(action_name, pos) AS last_action
+FROM (SELECT *, row_number() OVER (PARTITION BY u3_company_number ORDER BY announcement_date NULLS LAST, id) - 1 AS pos
+      FROM undated) GROUP BY 1, 2
+""")
+def company_children(spark, sf):
+    pages = context.event_children(b.undated_events(spark, sf), page_size=10)
+    first, last = F.element_at("events", 1), F.element_at("events", -1)
+    return pages.select(
+        "u3_company_number", "page_no", F.size("events").cast("long").alias("n_events"),
+        first["id"].alias("first_id"), last["id"].alias("last_id"), last["action_name"].alias("last_action"),
+    )
+
+
 TEXTS = {1: "the license of this document", 2: "copyright and all rights reserved"}
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from riskloom.functions.fixed_values import FORBIDDEN_WORDS
@@ -81,3 +82,19 @@ def test_run_select(spark):
     with pytest.raises(g.UnsafeSql, match="Only SELECT queries allowed, got: DROP"):
         g.run_select(spark, "DROP VIEW numbers", tables)
     assert spark.table("numbers").count() == 300
+
+
+def test_tables_can_be_opened_in_a_session_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(7).write.parquet(path)
+    spark.range(3).createOrReplaceTempView("others_view")
+    opened = lambda own: {"mine": own.read.parquet(path)}
+    assert g.run_select(spark, "SELECT * FROM mine", opened).count() == 7
+    assert not spark.catalog.tableExists("mine")
+    for text in ("SELECT * FROM others_view", f"SELECT * FROM parquet.`{path}`", f"SELECT * FROM `parquet`.`{path}`",
+                 f"SELECT * FROM parquet/**/.`{path}`"):
+        with pytest.raises((g.UnsafeSql, AnalysisException)):
+            g.run_select(spark, text, opened)
+        if "parquet" in text:  # also where the audit is the lenient one
+            with pytest.raises(AnalysisException):
+                g.run_select(spark, text, opened, mode="substring")

@@ -88,6 +88,8 @@ def test_load_all(spark, source, tmp_path):
     assert described["risk_indicators", "dtd"]["n_present"] == 1
     assert described["companies", "company_name"]["max_width"] == 14
     assert described["companies", "id_isin"]["n_distinct"] == 0
+    counted = profile.table_profile(tables, exact=True).collect()
+    assert {(r["table_name"], r["column_name"]): r for r in counted} == described
 
 
 def test_selected_tables_and_missing_input(spark, source, tmp_path):
@@ -118,6 +120,10 @@ def test_rejects_are_counted(spark, source):
     raw = sheets.read_panel_csv(spark, str(source / "risk_indicators.csv"))
     known = spark.createDataFrame([(26978,), (5,)], "u3_company_number int")
     assert [tuple(r) for r in loads.panel_rejects(raw, known).collect()] == [(777, 1)]
+    summary = loads.panel_summary(raw, known).first().asDict()
+    assert summary == {"n_read": 6, "n_kept": 3, "n_without_month": 1, "n_unknown_company": 1, "n_repeated": 1,
+                       "n_bad_numbers": 0}
+    assert set(loads.panel_summary(raw.limit(0), known).first()) == {0}
 
 
 def test_positional_sheet(spark, tmp_path):
