@@ -184,7 +184,7 @@ SELECT vec_id, neighbour_id, round(similarity, 6) AS similarity, rank FROM (
 """)
 def similar_items(spark, sf):
     items = b.table(spark, sf, "embeddings")
-    return _rounded(similarity.similar_items(items, 5, id_col="vec_id", cells=4, block_rows=128))
+    return _rounded(similarity.similar_items(items, 5, id_col="vec_id", cells=4, block_rows=256))
 
 
 def _index(spark, sf) -> str:
