@@ -25,6 +25,7 @@ TERMS, EXTRA = 1024, 2
 RANK = 48
 SAMPLE = 4096
 NEIGHBOURS = 15
+BLOCK = 1024  # texts compared at once
 POWER = 8  # weight of a neighbour: cosine ** POWER
 REPEAT_WEIGHT = 4.0
 
@@ -95,12 +96,15 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> dict:
 
 
 def vote(counts: np.ndarray, model: dict) -> np.ndarray:
-    """Weighted share of label 1 among the nearest labelled vectors."""
-    cosine = latent(counts, model) @ model["vectors"].T
-    k = min(NEIGHBOURS, cosine.shape[1])
-    nearest = np.argpartition(cosine, -k, axis=1)[:, -k:]
-    weight = np.maximum(np.take_along_axis(cosine, nearest, 1), 1e-6) ** POWER
-    return (weight * model["labels"][nearest]).sum(1) / weight.sum(1)
+    """Weighted share of label 1 among the nearest labelled vectors, block by block."""
+    out = np.empty(len(counts))
+    for a in range(0, len(counts), BLOCK):
+        cosine = latent(counts[a : a + BLOCK], model) @ model["vectors"].T
+        k = min(NEIGHBOURS, cosine.shape[1])
+        nearest = np.argpartition(cosine, -k, axis=1)[:, -k:]
+        weight = np.maximum(np.take_along_axis(cosine, nearest, 1), 1e-6) ** POWER
+        out[a : a + BLOCK] = (weight * model["labels"][nearest]).sum(1) / weight.sum(1)
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
