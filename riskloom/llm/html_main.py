@@ -172,13 +172,13 @@ def content_node(blocks: list[tuple[int, str]], parents: list[int], tags: list[s
         below[p] += n
     for p in range(len(parents) - 1, 0, -1):  # children have higher numbers
         below[parents[p]] += below[p]
+    children: list[list[int]] = [[] for _ in parents]
+    for p in range(1, len(parents)):
+        children[parents[p]].append(p)
     headed = {parents[p] for p in order if tags[p] in HEADINGS}
     node, whole = 0, below[0]
     while tags[node] not in ("article", "main") and node not in headed:
-        deeper = [
-            p for p in range(node + 1, len(parents))
-            if parents[p] == node and tags[p] in CONTAINERS and elements[p] == 1 and below[p] >= SHARE * whole
-        ]
+        deeper = [p for p in children[node] if tags[p] in CONTAINERS and elements[p] == 1 and below[p] >= SHARE * whole]
         if not deeper:
             break
         node = deeper[0]
