@@ -11,6 +11,8 @@ are sorted only where some occur twice, and nothing is exploded or shuffled by w
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,24 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.hex(x))), "-")
 
 
+def _slice_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are at most ``value``; null is in slice 0.
+
+    Looked up in two steps, first among every ``stride``-th cut, then in the stretch that
+    follows it, so a row is compared with about 2 * sqrt(cuts) of them.
+    """
+    if not cuts:
+        return F.lit(0)
+    stride = max(1, math.isqrt(len(cuts)))
+
+    def up_to(listed: Column) -> Column:
+        return F.coalesce(F.size(F.filter(listed, lambda c: c <= value)), F.lit(0))
+
+    every = F.lit(cuts).cast("array<bigint>")
+    before = F.greatest(up_to(F.lit(cuts[::stride]).cast("array<bigint>")) - 1, F.lit(0)) * stride
+    return before + up_to(F.slice(every, before + 1, F.lit(stride)))
+
+
 def with_next(docs: DataFrame, slices: int) -> DataFrame:
     """doc_id, text, slice, nth, and the text of the next document by id, then by text.
 
@@ -132,8 +152,7 @@ def with_next(docs: DataFrame, slices: int) -> DataFrame:
     shares = [i / slices for i in range(1, slices)]
     cuts = docs.agg(F.percentile_approx("doc_id", shares, 10 * slices).alias("c")).first()["c"] if shares else []
     cuts = sorted(set(cuts or []))
-    slice_no = F.coalesce(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    sliced = docs.withColumn("slice", slice_no)
+    sliced = docs.withColumn("slice", _slice_of(F.col("doc_id"), cuts))
     heads = {r["slice"]: r["head"] for r in sliced.groupBy("slice").agg(
         F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("head")).collect()}
     order = sorted(heads)

@@ -1,5 +1,6 @@
 """Operators against brute force on whole tables, and their own properties."""
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import check_oracle
-from riskloom.llm import catalog, html_main, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup, windows
+from riskloom.llm import catalog, fingerprints, html_main, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup, windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -235,6 +236,14 @@ def test_fingerprints(spark, data, documents):
     assert np.mean([a for a, _ in near]) > 0.1 > np.mean([b for _, b in near])
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 17, 200])
+def test_slices_of_ids(spark, n):
+    values = [None, *range(-5, 3000, 7)]
+    cuts = sorted(np.random.default_rng(n).choice(3000, n, replace=False).tolist())
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", fingerprints._slice_of(F.col("v"), cuts).alias("slice")).collect()
+    assert all(r.slice == (0 if r.v is None else bisect.bisect_right(cuts, r.v)) for r in rows)
+
+
 def test_fingerprints_see_order(spark):
     from riskloom.llm import fingerprints
 
