@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
+    alignment,
     fingerprints,
     html_main,
     mixing,
@@ -19,7 +20,9 @@ from riskloom.llm import (
     sharding,
     sql,
     substring_dedup,
+    token_counts,
     url_filter,
+    vector_codes,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +130,24 @@ def op10(spark: SparkSession, data: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op11_vector_codes", sql.VECTOR_CODES)
+def op11(spark: SparkSession, data: str) -> DataFrame:
+    return vector_codes.compress(table(spark, data, "embeddings"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, data: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, data, "documents"), *paths).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+TOKEN_LIMIT = 1024
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, data: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, data, "documents"), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)

@@ -124,3 +124,50 @@ WITH RECURSIVE split AS (
 SELECT d.doc_id, least(d.doc_id, l.b) AS class_id, CAST(coalesce(g.n, 0) AS BIGINT) AS n_links, CAST(c.n AS BIGINT) AS n_copies
 FROM documents d LEFT JOIN least_id l ON l.a = d.doc_id LEFT JOIN degrees g ON g.a = d.doc_id JOIN copies c USING (doc_id)
 """
+
+
+def vector_codes(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Product codes by comparing every part with every entry, round after round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS (
+  SELECT r, p, piece, arg_min(e, d * {entries} + e) AS e, min(d) AS d
+  FROM (
+    SELECT x.r, x.p, x.piece, b.e, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(x.piece, b.piece)]) AS d
+    FROM pieces x JOIN book{k} b USING (p)
+  ) GROUP BY r, p, piece
+)""")
+        if k < rounds:
+            steps.append(f"""
+mean{k} AS (
+  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS piece
+  FROM (
+    SELECT p, e, i, sum(piece[i]) AS s, count(*) AS n FROM near{k}, (SELECT unnest(range(1, w + 1)) AS i FROM width) GROUP BY p, e, i
+  ) GROUP BY p, e
+), book{k + 1} AS (
+  SELECT p, e, coalesce(m.piece, b.piece) AS piece FROM book{k} b LEFT JOIN mean{k} m USING (p, e)
+)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id, v) AS r FROM kept
+), width AS (SELECT max(len(v)) // {parts} AS w FROM kept
+), pieces AS (
+  SELECT r, p, v[p * w + 1 : (p + 1) * w] AS piece FROM numbered, width, (SELECT unnest(range({parts})) AS p)
+), book0 AS (SELECT p, r - 1 AS e, piece FROM pieces WHERE r <= {entries}
+),{",".join(steps)},
+coded AS (
+  SELECT r, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY r
+), books AS (
+  SELECT sha256(string_agg(array_to_string(piece, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT n.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY n.label) AS BIGINT) AS label_error, b.codebooks_sha256
+FROM numbered n JOIN coded c USING (r), books b
+"""
+
+
+VECTOR_CODES = vector_codes(8, 16, 6, 4096)

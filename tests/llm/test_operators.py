@@ -25,7 +25,7 @@ def test_same_rows_as_sql(spark, data, name):
 
 def test_registered():
     found = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in found if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in found if re.match(r"op\d+_", n)} == set(range(1, 14))
     assert "pipeline" in found
 
 
