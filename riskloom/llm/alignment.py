@@ -5,7 +5,7 @@ into groups, and the two tokens that end there are a link. How often an id pair
 is counted over all documents without holding pairs in memory:
 
 1. Documents are encoded in chunks of bounded size. A chunk's (B id, A id, document, times)
-   records are sorted side-major, radix-partitioned by the B id into cells, and written as
+   records are sorted side-major, radix-partitioned by the B id's upper digits into cells, and written as
    zstd-compressed runs. Chunk and place in the chunk name a document from here on.
 2. A cell whose runs exceed a bound is split over several tasks by chunk, as a B id may hold
    a large part of all links. A task merges its runs with a heap, block by block. Partial
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 from riskloom.llm import tokenizing
 from riskloom.llm.common import stored
 
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 DOC_BITS = 14  # documents of a chunk
 CELLS = 256
 CELL_BYTES = 8 << 20  # compressed runs of one merge task
 BLOCK = 4_096  # records of a run that are decompressed at once
-REMEMBERED = 200_000  # units
+REMEMBERED = 600_000  # units
 
 ENCODED = pa.schema([
     ("chunk", pa.int64()), ("cell", pa.int32()), ("run", pa.binary()),
@@ -66,44 +67,82 @@ def read_run(run: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.cumsum(steps), times
 
 
-class UnitPairs(dict):
+class UnitPairs:
     """What each unit of text gives: its groups as text, tokens on either side, linked pairs.
 
-    None for units that the tokens do not spell.
+    ``number`` maps units to rows of the other members. A unit that the tokens do not
+    spell has ``bad`` set and nothing else.
     """
 
     def __init__(self, path_a: str, path_b: str):
-        super().__init__()
         self.a, self.b = tokenizing.load(path_a, True), tokenizing.load(path_b, True)
         self.bytes_a, self.bytes_b = self.a.token_bytes(), self.b.token_bytes()
         self.length_a, self.length_b = (np.array([len(t) for t in x]) for x in (self.bytes_a, self.bytes_b))
         self.size_a = len(self.bytes_a)
         if len(self.bytes_b) * self.size_a >> (62 - DOC_BITS):
             raise ValueError("the vocabularies are too large for the keys of pairs")
+        # A cell is a range of B ids.
+        self.cell_starts = np.arange(CELLS + 1) * -(-len(self.bytes_b) // CELLS) * self.size_a
+        # Ids as text with what follows them: another of the side, the other side; another, the next group.
+        self.texts = np.array(
+            [f"{i}{c}" for c in ",|" for i in range(self.size_a)] + [f"{i}{c}" for c in ",;" for i in range(len(self.bytes_b))], object
+        )
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.n_a, self.n_b, self.bad = (np.zeros(0, np.int64) for _ in range(3))
+        self.pair_ends, self.pairs = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def spelled(self, ids_a: list[int], ids_b: list[int], text: str) -> bool:
+        return b"".join([self.bytes_a[i] for i in ids_a]) == b"".join([self.bytes_b[i] for i in ids_b]) == text.encode()
 
     def learn(self, units: list[str]) -> None:
-        """Encode and align new units, all at once."""
-        ids_a, ids_b = self.a.ids(units), self.b.ids(units)
-        spell = lambda table, ids: b"".join([table[i] for i in ids])
-        same = [spell(self.bytes_a, a) == spell(self.bytes_b, b) == u.encode() for u, a, b in zip(units, ids_a, ids_b, strict=True)]
-        if not all(same):
-            self.update(dict.fromkeys((u for u, ok in zip(units, same, strict=True) if not ok)))
-            units, ids_a, ids_b = ([x for x, ok in zip(column, same, strict=True) if ok] for column in (units, ids_a, ids_b))
-        flat_a, flat_b = ([i for ids in x for i in ids] for x in (ids_a, ids_b))
-        # Offsets run on from unit to unit, where both sides always end.
-        _, cut_a, cut_b = np.intersect1d(np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b]), assume_unique=True, return_indices=True)
-        pairs = np.array(flat_b, np.int64)[cut_b] * self.size_a + np.array(flat_a, np.int64)[cut_a]
-        text_a, text_b = list(map(str, flat_a)), list(map(str, flat_b))
-        cut_a, cut_b = (cut_a + 1).tolist(), (cut_b + 1).tolist()
-        x = y = at = end_a = 0
-        for unit, a, b in zip(units, ids_a, ids_b, strict=True):
-            first, groups = at, []
-            end_a += len(a)
-            while x < end_a:
-                i, j = cut_a[at], cut_b[at]
-                groups.append(f"{','.join(text_a[x:i])}|{','.join(text_b[y:j])}")
-                x, y, at = i, j, at + 1
-            self[unit] = (";".join(groups), len(a), len(b), pairs[first:at])
+        """Encode and align new units: regular ones many at once, others one by one."""
+        many = [u for u in units if tokenizing.REGULAR.fullmatch(u)]
+        rows = tokenizing.rows_of_units(many)
+        rows_a, rows_b = self.a.ids(rows), self.b.ids(rows)
+        single = set(units).difference(many)
+        if not all(map(self.spelled, rows_a, rows_b, rows)):
+            single, rows_a, rows_b, many = units, [], [], []
+        self.add(many, [i for r in rows_a for i in r], [i for r in rows_b for i in r])
+        single = list(single)
+        ids = list(zip(single, self.a.ids(single), self.b.ids(single), strict=True))
+        good = [(u, a, b) for u, a, b in ids if self.spelled(a, b, u)]
+        self.add([u for u, _, _ in good], [i for _, a, _ in good for i in a], [i for _, _, b in good for i in b])
+        self.add_bad([u for u in single if u not in self.number])
+
+    def add(self, units: list[str], ids_a: list[int], ids_b: list[int]) -> None:
+        """Units that both sides spell, with the tokens of all of them on either side."""
+        if not units:
+            return
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        _, cut_a, cut_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
+        unit_end = np.cumsum([len(u.encode()) for u in units])
+        upto_a, upto_b, upto_group = (np.searchsorted(ends, unit_end, "right") for ends in (end_a, end_b, end_a[cut_a]))
+        # In the text of groups, a token's place is after all of its side and all of the other side's earlier groups.
+        text = np.empty(len(a) + len(b), np.int64)
+        group_a, group_b = np.searchsorted(cut_a, np.arange(len(a))), np.searchsorted(cut_b, np.arange(len(b)))
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[cut_a], last_b[cut_b] = 1, 1
+        text[np.arange(len(a)) + np.r_[0, cut_b + 1][group_a]] = a + last_a * self.size_a
+        text[np.arange(len(b)) + (cut_a + 1)[group_b]] = 2 * self.size_a + b + last_b * len(self.bytes_b)
+        words, ends = self.texts[text].tolist(), [0, *(upto_a + upto_b).tolist()]
+        self.number.update(zip(units, range(len(self.groups), len(self.groups) + len(units)), strict=True))
+        self.groups += ["".join(words[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+        self.n_a, self.n_b = np.r_[self.n_a, np.diff(upto_a, prepend=0)], np.r_[self.n_b, np.diff(upto_b, prepend=0)]
+        self.bad = np.r_[self.bad, np.zeros(len(units), np.int64)]
+        self.pair_ends = np.r_[self.pair_ends, len(self.pairs) + upto_group]
+        self.pairs = np.r_[self.pairs, b[cut_b] * self.size_a + a[cut_a]]
+
+    def add_bad(self, units: list[str]) -> None:
+        nothing = np.zeros(len(units), np.int64)
+        self.number.update(zip(units, range(len(self.groups), len(self.groups) + len(units)), strict=True))
+        self.groups += [""] * len(units)
+        self.n_a, self.n_b, self.bad = np.r_[self.n_a, nothing], np.r_[self.n_b, nothing], np.r_[self.bad, nothing + 1]
+        self.pair_ends = np.r_[self.pair_ends, nothing + len(self.pairs)]
 
 
 def encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -117,38 +156,36 @@ def encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         known = UnitPairs(path_a, path_b)
         task = TaskContext.get().partitionId() << 32
         for at, chunk in enumerate(tokenizing.chunks(rows_of(batches), 1, CHUNK_CHARS, 1 << DOC_BITS)):
-            if len(known) > REMEMBERED:
+            if len(known.groups) > REMEMBERED:
                 known.clear()
             texts = [tokenizing.units(" " + text) if text else [] for _, text in chunk]
-            new = {u for found in texts for u in found if u not in known}
+            new = set().union(*texts).difference(known.number)
             if new:
                 known.learn(list(new))
-            number, used, owner, rows = tokenizing.Numbers(), [], [], []
-            for place, (doc, _) in enumerate(chunk):
-                found = list(map(known.__getitem__, texts[place]))
-                if not found or None in found:
-                    rows.append((doc, 0, 0, 0, 0, ""))
-                    continue
-                used += map(number.__getitem__, texts[place])
-                owner.append((place, len(found)))
-                groups, a, b, pairs = zip(*found, strict=True)
-                n = sum(map(len, pairs))
-                rows.append((doc, sum(a), sum(b), n, n, hashlib.sha256(";".join(groups).encode()).hexdigest()))
-            doc_columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(ENCODED)[4:], strict=True)]
-            nothing = [pa.nulls(len(rows), f.type) for f in list(ENCODED)[1:3]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([task + at] * len(rows)), *nothing, pa.array(range(len(rows)), pa.int64()), *doc_columns], schema=ENCODED
-            )
-            if not used:
+            used = [n for found in texts for n in map(known.number.__getitem__, found)]
+            ends = list(itertools.accumulate(map(len, texts), initial=0))
+            del texts, new
+            unit = np.array(used, np.int64)
+            per_doc = lambda x: np.diff(np.r_[0, np.cumsum(x)][ends])  # noqa: B023, E731
+            good = (np.diff(ends) > 0) & (per_doc(known.bad[unit]) == 0)
+            n_links = known.pair_ends[unit + 1] - known.pair_ends[unit]
+            counts = [np.where(good, per_doc(x), 0) for x in (known.n_a[unit], known.n_b[unit], n_links)]
+            digests = [
+                hashlib.sha256("".join(map(known.groups.__getitem__, used[i:j]))[:-1].encode()).hexdigest() if ok else ""
+                for i, j, ok in zip(ends, ends[1:], good.tolist(), strict=False)
+            ]
+            n = len(chunk)
+            columns = [[task + at] * n, [None] * n, [None] * n, range(n), [doc for doc, _ in chunk], *counts, counts[2], digests]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ENCODED, strict=True)], schema=ENCODED)
+            place = np.repeat(np.arange(n), np.diff(ends))
+            unit, place = unit[good[place]], place[good[place]]
+            if not len(unit):
                 continue
-            pairs_of = [known[u][3] for u in number]
-            where, unit = tokenizing.expanded(np.array(used), np.cumsum([0, *map(len, pairs_of)]))
-            keys = np.concatenate(pairs_of)[where] << DOC_BITS | np.repeat(*np.array(owner).T)[unit]
+            where, owner = tokenizing.expanded(unit, known.pair_ends)
+            keys = known.pairs[where] << DOC_BITS | place[owner]
             keys, times = np.unique(keys, return_counts=True)
-            cell = (keys >> DOC_BITS) // known.size_a % CELLS
-            order = np.argsort(cell, kind="stable")  # keeps runs sorted
-            cuts = np.searchsorted(cell[order], np.arange(CELLS + 1))
-            runs = [(c, write_run(keys[order[i:j]], times[order[i:j]])) for c, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+            cuts = np.searchsorted(keys, known.cell_starts << DOC_BITS)
+            runs = [(c, write_run(keys[i:j], times[i:j])) for c, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
             cells, blobs = zip(*runs, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([task + at] * len(runs)), pa.array(cells, pa.int32()), pa.array(blobs, pa.binary()), *(pa.nulls(len(runs), f.type) for f in list(ENCODED)[3:])],

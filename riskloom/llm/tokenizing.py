@@ -22,6 +22,9 @@ import zstandard
 BLANK = r"\s\u180e\u200b\ufeff"
 TOUCHING = re.compile(rf" [{BLANK}]|[{BLANK}] ")
 PLAIN_UNITS = re.compile(" [^ ]*|[^ ]+")
+# A space and a word: such units may stand in a row without changing each other's tokens.
+REGULAR = re.compile(rf" [^{BLANK}](?:.*[^{BLANK}])?", re.DOTALL)
+ROW_CHARS = 8_192
 BEFORE_SPACE = re.compile(rf"(?<=[^{BLANK}])(?= )")
 SPACE_MARK = "\u2581"
 
@@ -140,6 +143,17 @@ def expanded(which: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first + np.arange(len(owner)), owner
 
 
+def rows_of_units(units: list[str]) -> list[str]:
+    """Regular units put together to texts of bounded size."""
+    rows, start, size = [], 0, 0
+    for i, u in enumerate(units):
+        size += len(u)
+        if size >= ROW_CHARS:
+            rows.append("".join(units[start : i + 1]))
+            start, size = i + 1, 0
+    return rows + ["".join(units[start:])] if start < len(units) else rows
+
+
 class Numbers(dict):
     """Numbers keys in the order in which they are first asked for."""
 
