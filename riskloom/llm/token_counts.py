@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +30,28 @@ REMEMBERED = 300_000  # units whose pre-tokens a worker keeps
 DICTIONARY = pa.schema([
     ("chunk", pa.int64()), ("bucket", pa.int32()),
     # A row of a bucket: its pre-tokens in the chunk.
-    ("pre_tokens", pa.list_(pa.string())),
+    ("pre_tokens", pa.binary()),
     # The chunk's own row, without a bucket: documents, and (document, pre-token, times) packed.
     ("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("n_special", pa.list_(pa.int32())), ("frequencies", pa.binary()),
 ])
 DICTIONARY_DDL = (
-    "chunk long, bucket int, pre_tokens array<string>, doc_id array<long>, n_bytes array<long>, n_special array<int>, frequencies binary"
+    "chunk long, bucket int, pre_tokens binary, doc_id array<long>, n_bytes array<long>, n_special array<int>, frequencies binary"
 )
 ANSWER = pa.schema([("to_chunk", pa.int64()), ("from_bucket", pa.int32()), ("pieces", pa.list_(pa.int32()))])
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
+def packed_words(words: list[str]) -> bytes:
+    return tokenizing.packed(list(map(len, words))) + zstandard.ZstdCompressor(level=3).compress("".join(words).encode())
+
+
+def unpacked_words(data: bytes) -> list[str]:
+    (lengths,), at = tokenizing.unpacked(data, 0, 1)
+    text = zstandard.ZstdDecompressor().decompress(data[at:]).decode()
+    ends = [0, *np.cumsum(lengths).tolist()]
+    return [text[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+
 def bucket_of(pre_token: str, buckets: int) -> int:
     return zlib.crc32(pre_token.encode()) % buckets
 
@@ -82,7 +94,7 @@ def dictionaries(docs: DataFrame, path: str, buckets: int) -> DataFrame:
             dealt: dict[int, list[str]] = {}
             for p, b in zip(part_of, bucket, strict=True):
                 dealt.setdefault(b, []).append(p)
-            made = [own, *([task + at, b, p, None, None, None, None] for b, p in dealt.items())]
+            made = [own, *([task + at, b, packed_words(p), None, None, None, None] for b, p in dealt.items())]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), DICTIONARY, strict=True)], schema=DICTIONARY)
 
     return docs.mapInArrow(count, DICTIONARY_DDL)
@@ -96,7 +108,7 @@ def answers(dictionary: DataFrame, path: str, buckets: int) -> DataFrame:
         for batch in batches:
             words = batch.column("pre_tokens")
             for i in range(batch.num_rows):
-                found = words[i].values.to_pylist()
+                found = unpacked_words(words[i].as_py())
                 for w in found:
                     if w not in known:
                         known[w] = tokenizer.n_pieces(w)
