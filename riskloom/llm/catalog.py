@@ -95,9 +95,9 @@ def op5(spark: SparkSession, data: str) -> DataFrame:
 SEQUENCE_TOKENS = 1024
 
 
-def tokenizer() -> tuple[str, str]:
-    """Ranks of the vocabulary in byte_bpe_50k.json, and its pre-tokenizer's pattern."""
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+def tokenizer() -> tuple:
+    """Ranks of the vocabulary in byte_bpe_50k.json, its pre-tokenizer's pattern and its special string."""
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),)
 
 
 @query("op6_best_fit_packing")

@@ -306,7 +306,8 @@ def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataF
     """``docs`` (doc_id, text and any others) with one document of each class.
 
     The least doc_id stays, a null id only where the class has no other; of repeated rows
-    with that id and the same words one stays. Texts without words all stay.
+    with that id and the same words one stays. Texts without words all stay. No rows give
+    no rows; other columns may have any names.
     """
     linked = linked_classes(docs, size, threshold, "doc_id", "text")
     chosen = (
@@ -314,11 +315,11 @@ def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataF
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("c"))
         .select(F.col("c.doc_id").alias("chosen_id"), F.col("c.key").alias("chosen_key"))
     )
-    keyed = docs.withColumn("words_key", same_words_key(F.col("text")))
+    keyed = docs.select(same_words_key(F.col("text")).alias("words_key"), F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
     wordless = F.md5(F.lit(""))
     kept = keyed.where(F.col("words_key") != wordless).join(
-        chosen, (F.col("words_key") == F.col("chosen_key")) & F.col("doc_id").eqNullSafe(F.col("chosen_id"))
+        chosen, (F.col("words_key") == F.col("chosen_key")) & F.col("id").eqNullSafe(F.col("chosen_id"))
     )
-    nth = F.row_number().over(Window.partitionBy("words_key", "doc_id").orderBy(F.lit(0)))
-    single = kept.withColumn("nth_same", nth).where("nth_same = 1").select(*docs.columns)
-    return single.unionByName(keyed.where(F.col("words_key") == wordless).select(*docs.columns))
+    nth = F.row_number().over(Window.partitionBy("words_key", "id").orderBy(F.lit(0)))
+    single = kept.select("row", nth.alias("nth_same")).where("nth_same = 1").select("row.*")
+    return single.unionByName(keyed.where(F.col("words_key") == wordless).select("row.*"))

@@ -40,8 +40,10 @@ class PieceEncoder(dict):
 
     touching = re.compile(r" \s|\s ")
 
-    def __init__(self, ranks: str, pattern: str):
+    def __init__(self, ranks: str, pattern: str, specials: tuple[tuple[str, int], ...] = ()):
         super().__init__()
+        self.specials = {text: array("I", [i]).tobytes() for text, i in specials}
+        self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if specials else None
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(t): int(i) for t, i in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
@@ -54,6 +56,13 @@ class PieceEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        """Ids of a text; special strings in it are one id each, as the library takes them."""
+        if not self.special or not self.special.search(text):
+            return self.between(text)
+        found = [self.specials[s] for s in self.special.findall(text)]
+        return b"".join(x for pair in zip(map(self.between, self.special.split(text)), [*found, b""], strict=True) for x in pair)
+
+    def between(self, text: str) -> bytes:
         if self.touching.search(text):
             return self.whole(text)
         head, *parts = text.split(" ")
@@ -72,13 +81,15 @@ def cut(n_tokens: int, most: int) -> list[tuple[int, int]]:
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
 ])
+PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 TEXTS_AT_ONCE = 64
 
 
-def pieces(docs: DataFrame, tokenizer: tuple[str, str], most: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: tuple, most: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32.
 
-    ``tokenizer`` is the path of a ranks file and the pre-tokenizer's pattern. Null and
+    ``tokenizer`` is the path of a ranks file, the pre-tokenizer's pattern and the special
+    strings with their ids, which are recognised inside texts. Null and
     empty texts are the end token alone.
     """
     end = np.asarray([end_id], "<u4").tobytes()
@@ -98,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str], most: int, id_col: str =
                 )
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(tokenise, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts.mapInArrow(tokenise, PIECES_DDL)
 
 
 def best_fit(demands: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str) -> tuple[np.ndarray, int]:
@@ -145,7 +156,11 @@ def pack(
     ``rule`` is ``norm`` (least weighted residual norm) or ``dot`` (greatest weighted dot
     product of demand and residual). No sequence exceeds ``most`` tokens, ``max_docs``
     pieces or ``max_cost`` squared tokens; a piece that alone exceeds a capacity raises.
+    Groups go by ``piece_no``, a number fixed in a written table, so repeated rows and null
+    ids are spread like others; without that column the pieces are written with one first.
     """
+    if "piece_no" not in cut_pieces.columns:
+        cut_pieces = stored(cut_pieces.withColumn("piece_no", F.monotonically_increasing_id()), "numbered-pieces")
     count = cut_pieces.count()
     groups = max(1, -(-count // GROUP_PIECES))
     capacity = np.array([most, max_docs, max_cost], np.int64)
@@ -168,14 +183,14 @@ def pack(
         table = table.select(PIECES.names)
         return table.append_column("sequence_id", pa.array(key[0].as_py() * (1 << 32) + bins)).append_column("offset", pa.array(offset)).cast(out)
 
-    grouped = cut_pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    grouped = cut_pieces.withColumn("pack_group", F.pmod(F.xxhash64("piece_no"), F.lit(groups))).drop("piece_no")
     return grouped.groupBy("pack_group").applyInArrow(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: tuple[str, str], most: int = 1024, max_docs: int = 1024, max_cost: int | None = None, **options
+    docs: DataFrame, tokenizer: tuple, most: int = 1024, max_docs: int = 1024, max_cost: int | None = None, **options
 ) -> DataFrame:
     """Tokenise, cut and pack all documents.
 
@@ -183,5 +198,5 @@ def pack_documents(
     capacity already implies; lower it to keep sequences of few long pieces apart. Null
     ids and repeated rows are documents of their own. The empty table gives no rows.
     """
-    made = stored(pieces(docs, tokenizer, most), "token-pieces")
+    made = stored(pieces(docs, tokenizer, most).withColumn("piece_no", F.monotonically_increasing_id()), "token-pieces")
     return pack(made, most, max_docs, max_cost or most * most, **options)

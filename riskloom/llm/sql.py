@@ -43,23 +43,10 @@ WITH sized AS (
   SELECT *, least(most, coalesce(
             (min(CASE WHEN level * weight <= most THEN {'at': most / weight, 'no': source_no, 'level': level} END) OVER ()).level * weight, most)) AS target
   FROM levels
-), limits AS (
-  SELECT *, greatest(1, CAST(floor(sum(target) OVER () / 10000) AS BIGINT)) AS block_size,
-         sum(target) OVER () AS mix, count(*) OVER () AS n_sources
-  FROM targets
-), seats AS (
-  SELECT source_no, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, source_no) AS award, floor(mix / block_size) AS seats
-  FROM (
-    SELECT *, unnest(range(CAST(least(floor(most / block_size),
-              ceil(target / block_size) + 1 + ceil(n_sources * target / mix)) AS BIGINT))) AS j
-    FROM limits
-  )
-), quotas AS (
-  SELECT source_no, count(*) AS quota FROM seats WHERE award <= seats GROUP BY source_no
 ), passes AS (
-  SELECT l.*, coalesce(quota, 0) * block_size AS due,
-         CASE WHEN source_size > 0 THEN coalesce(quota, 0) * block_size // source_size ELSE 0 END AS full_passes
-  FROM limits l LEFT JOIN quotas USING (source_no)
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS due,
+         CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS full_passes
+  FROM targets
 ), placed AS (
   SELECT s.doc_id, s.size, p.source_size, p.target, p.full_passes, p.due - p.full_passes * p.source_size AS last_pass,
          coalesce(sum(s.size) OVER (PARTITION BY p.source_no ORDER BY md5(s.doc_id || ':42'), s.doc_id

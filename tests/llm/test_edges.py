@@ -84,6 +84,23 @@ def test_stages(spark, edge_docs, data, rows):
     assert (packed.count() > 0) == (rows is None)
 
 
+INNER = ["chosen_id", "chosen_key", "nth_same", "words_key", "shares", "share_of", "share_source", "mix_id", "mix_text", "share", "mixed_text", "row", "id", "carried", "n_removed", "group"]
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_with_names_of_their_own(spark, edge_docs, data, stage):
+    """Extra columns that are named like inner ones come through with their values."""
+    plain = edge_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    extra = plain.selectExpr("*", *[f"concat('{n}', coalesce(doc_id, -1)) AS `{n}`" for n in INNER])
+    run = corpus_pipeline.STAGES[stage][1]
+    got = run(spark, extra, data)
+    assert got.columns == extra.columns
+    rows = got.collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.select(*plain.columns).collect())) == sorted(map(key, run(spark, plain, data).collect()))
+    assert all(r[n] == f"{n}{-1 if r.doc_id is None else r.doc_id}" for r in rows for n in INNER)
+
+
 def test_copies_leave_one(spark, edge_docs, data):
     kept = ngram_join.one_of_each(edge_docs)
     plain = [r.doc_id for r in kept.collect() if r.text and r.text.startswith("A plain")]

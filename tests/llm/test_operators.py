@@ -134,7 +134,8 @@ def test_token_pieces(spark, documents):
     import public_tokenizers
 
     bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    bpe.encode_special_tokens = True
+    literal = [(-1, "a <|endoftext|> b"), (-2, "<|endoftext|><|endoftext|>x\n<|endoftext|>"), (-3, "<|endoftext"), (-4, "word  <|endoftext|> " * 3_000)]
+    documents = documents.select("doc_id", "text").unionByName(spark.createDataFrame(literal, "doc_id long, text string"))
     want = {}
     for r in documents.collect():
         ids = np.array([*bpe.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -187,6 +188,47 @@ def test_mix_follows_targets(spark, documents):
     assert all(abs(taken[n] - want[n]) <= max(0.02 * want[n], 20) for n in names)
 
 
+def test_repeated_pieces_are_spread(spark, monkeypatch):
+    """Equal rows without an id fall into many groups, and all are placed."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 1_000)
+    docs = spark.range(10_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'' AS text")
+    rows = packing.pack_documents(docs, catalog.tokenizer()).collect()
+    groups = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 10_000 and len(groups) == 10 and max(groups.values()) < 1_300
+
+
+def test_mix_keeps_small_sources(spark):
+    """Thousands of tiny sources beside a hot one: each within a word of its target."""
+    text = "w " * 400
+    docs = spark.createDataFrame(
+        [(i, text, "hot") for i in range(3_000)] + [(10_000 + i, "one two three four five " * (i % 10), f"s{i:05}") for i in range(2_000)] + [(99_999, "a b", None)],
+        "doc_id long, text string, source string",
+    )
+    taken, target, size = Counter(), {}, Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.source] += r.taken
+        size[r.source] += r.size
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size and (r.shard is None) == (r.taken == 0)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    got = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.source] += len(r.text.split())
+    assert got == +taken and len(got) == sum(n > 0 for n in taken.values())
+
+
+def test_shards_fill_their_quotas(spark):
+    """Words of whole blocks per shard are those of its seats."""
+    sources = spark.createDataFrame([(1, 530.0, 9e9, 600), (2, 240.0, 9e9, 600), (3, 231.0, 9e9, 600)], "source_no int, target double, most double, source_size long")
+    seats = mixing.apportion(sources, 10, 3)
+    quota = {(r.source_no, r["shard"]): r.quota for r in mixing.shard_quotas(seats).collect()}
+    for r in mixing.shard_words(sources, seats, 3).collect():
+        words = np.diff([0, *r.shard_ends]).tolist()
+        due = {1: 530, 2: 240, 3: 231}[r.source_no]
+        assert sum(words) == r.due == due and min(words) >= 0
+        assert sum(w != 100 * quota.get((r.source_no, s), 0) for s, w in enumerate(words)) <= 1 or due < 100 * r.quota
+
+
 def test_seats_are_sainte_lague(spark):
     sources = spark.createDataFrame([(1, 530.0, 9e9), (2, 240.0, 9e9), (3, 230.0, 9e9)], "source_no int, target double, most double")
     seats = mixing.apportion(sources, 10, 3)
@@ -215,6 +257,17 @@ def test_pages_follow_the_article(spark, data):
     ("<main><p>x<span class=ad>buy</span> y</main><footer>f", "x y"),
     ("<p>never closed <b>bold <p>next", "never closed bold\n\nnext"),
     ("<script>only", ""),
+    ("<body class='one-sidebar sidebar-first'><nav>n</nav><p>Text, here.</p><p>More.</p></body>", "Text, here.\n\nMore."),
+    ("<body class='no-sidebar'><div class='has-sidebar'><p>Text, here.</p></div><div class='left-sidebar'><p>side</p></div>", "Text, here."),
+    ("<article class='post comments-open'><p>Text, here.</p><div id=comments><p>no</p></div></article>", "Text, here."),
+    ("<body><form action=x><div><h1>T</h1><p>Text, here. And more.</p><input><button>Go</button></div></form><footer>f</footer>", "T\n\nText, here. And more."),
+    ("<div class='page-header-wrapper'><article><p>Text.</p></article></div><div class=ad><p>A long advert, longer than the text.</p></div>", "Text."),
+    ("<article><header><h1>T</h1><div>share this</div></header><p>Text, here.</p><footer>tags</footer></article>", "T\n\nText, here."),
+    ("<header><h1>Site</h1></header><main><p>Text, here.</p></main>", "Text, here."),
+    ("<article><p>Text, here.</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><ol><li>first <a href=3>x</a> item</li><li>second</li></ol></article>",
+     "Text, here.\n\nfirst x item\n\nsecond"),
+    ("<nav><p>only a menu</p></nav>", ""),
+    ("<nav><a href=1>only</a> a menu</nav>", ""),
 ])
 def test_page_shapes(page, text):
     assert html_main.main_text(page) == text
