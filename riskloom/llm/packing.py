@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import stored
 
 GROUP_PIECES = 16_384
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 600_000
 END_ID = 2
 
 
