@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from riskloom.functions import text, vector
-from riskloom.operators import ann, context, embedding, integrity, similarity
+from riskloom.operators import ann, context, embedding, hyperplanes, integrity, query_tables, similarity
 from riskloom.plans import bindings as b
 from riskloom.plans.registry import query
 from riskloom.session import scratch_path
@@ -187,23 +187,97 @@ def similar_items(spark, sf):
     return _rounded(similarity.similar_items(items, 5, id_col="vec_id", cells=4, block_rows=256))
 
 
-def _index(spark, sf) -> str:
-    path = scratch_path(spark, "vector-index")
-    ann.build_index(b.table(spark, sf, "embeddings"), path, cells=16, id_col="vec_id")
+TABLES, BITS, PROBES = 24, 12, 100
+
+
+def _asked(spark, sf):
+    """Every twentieth vector of the table asks for its neighbours among all."""
+    return b.table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _index(spark, sf):
+    path = scratch_path(spark, "hash-tables")
+    hyperplanes.build_index(b.table(spark, sf, "embeddings"), path, tables=TABLES, bits=BITS, id_col="vec_id")
     return path
 
 
-@query("ann_topk", _topk_sql(5, 10))
+@query("ann_topk", f"""
+WITH unit AS (
+  SELECT vec_id, [x / len for x in v] AS v
+  FROM (SELECT vec_id, v, sqrt(list_sum([x * x for x in v])) AS len
+        FROM (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings)) WHERE len > 0
+), planes AS (
+  SELECT p, [CASE WHEN sin(d * d * (t + 1) * 0.7::DOUBLE + d * (t + 1) * 1.3::DOUBLE) > 0 THEN 1 ELSE -1 END
+             * cos(pi() * (2 * d - 1) * ((j * 5 + t) % {WIDTH}) / {2 * WIDTH}.0::DOUBLE) for d in range(1, {WIDTH} + 1)] AS plane
+  FROM (SELECT p, (p - 1) // {BITS} AS t, (p - 1) % {BITS} AS j FROM (SELECT unnest(range(1, {TABLES * BITS} + 1)) AS p))
+), products AS (
+  SELECT vec_id, (p - 1) // {BITS} AS tab, list(list_dot_product(v, plane) ORDER BY p) AS m
+  FROM unit, planes GROUP BY vec_id, tab
+), hashed AS (
+  SELECT vec_id, tab, m, CAST(list_sum([CASE WHEN m[j + 1] > 0 THEN 1 << j ELSE 0 END for j in range({BITS})]) AS INTEGER) AS bucket
+  FROM products
+), probed AS (
+  SELECT vec_id AS query_id, tab, xor(bucket, cell) AS bucket FROM (
+    SELECT vec_id, tab, bucket, cell, row_number() OVER (PARTITION BY vec_id, tab ORDER BY cost, cell) AS nth FROM (
+      SELECT vec_id, tab, bucket, cell,
+             list_sum([CASE WHEN (cell >> j) & 1 = 1 THEN m[j + 1] * m[j + 1] ELSE 0 END for j in range({BITS})]) AS cost
+      FROM hashed, (SELECT CAST(unnest(range({1 << BITS})) AS INTEGER) AS cell) WHERE vec_id % 20 = 0))
+  WHERE nth <= {PROBES}
+), read AS (
+  SELECT query_id, vec_id, count(*) AS times FROM probed JOIN hashed USING (tab, bucket) GROUP BY 1, 2
+)
+SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank, comparisons FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank
+  FROM (SELECT query_id, r.vec_id, CAST(sum(times) OVER (PARTITION BY query_id) AS BIGINT) AS comparisons,
+               round(list_dot_product(q.v, i.v), 12) AS similarity
+        FROM read r JOIN unit q ON q.vec_id = query_id JOIN unit i ON i.vec_id = r.vec_id))
+WHERE rank <= 10
+""")
 def ann_topk(spark, sf):
-    """All cells are probed here, so the hits are the exact ones."""
-    return _rounded(ann.search_index(spark, _index(spark, sf), _query_vectors(5), 10, probes=16, id_col="vec_id"))
+    """Hash tables: the SQL probes the same buckets."""
+    found = hyperplanes.search(spark, _index(spark, sf), _asked(spark, sf), 10, probes=PROBES, bits=BITS, id_col="vec_id")
+    return _rounded(found)
+
+
+def _measured(spark, sf):
+    """Hits of the hash tables against those of all rows, and the rows read per query."""
+    items, asked, path = b.table(spark, sf, "embeddings"), _asked(spark, sf), _index(spark, sf)
+    found = hyperplanes.search(spark, path, asked, 10, probes=PROBES, bits=BITS, id_col="vec_id")
+    exact = query_tables.search_table(items, asked, 10, id_col="vec_id")
+    read = hyperplanes.rows_read(spark, path, asked, probes=PROBES, bits=BITS)
+    everything = items.agg(F.count(F.lit(1))).scalar()
+    return ann.recall(found, exact, "vec_id").select(
+        "*", read.agg(F.count(F.lit(1))).scalar().alias("queries"), (read.agg(F.avg("rows_read")).scalar() / everything).alias("share_read")
+    )
 
 
 @query("ann_recall")
 def ann_recall(spark, sf):
-    found = ann.search_index(spark, _index(spark, sf), _query_vectors(20), 10, probes=8, id_col="vec_id")
-    exact = similarity.search(b.table(spark, sf, "embeddings"), _query_vectors(20), 10, id_col="vec_id")
-    return ann.recall(found, exact, "vec_id")
+    """Recall of the hash tables and the share of all rows that a query was compared with."""
+    return _measured(spark, sf)
+
+
+@query("ann_promise", """
+SELECT count(*) FILTER (WHERE vec_id % 20 = 0) AS queries, true AS nine_tenths_found, true AS under_half_read FROM embeddings
+""")
+def ann_promise(spark, sf):
+    return _measured(spark, sf).select(
+        "queries", (F.col("recall") >= 0.9).alias("nine_tenths_found"), (F.col("share_read") < 0.5).alias("under_half_read")
+    )
+
+
+@query("vector_topk_table", """
+SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM (
+  SELECT query_id, vec_id, similarity, CAST(row_number() OVER (
+           PARTITION BY query_id ORDER BY round(similarity, 12) DESC, vec_id) AS INTEGER) AS rank
+  FROM (SELECT q.vec_id AS query_id, i.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS similarity
+        FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0))
+WHERE rank <= 10
+""")
+def vector_topk_table(spark, sf):
+    """Queries are rows of the table; nothing of them goes through the driver."""
+    items = b.table(spark, sf, "embeddings")
+    return _rounded(query_tables.search_table(items, _asked(spark, sf), 10, id_col="vec_id", cells=8, block_rows=256))
 
 
 def _hashed_sql(source: str, key: str) -> str:
