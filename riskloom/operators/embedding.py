@@ -7,14 +7,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
-from riskloom.operators import integrity, similarity
+from riskloom.operators import integrity, similarity, word_index
 
 MIN_LENGTH = 10
 HASHING_MODEL = "hashed-words"
-# A word: anything between ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+# Texts whose dense vectors a task holds at a time.
+CHUNK = 1024
 
 
 def long_enough(text: Column, least: int = MIN_LENGTH) -> Column:
@@ -69,26 +70,25 @@ def embed_by_hashing(df: DataFrame, *, id_col: str = "id", text_col: str = "text
     A word's place is given by the first eight hex digits of its MD5, so that vectors can
     be made outside Spark as well. A text without words gets zeros.
     """
-    usable = df.select(id_col, text_col).filter(long_enough(F.col(text_col)))
-    words = F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0))
-    places = F.transform(
-        words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % width).cast("int")
-    )
-
-    @F.pandas_udf("array<float>")
-    def unit_counts(rows: pd.Series) -> pd.Series:
-        def one(row: np.ndarray) -> np.ndarray:
-            counts = np.bincount(row, minlength=width).astype(float)
-            return (counts / max(np.sqrt((counts * counts).sum()), 1.0)).astype("float32")
-
-        return rows.map(one)
+    schema = T.StructType([
+        T.StructField(id_col, df.schema[id_col].dataType),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("text_content", T.StringType()),
+        T.StructField("embedding_model", T.StringType()),
+    ])
 
-    return usable.select(
-        id_col,
-        unit_counts(places).alias("embedding"),
-        F.col(text_col).alias("text_content"),
-        F.lit(HASHING_MODEL).alias("embedding_model"),
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(start, CHUNK)
+                row, place, count = word_index.counted(batch.column(1), width)
+                vectors = np.zeros((batch.num_rows, width), "float32")
+                vectors[row, place] = word_index.weighted(row, count, batch.num_rows)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), width).cast(pa.list_(pa.float32()))
+                model = pa.array([HASHING_MODEL] * batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0), flat, batch.column(2), model], schema.names)
+
+    return word_index.word_columns(df, id_col, text_col, F.col(text_col).alias("text_content")).mapInArrow(run, schema)
 
 
 def embed_pending(df: DataFrame, done: DataFrame, embed: Callable[[DataFrame], DataFrame], *,

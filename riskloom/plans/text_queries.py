@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from riskloom.functions import text, vector
-from riskloom.operators import ann, context, embedding, hyperplanes, integrity, query_tables, similarity
+from riskloom.operators import ann, context, embedding, hyperplanes, integrity, query_tables, similarity, word_index
 from riskloom.plans import bindings as b
 from riskloom.plans.registry import query
 from riskloom.session import scratch_path
@@ -395,11 +395,23 @@ SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM (
 ) WHERE rank <= 10
 """)
 def text_search(spark, sf):
-    """Texts are embedded once and stored; the search reads the stored vectors."""
+    """Texts are indexed once; the search reads the lists of its words, and no dense vectors."""
     documents = b.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    target = scratch_path(spark, "text-vectors")
-    embedding.refresh_embeddings(documents, target, embedding.embed_by_hashing)
-    return _rounded(embedding.search_texts(spark.read.parquet(target), TEXTS, embedding.embed_by_hashing, 10))
+    index = scratch_path(spark, "word-index")
+    word_index.build_index(documents, index)
+    return _rounded(word_index.search(spark, index, spark.createDataFrame(list(TEXTS.items()), "query_id long, text string"), 10))
+
+
+@query("text_index", f"""
+SELECT CAST(place AS INTEGER) AS place, count(*) AS entries, round(max(share), 6) AS most
+FROM (SELECT place, weight::DOUBLE / sqrt(sum(weight::DOUBLE * weight::DOUBLE) OVER (PARTITION BY doc_id)) AS share
+      FROM ({_hashed_sql("documents", "doc_id")})) GROUP BY place
+""")
+def text_index(spark, sf):
+    """Building the index alone: its lists and their bounds."""
+    index = scratch_path(spark, "word-index")
+    word_index.build_index(b.table(spark, sf, "documents"), index, id_col="doc_id")
+    return spark.read.parquet(f"{index}/bounds").select("place", "entries", F.round("most", 6).alias("most"))
 
 
 def _letter_shares(texts: list[str]) -> list[list[float]]:
