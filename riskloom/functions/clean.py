@@ -117,8 +117,8 @@ def yyyymmdd_to_date(col: Column) -> Column:
 
 
 def company_key(company_number: Column) -> Column:
-    """Company key of a panel row: the number without its last three digits."""
-    return F.floor(company_number / 1000).cast("int")
+    """Company key of a panel row: the number without its last three digits; NULL beyond int."""
+    return F.floor(company_number / 1000).try_cast("int")
 
 
 def label_or_na(col: Column) -> Column:

@@ -43,19 +43,22 @@ def unpair_sheet(df: DataFrame, headings: list[str], patterns, row: str) -> Data
     The heading of the value column names the series, and its dates stand in the column
     to the left. After a match the next column is skipped. Dates may be quarters.
     """
+    cells = [
+        _cell(clean.period_date(F.col(f"`{df.columns[date]}`")), field, F.col(f"`{df.columns[value]}`"), value, F.col(row))
+        for date, value, field in paired_columns(headings, patterns)
+    ]
+    return _explode_cells(df, cells)
+
+
+def paired_columns(headings: list[str], patterns) -> list[tuple[int, int, str]]:
+    """Place of the date, place of the value and field of each series in a paired sheet."""
     fields = [field_of_heading(h, patterns) for h in headings]
     taken: list[int] = []
     for column, field in enumerate(fields):
         # A column right after a match is that match's partner.
         if field is not None and column - 1 not in taken[-1:]:
             taken.append(column)
-    cells = []
-    for column in taken:
-        dates = df.columns[column - 1 if column else 0]
-        cells.append(_cell(
-            clean.period_date(F.col(f"`{dates}`")), fields[column], F.col(f"`{df.columns[column]}`"), column, F.col(row)
-        ))
-    return _explode_cells(df, cells)
+    return [(max(c - 1, 0), c, fields[c]) for c in taken]
 
 
 def _cell(date: Column, field: str, value: Column, index: int, row: Column) -> Column:

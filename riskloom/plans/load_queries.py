@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from riskloom import schemas
 from riskloom.functions import fixed_values as fv
 from riskloom.functions.clean import iso_frame
 from riskloom.operators import integrity, reshape
-from riskloom.plans import bindings as b, loads
+from riskloom.plans import bindings as b, loads, quarantine
 from riskloom.plans.registry import query
 from riskloom.session import scratch_path
 from riskloom.sources import sheets, sinks
@@ -278,6 +279,97 @@ def load_stats(spark, sf):
     return loads.load_all(spark, _export_sheets(spark, sf), scratch_path(spark, "tables"))
 
 
+def _spoiled(column, when, text):
+    return F.when(when, F.lit(text)).otherwise(F.col(column).cast("string")).alias(column)
+
+
+def _faulty_company_sheets(spark, sf) -> str:
+    """Companies, their mapping and events, spoiled by a rule on the rows' own numbers."""
+    source = scratch_path(spark, "faulty-sheets")
+    _write_sheet(b.industry(spark, sf), f"{source}/{loads.SHEET_FILES['industry_mapping']}")
+    companies = b.companies(spark, sf)
+    _write_sheet(
+        companies.withColumn("industry_subgroup_num", _spoiled("industry_subgroup_num", F.col("u3_company_number") % 30 == 0, "many")),
+        f"{source}/{loads.SHEET_FILES['companies']}",
+    )
+    events = b.undated_events(spark, sf).withColumns({
+        "announcement_date": _spoiled("announcement_date", F.col("id") % 40 == 0, "soon"),
+        "u3_company_number": F.col("u3_company_number") + F.when(F.col("id") % 50 == 0, 10_000_000).otherwise(0),
+    })
+    _write_sheet(events.drop("id", "event_type"), f"{source}/{loads.SHEET_FILES['credit_events']}")
+    return source
+
+
+def _faulty_sheets(spark, sf) -> str:
+    """All sheets, spoiled likewise."""
+    source = _faulty_company_sheets(spark, sf)
+    macro, day = b.macro_wide(spark, sf), F.dayofmonth("date")
+    click = _spoiled("click", day % 5 == 0, "x")
+    _write_sheet(
+        macro.select(_spoiled("date", day % 9 == 0, "bad").alias("Date"), click.alias(HEADINGS["click"]), F.col("view").alias(HEADINGS["view"])),
+        f"{source}/{loads.SHEET_FILES['macro_commodities']}",
+    )
+    _write_sheet(
+        macro.select(_spoiled("date", day % 7 == 0, "").alias("Data Date"), click.alias("US Generic Govt 10 Year Yield")),
+        f"{source}/{loads.SHEET_FILES['macro_bond_yields']}",
+    )
+    _write_us_macros(spark, sf, f"{source}/{loads.SHEET_FILES['macro_us']}")
+    matrix = _fx_matrix(spark, sf).withColumn("_c0", _spoiled("_c0", F.substring("_c0", 7, 2).cast("int") % 7 == 0, "holiday"))
+    _write_lines(matrix, ["FX rates", ",".join(h or "" for h in FX_HEADINGS)], f"{source}/{loads.SHEET_FILES['macro_fx']}")
+    panel = b.panel_text(spark, sf).withColumns({
+        "year": _spoiled("year", F.col("company_number").cast("long") % 60 == 0, "x"),
+        "dtd": _spoiled("dtd", F.col("company_number").cast("long") % 45 == 0, "bad"),
+    })
+    _write_panel(panel, f"{source}/{loads.SHEET_FILES['risk_indicators']}")
+    return source
+
+
+@query("load_rejects", """
+WITH days AS (SELECT *, day(date) AS d FROM macro_wide),
+lines AS (
+  SELECT *, (company_number // 1000) AS company, company_number % 60 <> 0 AS dated,
+         (company_number // 1000) IN (SELECT u3_company_number FROM companies) AS known
+  FROM panel_text
+), found AS (
+  SELECT 'companies' AS table_name, 'not_a_whole_number' AS reason, count(*) AS n FROM companies WHERE u3_company_number % 30 = 0
+  UNION ALL SELECT 'credit_events', 'not_a_date', count(*) FROM undated WHERE id % 40 = 0
+  UNION ALL SELECT 'credit_events', 'unknown_company', count(*) FROM undated WHERE id % 50 = 0
+  UNION ALL SELECT 'macro_commodities', 'no_date', count(*) FROM days WHERE d % 9 = 0
+  UNION ALL SELECT 'macro_commodities', 'not_a_number', count(*) FROM days WHERE d % 9 <> 0 AND d % 5 = 0
+  UNION ALL SELECT 'macro_bond_yields', 'no_date', count(*) FROM days WHERE d % 7 = 0
+  UNION ALL SELECT 'macro_bond_yields', 'not_a_number', count(*) FROM days WHERE d % 7 <> 0 AND d % 5 = 0
+  UNION ALL SELECT 'macro_fx', 'no_date', count(*) FROM days WHERE d % 7 = 0 AND coalesce(click, error, purchase, view) IS NOT NULL
+  UNION ALL SELECT 'risk_indicators', 'no_month', count(*) FROM lines WHERE NOT dated
+  UNION ALL SELECT 'risk_indicators', 'not_a_number', count(*) FROM lines WHERE company_number % 45 = 0
+  UNION ALL SELECT 'risk_indicators', 'unknown_company', count(*) FROM lines WHERE dated AND NOT known
+  UNION ALL SELECT 'risk_indicators', 'repeated_month', count(*) - count(DISTINCT (company, year, month)) FROM lines WHERE dated AND known
+)
+SELECT * FROM found WHERE n > 0
+""")
+def load_rejects(spark, sf):
+    """Refused rows and cells of all eight sheets by reason."""
+    source, target = _faulty_sheets(spark, sf), scratch_path(spark, "faulty-tables")
+    loads.load_all(spark, source, target, only=["companies"])
+    return quarantine.write_rejects(spark, source, f"{target}/rejects", f"{target}/companies")
+
+
+@query("load_refresh", """
+SELECT 'companies' AS table_name, count(*) AS n_rows FROM companies
+UNION ALL SELECT 'credit_events', count(*) FROM undated WHERE id % 50 <> 0
+UNION ALL SELECT 'industry_mapping', count(*) FROM industry
+""")
+def load_refresh(spark, sf):
+    """Companies and the mapping of one refresh stay valid beside the events of the next."""
+    root, first = scratch_path(spark, "versions"), ["industry_mapping", "companies"]
+    source = _faulty_company_sheets(spark, sf)
+    loads.refresh_all(spark, source, root, first)
+    loads.refresh_all(spark, source, root, ["credit_events"])
+    tables = loads.open_current(spark, root)
+    return functools.reduce(DataFrame.unionByName, [
+        t.groupBy().agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for name, t in sorted(tables.items())
+    ])
+
+
 @query("src_csv_roundtrip", """
 SELECT CAST(u3_company_number AS INTEGER) AS u3_company_number, company_name, ticker, market_status,
        industry_subgroup_num FROM companies

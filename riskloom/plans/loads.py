@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom import schemas
@@ -72,7 +74,7 @@ def panel_rows(raw: DataFrame) -> DataFrame:
     """
     number = clean.to_double(F.col("company_number"))
     rows = raw.select(
-        number.cast("long").alias("company_number"),
+        number.try_cast("long").alias("company_number"),
         clean.company_key(number).alias("u3_company_number"),
         clean.to_int(F.col("year")).alias("year"),
         clean.to_int(F.col("month")).alias("month"),
@@ -189,13 +191,21 @@ SHEET_FILES = {
 }
 
 
-def _plan(spark: SparkSession, table: str, path: str, target: str) -> DataFrame:
+def _known_companies(spark: SparkSession, path: str) -> DataFrame | None:
+    """The loaded companies, or None where none are."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def _plan(spark: SparkSession, table: str, path: str, companies_path: str) -> DataFrame:
     if table == "industry_mapping":
         return industry_mapping(sheets.read_sheet(spark, path))
     if table == "companies":
         return companies(sheets.read_sheet(spark, path))
     if table == "credit_events":
-        return credit_events(sheets.read_sheet(spark, path))
+        return credit_events(sheets.read_sheet(spark, path), _known_companies(spark, companies_path))
     if table == "macro_commodities":
         return commodities(sheets.read_numbered_sheet(spark, path))
     if table == "macro_bond_yields":
@@ -204,7 +214,7 @@ def _plan(spark: SparkSession, table: str, path: str, target: str) -> DataFrame:
         return us_macros(sheets.read_numbered_sheet(spark, path))
     if table == "macro_fx":
         return fx_rates(*sheets.read_matrix(spark, path))
-    known = spark.read.parquet(f"{target}/companies")
+    known = spark.read.parquet(companies_path)
     panel = risk_panel(sheets.read_panel_csv(spark, path), known)
     return sinks.conform(_numbered_panel(panel), schemas.RISK_INDICATORS)
 
@@ -227,28 +237,59 @@ _LAYOUT = {
 }
 
 
-def load_all(spark: SparkSession, source: str, target: str,
-             only: Iterable[str] | None = None) -> DataFrame:
+def _wanted(only: Iterable[str] | None) -> list[str]:
+    wanted = set(SHEET_FILES if only is None else only)
+    if unknown := wanted - set(SHEET_FILES):
+        raise ValueError(f"unknown tables: {sorted(unknown)}")
+    return [t for t in SHEET_FILES if t in wanted]
+
+
+def load_all(spark: SparkSession, source: str, target: str, only: Iterable[str] | None = None,
+             companies_path: str | None = None) -> DataFrame:
     """Load all tables (or some) in order of dependence; gives ``(table_name, n_rows)``.
 
-    A missing or broken input stops the load; tables written before it stay.
+    Events and panel rows of companies that are not loaded are left out (``quarantine``
+    lists them). A missing or broken input stops the load; tables written before it stay,
+    see ``refresh_all``. ``companies_path`` is where companies lie if not in ``target``.
     """
-    wanted = set(SHEET_FILES if only is None else only)
-    unknown = wanted - set(SHEET_FILES)
-    if unknown:
-        raise ValueError(f"unknown tables: {sorted(unknown)}")
     stats = []
-    for table, file in SHEET_FILES.items():
-        if table not in wanted:
-            continue
+    for table in _wanted(only):
         started = time.monotonic()
-        plan = _plan(spark, table, f"{source}/{file}", target)
+        plan = _plan(spark, table, f"{source}/{SHEET_FILES[table]}", companies_path or f"{target}/companies")
         rows = sinks.write_table(plan, f"{target}/{table}", **_LAYOUT.get(table, {}))
         log.info("%s: %d rows in %.2f s", table, rows, time.monotonic() - started)
         stats.append((table, rows))
     return spark.createDataFrame(stats, "table_name string, n_rows long")
 
 
+def refresh_all(spark: SparkSession, source: str, root: str, only: Iterable[str] | None = None) -> DataFrame:
+    """Load into a new version below ``root`` and make it the valid one when all is written.
+
+    Gives ``(table_name, n_rows, seconds, path)``. Tables not in ``only`` stay those of the
+    version before. If any table fails, readers go on seeing the old version of all of
+    them; what was written is left in a folder that no version names.
+    """
+    before = sinks.published(spark, root)
+    folder = f"{root}/version-{uuid.uuid4().hex}"
+    known = f"{folder}/companies" if "companies" in _wanted(only) else before.get("companies", f"{folder}/companies")
+    stats = []
+    for table in _wanted(only):
+        started = time.monotonic()
+        rows = load_all(spark, source, folder, [table], known).first()["n_rows"]
+        stats.append((table, rows, time.monotonic() - started, f"{folder}/{table}"))
+    sinks.publish(spark, root, before | {table: path for table, _, _, path in stats})
+    return spark.createDataFrame(stats, "table_name string, n_rows long, seconds double, path string")
+
+
+def open_current(spark: SparkSession, root: str, only: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """The tables of the valid version by name."""
+    paths = sinks.published(spark, root)
+    return {
+        name: spark.read.schema(schemas.TABLES[name]).parquet(paths[name])
+        for name in (paths if only is None else only)
+    }
+
+
 def open_tables(spark: SparkSession, target: str, only: Iterable[str] | None = None) -> dict[str, DataFrame]:
     """The loaded tables by name, ready for reports or guarded SQL."""
     return {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 MAX_RECORDS_PER_FILE = 5_000_000
 
@@ -63,6 +63,45 @@ def write_table(df: DataFrame, target: str, *, mode: str = "overwrite",
     return rows.get["n"]
 
 
+MANIFEST = "manifest"
+_MANIFEST_SCHEMA = "version long, published timestamp, paths map<string,string>"
+
+
+def publish(spark: SparkSession, root: str, paths: dict[str, str]) -> int:
+    """Name the folders that hold the valid tables from now on; gives the version's number.
+
+    The manifest grows by one file of one row, which appears as a whole or not at all.
+    One writer publishes at a time.
+    """
+    last = _versions(spark, root).agg(F.max("version")).first()[0] or 0
+    row = spark.createDataFrame([(last + 1, paths)], "version long, paths map<string,string>")
+    row.select("version", F.current_timestamp().alias("published"), "paths").coalesce(1).write.mode("append").parquet(f"{root}/{MANIFEST}")
+    return last + 1
+
+
+def published(spark: SparkSession, root: str, version: int | None = None) -> dict[str, str]:
+    """Folders of the valid version, or of an earlier one; none before the first."""
+    rows = _versions(spark, root)
+    if version is not None:
+        rows = rows.filter(F.col("version") == version)
+    latest = rows.orderBy(F.col("version").desc(), F.col("published").desc()).limit(1).collect()
+    return dict(latest[0]["paths"]) if latest else {}
+
+
+def unused_folders(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Folders that only versions before the last ``keep`` name; they may be deleted."""
+    rows = _versions(spark, root).orderBy(F.col("version").desc()).collect()  # one row per refresh
+    used = {path for r in rows[:keep] for path in r["paths"].values()}
+    return sorted({path for r in rows[keep:] for path in r["paths"].values()} - used)
+
+
+def _versions(spark: SparkSession, root: str) -> DataFrame:
+    """All rows of the manifest; one without rows is made where there is none."""
+    path = f"{root}/{MANIFEST}"
+    spark.createDataFrame([], _MANIFEST_SCHEMA).write.mode("ignore").parquet(path)
+    return spark.read.schema(_MANIFEST_SCHEMA).parquet(path)
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, *, mode: str = "overwrite",
                batch: int = 1000, **options: str) -> None:
     """Write a table to a database in batches; ``overwrite`` empties it and keeps its DDL."""
