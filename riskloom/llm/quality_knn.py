@@ -1,9 +1,11 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text becomes counts of terms: hashed runs of two and three character classes (lower and
-upper case, digits, each kind of punctuation), and how many of its five-word windows are
-repeats. Term weights (log count, inverse document frequency) and the latent-semantic
-projection (truncated SVD) are fitted on a bounded sample of labelled texts. Every
+A text becomes counts of terms of three kinds, each hashed to places of its own: words,
+runs of three bytes (letter n-grams of any script), and runs of two and three character
+classes (lower and upper case, digits, each kind of punctuation); and how many of its
+five-word windows are repeats. Term weights (log count, inverse document frequency; each
+kind of unit length) and the latent-semantic projection (truncated SVD) are fitted on a
+bounded sample of labelled texts. Every
 document is compared with all labelled vectors of the sample by exact cosine products,
 block by block; its ``NEIGHBOURS`` nearest ones vote with their similarity as weight.
 
@@ -21,7 +23,10 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.windows import WORD_BASES, pieces, words_of
 
-TERMS, EXTRA = 1024, 2
+SHAPES, WORDS, LETTERS, EXTRA = 1024, 2048, 1024, 2
+TERMS = SHAPES + WORDS + LETTERS
+#: Places and weight of each kind of term.
+KINDS = ((0, SHAPES, 1.0), (SHAPES, SHAPES + WORDS, 0.5), (SHAPES + WORDS, TERMS, 0.5))
 RANK = 48
 SAMPLE = 4096
 NEIGHBOURS = 15
@@ -44,18 +49,21 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     kinds = _CLASS[data]
     text = np.repeat(np.arange(n), np.diff(offsets))
     out = np.zeros((n, TERMS + EXTRA), np.float32)
-    half = TERMS // 2
-    for size, base in ((2, 0), (3, half)):
-        if len(kinds) < size:
+    half = SHAPES // 2
+    for symbols, size, base, places in ((kinds, 2, 0, half), (kinds, 3, half, half), (data.astype(np.uint32), 3, SHAPES + WORDS, LETTERS)):
+        if len(symbols) < size:
             continue
-        code = np.zeros(len(kinds) - size + 1, np.uint32)
+        code = np.zeros(len(symbols) - size + 1, np.uint32)
         for k in range(size):
-            code = code * np.uint32(31) + kinds[k : k + len(code)]
-        term = (code * np.uint32(2654435761)) >> np.uint32(32 - half.bit_length() + 1)
+            code = code * np.uint32(31 if symbols is kinds else 257) + symbols[k : k + len(code)]
+        term = (code * np.uint32(2654435761)) >> np.uint32(32 - places.bit_length() + 1)
         whole = text[: len(code)] == text[size - 1 :]
-        flat = text[: len(code)][whole] * np.int64(half) + term[whole]
-        out[:, base : base + half] = np.bincount(flat, minlength=n * half).reshape(n, half)
+        flat = text[: len(code)][whole] * np.int64(places) + term[whole]
+        out[:, base : base + places] = np.bincount(flat, minlength=n * places).reshape(n, places)
     found = words_of(data, offsets)
+    at, hashes = found.window_hashes(1, WORD_BASES[0])
+    flat = found.text[at] * np.int64(WORDS) + (hashes % np.uint64(WORDS)).astype(np.int64)
+    out[:, SHAPES : SHAPES + WORDS] = np.bincount(flat, minlength=n * WORDS).reshape(n, WORDS)
     at, hashes = found.window_hashes(5, WORD_BASES[0])
     if len(at):
         owner = found.text[at]
@@ -69,9 +77,10 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Relative log counts times inverse document frequency, of unit length."""
+    """Relative log counts times inverse document frequency, each kind of unit length times its weight."""
     terms = np.log1p(counts[:, :TERMS]) * idf
-    terms /= np.maximum(np.linalg.norm(terms, axis=1, keepdims=True), 1e-9)
+    for a, b, weight in KINDS:
+        terms[:, a:b] *= weight / np.maximum(np.linalg.norm(terms[:, a:b], axis=1, keepdims=True), 1e-9)
     repeats = np.sqrt(counts[:, TERMS : TERMS + 1]) * REPEAT_WEIGHT / 4
     return np.concatenate([terms, repeats, np.zeros_like(repeats)], 1).astype(np.float32)
 
@@ -81,6 +90,16 @@ def latent(counts: np.ndarray, model: dict) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def leading_axes(x: np.ndarray) -> np.ndarray:
+    """The first RANK right singular vectors, by subspace iteration from a fixed start."""
+    rank = min(RANK + 16, x.shape[1])
+    axes = np.linalg.qr(np.random.default_rng(7).normal(size=(x.shape[1], rank)).astype(np.float32))[0]
+    for _ in range(8):
+        axes = np.linalg.qr(x.T @ (x @ axes))[0]
+    _, _, turn = np.linalg.svd(x @ axes, full_matrices=False)
+    return (axes @ turn.T)[:, :RANK].astype(np.float32)
+
+
 def fit(counts: np.ndarray, labels: np.ndarray) -> dict:
     """Projection and labelled vectors from the sample's counts."""
     n = max(1, len(counts))
@@ -88,8 +107,7 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> dict:
     model = {"idf": idf.astype(np.float32)}
     x = weighted(counts, model["idf"])
     model["mean"] = x.mean(0) if len(x) else np.zeros(TERMS + EXTRA, np.float32)
-    values, vectors = np.linalg.eigh((x - model["mean"]).T @ (x - model["mean"]))
-    model["axes"] = vectors[:, ::-1][:, :RANK].astype(np.float32)
+    model["axes"] = leading_axes(x - model["mean"])
     model["vectors"] = latent(counts, model).astype(np.float32)
     model["labels"] = labels.astype(np.float32)
     return model
@@ -122,12 +140,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
     """Model fitted on at most ``sample`` labelled texts that are not held out.
 
-    The sample is the lowest hashes of the ids, so it does not depend on the input's order.
+    The sample is the lowest hashes of the ids, so it does not depend on the input's order;
+    of rows with the same id one text counts, the one of the lowest hash.
     """
     known = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.where(~held_out(F.col("label_id"))).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    texts = docs.where(F.col(text_col).isNotNull()).join(chosen, F.col(id_col) == F.col("label_id")).select("quality", F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(_counted, "quality int, counts binary").collect()  # at most ``sample`` and their copies
+    texts = (
+        docs.where(F.col(text_col).isNotNull()).join(chosen, F.col(id_col) == F.col("label_id"))
+        .groupBy("label_id").agg(F.first("quality").alias("quality"), F.min_by(F.col(text_col), F.xxhash64(text_col)).alias("text"))
+    )
+    rows = texts.select("quality", "text").mapInArrow(_counted, "quality int, counts binary").collect()  # at most ``sample``
     rows.sort(key=lambda r: (r["quality"], bytes(r["counts"])))
     counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in rows]) if rows else np.zeros((0, TERMS + EXTRA), np.float32)
     return fit(counts, np.array([r["quality"] for r in rows], np.float32))

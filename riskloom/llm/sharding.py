@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import stored
 
-DIM_BITS, TEXT_BITS, ROW_BITS = 16, 16, 16
+DIM_BITS, TEXT_BITS, ROW_BITS = 16, 16, 26
+SAME_BITS = 14  # of ROW_BITS: tell rows equal in id and text apart
 BINS = 4096
 SLICES = 1024
 OVERHEAD = 16  # bytes that a row takes besides its text
@@ -68,7 +69,11 @@ def _points(docs: DataFrame, id_col: str, text_col: str, dims: list[str]) -> Dat
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.pmod(F.xxhash64(text), F.lit(1 << TEXT_BITS)).alias("text_bits"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(1 << ROW_BITS)).alias("row_bits"),
+        # Rows equal in id and text are told apart by a number that is fixed when they are stored.
+        (
+            F.shiftleft(F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(1 << (ROW_BITS - SAME_BITS))), SAME_BITS)
+            + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << SAME_BITS))
+        ).alias("row_bits"),
         *[_coordinate(docs.schema[d]).alias(f"x{i}") for i, d in enumerate(dims)],
     )
     return stored(rows, "shard-points")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import check_oracle
-from riskloom.llm import catalog, fingerprints, html_main, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup, windows
+from riskloom.llm import catalog, fingerprints, html_main, mixing, ngram_join, packing, quality_knn, quality_rules, sharding, substring_dedup, windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -239,6 +239,44 @@ def test_seats_are_sainte_lague(spark):
     assert sum(r.quota for r in mixing.shard_quotas(seats).collect()) == 10
 
 
+def test_equal_rows_are_split_evenly(spark):
+    docs = spark.range(20_000).selectExpr("7L AS doc_id", "'the same text' AS text", "13L AS n_chars", "'en' AS lang")
+    sizes = Counter(r.shard for r in sharding.shard(docs, 8, dims=("n_chars", "lang")).collect())
+    assert len(sizes) == 8 and max(sizes.values()) < 1.1 * 2_500
+
+
+def test_classifier_reads_words(spark):
+    """Wording alone decides here: both kinds have the same shapes."""
+    rng = np.random.default_rng(4)
+    good, bad = ([f"{c}{chr(97 + i)}{chr(97 + j)}{v}" for i in range(12) for j in range(3)] for c, v in (("ba", "e"), ("ko", "u")))
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad, 60))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    scores = {r.doc_id: r.score for r in quality_knn.score(docs, quality_knn.train(docs, labels)).collect()}
+    assert all((scores[i] > 0.5) == bool(i % 2) for i in range(300, 600))
+
+
+def test_terms_tell_letters_apart():
+    import codecs
+
+    texts = ["the quality of this text is good, and it reads well.", "мама мыла раму и пела", "папа пила вода а дала"]
+    texts.append(codecs.encode(texts[0], "rot13"))
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    counts = quality_knn.term_counts(np.frombuffer(b"".join(data), np.uint8), offsets)
+    shapes, words = counts[:, : quality_knn.SHAPES], counts[:, quality_knn.SHAPES : quality_knn.TERMS]
+    assert (shapes[0] == shapes[3]).all() and (words[0] != words[3]).any() and (words[1] != words[2]).any()
+
+
+def test_one_text_of_a_labelled_id(spark, monkeypatch):
+    """A million copies of a labelled row are one row of the sample."""
+    seen = []
+    monkeypatch.setattr(quality_knn, "fit", lambda counts, labels: seen.append(len(counts)) or {"labels": labels})
+    docs = spark.range(3_000).selectExpr("1L AS doc_id", "concat('text ', id % 2) AS text")
+    quality_knn.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert seen in ([1], [0])
+
+
 def test_pages_follow_the_article(spark, data):
     import html
 
