@@ -78,15 +78,23 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Relative log counts times inverse document frequency, each kind of unit length times its weight."""
-    terms = np.log1p(counts[:, :TERMS]) * idf
+    out = np.zeros(counts.shape, np.float32)
+    terms = out[:, :TERMS]
+    np.log1p(counts[:, :TERMS], out=terms)
+    terms *= idf
     for a, b, weight in KINDS:
         terms[:, a:b] *= weight / np.maximum(np.linalg.norm(terms[:, a:b], axis=1, keepdims=True), 1e-9)
-    repeats = np.sqrt(counts[:, TERMS : TERMS + 1]) * REPEAT_WEIGHT / 4
-    return np.concatenate([terms, repeats, np.zeros_like(repeats)], 1).astype(np.float32)
+    out[:, TERMS] = np.sqrt(counts[:, TERMS]) * (REPEAT_WEIGHT / 4)
+    return out
 
 
 def latent(counts: np.ndarray, model: dict) -> np.ndarray:
-    x = (weighted(counts, model["idf"]) - model["mean"]) @ model["axes"]
+    x = weighted(counts, model["idf"])
+    x -= model["mean"]
+    return of_unit_length(x @ model["axes"])
+
+
+def of_unit_length(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
@@ -107,8 +115,9 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> dict:
     model = {"idf": idf.astype(np.float32)}
     x = weighted(counts, model["idf"])
     model["mean"] = x.mean(0) if len(x) else np.zeros(TERMS + EXTRA, np.float32)
-    model["axes"] = leading_axes(x - model["mean"])
-    model["vectors"] = latent(counts, model).astype(np.float32)
+    x -= model["mean"]
+    model["axes"] = leading_axes(x)
+    model["vectors"] = of_unit_length(x @ model["axes"]).astype(np.float32)
     model["labels"] = labels.astype(np.float32)
     return model
 
@@ -129,11 +138,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
+def packed_row(counts: np.ndarray) -> bytes:
+    """Places and values that are not zero."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<f4").tobytes()
+
+
+def unpacked_row(data: bytes, out: np.ndarray) -> None:
+    n = len(data) // 6
+    out[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<f4", n, 2 * n)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in pieces(batch.column(1), 1_000_000):
             counts = term_counts(data, offsets)
-            rows = pa.array([c.tobytes() for c in counts], pa.binary())
+            rows = pa.array([packed_row(c) for c in counts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), rows], ["quality", "counts"])
 
 
@@ -151,7 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     rows = texts.select("quality", "text").mapInArrow(_counted, "quality int, counts binary").collect()  # at most ``sample``
     rows.sort(key=lambda r: (r["quality"], bytes(r["counts"])))
-    counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in rows]) if rows else np.zeros((0, TERMS + EXTRA), np.float32)
+    counts = np.zeros((len(rows), TERMS + EXTRA), np.float32)
+    for r, out in zip(rows, counts, strict=True):
+        unpacked_row(bytes(r["counts"]), out)
     return fit(counts, np.array([r["quality"] for r in rows], np.float32))
 
 
