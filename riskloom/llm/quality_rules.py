@@ -20,7 +20,8 @@ from riskloom.llm.common import GAP, stored, words
 WINDOW = 5
 ROUNDS = 20
 PRIOR, ON_GOOD, ON_BAD = 0.8, 0.98, 0.5  # where the rounds start
-MOST, LEAST_ON_GOOD, LEAST_ON_BAD = 0.999, 0.98, 0.02
+MOST, LEAST = 0.999, 0.02
+PRIOR_VOTES = 1.0  # votes a text at ON_GOOD that a rule's accuracy on good texts starts with
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,10 +109,12 @@ def estimate(voted: DataFrame, rules: list[str], rounds: int = ROUNDS) -> dict:
     """Prior of good texts and, per rule, the accuracy on good and on bad texts.
 
     ``voted`` has one column per rule. The pattern counts (at most 3 ** rules of them) are
-    gathered in one row, in which an array fold runs the rounds. Rules are right about
-    nearly all good texts (0.98 to 0.999), so the classes cannot swap; a rule that sees only one
-    kind of bad text may be wrong about most others, whose good votes then say little. One
-    vote is added to each, so that few votes settle nothing.
+    gathered in one row, in which an array fold runs the rounds. Accuracies on good texts
+    have a prior of ``PRIOR_VOTES`` votes a text at 0.98, in proportion to the corpus, which
+    keeps the classes from swapping; a rule that is wrong on a tenth of the good texts comes
+    out near 0.94 and its bad votes weigh less. A rule that sees only one kind of bad text
+    may be wrong about most others, whose good votes then say little. One vote is added to
+    each, so that few votes settle nothing. Without rows the starting values are given.
     """
     counts = voted.groupBy(*rules).agg(F.count("*").cast("double").alias("n"))
     patterns = counts.agg(F.sort_array(F.collect_list(F.struct(*rules, "n"))).alias("patterns"), F.sum("n").alias("total"))
@@ -137,13 +140,15 @@ def estimate(voted: DataFrame, rules: list[str], rounds: int = ROUNDS) -> dict:
                 for s, (vote, n) in share.items()
             ])
 
-        def kept(right: Column, wrong: Column, start: float, least: float) -> Column:
-            return F.zip_with(right, wrong, lambda a, b: F.least(F.lit(MOST), F.greatest(F.lit(least), (a + start) / (a + b + 1))))
+        def kept(right: Column, wrong: Column, start: float, added: Column) -> Column:
+            return F.zip_with(right, wrong, lambda a, b: F.least(
+                F.lit(MOST), F.greatest(F.lit(LEAST), (a + start * added) / (a + b + added))
+            ))
 
         return F.aggregate(weighed, nothing, add_up, lambda acc: F.struct(
             F.least(F.lit(MOST), F.greatest(F.lit(1 - MOST), acc["g"] / F.col("total"))).alias("prior"),
-            kept(acc["good_right"], acc["good_wrong"], ON_GOOD, LEAST_ON_GOOD).alias("good"),
-            kept(acc["bad_right"], acc["bad_wrong"], ON_BAD, LEAST_ON_BAD).alias("bad"),
+            kept(acc["good_right"], acc["good_wrong"], ON_GOOD, 1 + PRIOR_VOTES * F.col("total")).alias("good"),
+            kept(acc["bad_right"], acc["bad_wrong"], ON_BAD, F.lit(1.0)).alias("bad"),
         ))
 
     fitted = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, one_round)

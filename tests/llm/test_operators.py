@@ -57,15 +57,55 @@ def test_expectation_maximisation(spark):
         w = likely / (likely + other)
         prior = min(quality_rules.MOST, max(1 - quality_rules.MOST, w.mean()))
 
-        def rate(right, wrong, weight, start, least):
+        def rate(right, wrong, weight, start, added):
             a, z = ((votes == right) * weight[:, None]).sum(0), ((votes == wrong) * weight[:, None]).sum(0)
-            return np.clip((a + start) / (a + z + 1), least, quality_rules.MOST)
+            return np.clip((a + start * added) / (a + z + added), quality_rules.LEAST, quality_rules.MOST)
 
-        g = rate(1, -1, w, quality_rules.ON_GOOD, quality_rules.LEAST_ON_GOOD)
-        b = rate(-1, 1, 1 - w, quality_rules.ON_BAD, quality_rules.LEAST_ON_BAD)
+        g = rate(1, -1, w, quality_rules.ON_GOOD, 1 + quality_rules.PRIOR_VOTES * len(votes))
+        b = rate(-1, 1, 1 - w, quality_rules.ON_BAD, 1)
     assert model["prior"] == pytest.approx(prior) and model["good"] == pytest.approx(list(g)) and model["bad"] == pytest.approx(list(b))
 
 
+def test_rule_that_is_often_wrong_weighs_less(spark):
+    """A rule wrong on a tenth of the good texts loses weight, and texts that only it calls bad stay."""
+    rng = np.random.default_rng(9)
+    good = rng.random(2000) < 0.9
+    right = rng.random((2000, 4)) >= np.where(good[:, None], [0.1, 0.01, 0.01, 0.01], 0.15)
+    votes = np.where(right == good[:, None], 1, -1)
+    names = ["a", "b", "c", "d"]
+    model = quality_rules.estimate(spark.createDataFrame(votes.tolist(), "a int, b int, c int, d int"), names)
+    assert model["good"][0] == pytest.approx(0.94, abs=0.01) and min(model["good"][1:]) > 0.97
+    assert model["prior"] == pytest.approx(good.mean(), abs=0.03)
+    alone = spark.range(1).select(quality_rules.posterior(
+        [F.lit(v) for v in (-1, 1, 1, 1)], *[F.lit(model[k]) for k in ("prior", "good", "bad")]).alias("p"))
+    assert alone.first().p > 0.95
+
+
+def test_rules_verdict_end_to_end(spark, data):
+    """kept follows from the posterior of a plain expectation-maximisation over the votes."""
+    rows = catalog.op3(spark, data).collect()
+    documents_ = spark.read.parquet(f"{data}/documents.parquet")
+    whole = {r.doc_id: r for r in quality_rules.quality(documents_).collect()}
+    names = list(quality_rules.votes(documents_))
+    voters = [r for r in whole.values() if not r.base_failed]
+    votes = np.array([[r[n] for n in names] for r in voters])
+    prior, g, b = quality_rules.PRIOR, np.full(len(names), quality_rules.ON_GOOD), np.full(len(names), quality_rules.ON_BAD)
+
+    def chance():
+        yes = prior * np.where(votes == 1, g, np.where(votes == -1, 1 - g, 1)).prod(1)
+        no = (1 - prior) * np.where(votes == -1, b, np.where(votes == 1, 1 - b, 1)).prod(1)
+        return yes / (yes + no)
+
+    for _ in range(quality_rules.ROUNDS):
+        w = chance()
+        prior, added = np.clip(w.mean(), 1 - quality_rules.MOST, quality_rules.MOST), 1 + quality_rules.PRIOR_VOTES * len(votes)
+        seen = [((votes == v) * share[:, None]).sum(0) for v, share in ((1, w), (-1, w), (-1, 1 - w), (1, 1 - w))]
+        g = np.clip((seen[0] + quality_rules.ON_GOOD * added) / (seen[0] + seen[1] + added), quality_rules.LEAST, quality_rules.MOST)
+        b = np.clip((seen[2] + quality_rules.ON_BAD) / (seen[2] + seen[3] + 1), quality_rules.LEAST, quality_rules.MOST)
+    want = {r.doc_id: bool(p >= 0.5) for r, p in zip(voters, chance(), strict=True)}
+    assert {r.doc_id: r.kept for r in rows} == {i: want.get(i, False) for i in whole}
+
+
 def test_rules_agree_with_labels(spark):
     data = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{data}/labels.parquet")
