@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions import clean
 from riskloom.functions.fixed_values import FORBIDDEN_WORDS
+from riskloom.operators import plan_audit
 
 # Valid inside a SELECT, yet able to write, run code or read arbitrary files.
 _ALSO_REFUSED = ["MERGE", "INTO", "TRANSFORM", "REFLECT", "JAVA_METHOD", "TRY_REFLECT"]
@@ -99,10 +100,13 @@ def run_select(spark: SparkSession, sql: str, tables: Tables | None = None,
     given as such belong to a session already and become temporary views of it. Dates and
     times come back as ISO text. The check is a policy, not a security boundary; the
     session should only hold read access to its data.
+
+    Mode ``plan`` looks at what Spark's parser makes of the text instead of at its words:
+    it must be a query that names the given tables and Spark's own functions only.
     """
     text = spark.range(1).select(strip_fences(F.lit(sql)).alias("sql"))
-    checked = audit_sql(text, "sql", mode).first()
-    if not checked["is_safe"]:
+    checked = (text.withColumn("error", F.lit(None)) if mode == "plan" else audit_sql(text, "sql", mode)).first()
+    if checked["error"] is not None:
         raise UnsafeSql(f"Unsafe SQL: {checked['error']}")
     if callable(tables):
         own = spark.newSession()
@@ -110,6 +114,8 @@ def run_select(spark: SparkSession, sql: str, tables: Tables | None = None,
             own.conf.set(key, spark.conf.get(key))
         own.conf.set("spark.sql.runSQLOnFiles", "false")
         spark, tables = own, tables(own)
+    if mode == "plan" and (error := plan_audit.PlanAudit(spark, tables or {}).error(checked["sql"])):
+        raise UnsafeSql(f"Unsafe SQL: {error}")
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
     return clean.iso_frame(cap(spark.sql(re.sub(r";\s*$", "", checked["sql"])), rows))

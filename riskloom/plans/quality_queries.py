@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import fixed_values as fv
 from riskloom.functions.clean import iso_frame
-from riskloom.operators import guarded_sql, profile, quality as q
+from riskloom.operators import guarded_sql, plan_audit, profile, quality as q
 from riskloom.plans import bindings as b
 from riskloom.plans.registry import query
 
@@ -218,10 +218,20 @@ _LOG = {
 }
 
 
-def _query_log(spark, sf):
+# The same with words that harm nothing and constructs that harm without such words.
+_PLAN_LOG = {
+    "click": "SELECT 'DROP TABLE t' AS t, created_at FROM companies WHERE id = {}",
+    "error": "DELETE FROM companies WHERE id = {}",
+    "purchase": "WITH a AS (SELECT * FROM credit_events) SELECT count(*) FROM a /* UPDATE */ WHERE id = {} -- ALTER",
+    "signup": "SELECT * FROM parquet.`/x` WHERE id = {}",
+    "view": "SELECT reflect('java.lang.Math', 'abs', {})",
+}
+
+
+def _query_log(spark, sf, forms=_LOG):
     kind, number = F.col("event_type"), F.col("event_id").cast("string")
     text = F.lit(None)
-    for k, form in _LOG.items():
+    for k, form in forms.items():
         before, _, after = form.partition("{}")
         whole = F.concat(F.lit(before), number, F.lit(after)) if "{}" in form else F.lit(form)
         text = F.when(kind == k, whole).otherwise(text)
@@ -250,6 +260,17 @@ def sql_audit(spark, sf):
     return log.withColumn("substring_error", guarded_sql.sql_error(F.col("sql"), "substring"))
 
 
+@query("sql_plan_audit", """
+SELECT event_id, CASE event_type WHEN 'error' THEN 'Not a query: DeleteFromTable'
+            WHEN 'signup' THEN 'Table not allowed: parquet./x'
+            WHEN 'view' THEN 'Function not allowed: reflect' END AS plan_error
+FROM events
+""")
+def sql_plan_audit(spark, sf):
+    log = _query_log(spark, sf, _PLAN_LOG)
+    return plan_audit.audit_plans(log, "sql", ["companies", "credit_events"]).select("event_id", "plan_error")
+
+
 @query("sql_strip_fences", """
 SELECT event_id, 'SELECT ' || event_id || ' AS n' AS sql FROM events
 """)
