@@ -27,6 +27,7 @@ SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "embeddings": "vec_id long, embedding array<float>, label int",
     "labels": "doc_id long, quality int, toxic int",
+    "benchmark": "item_id long, text string",
 }
 
 

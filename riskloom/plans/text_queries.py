@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from riskloom.functions import text, vector
-from riskloom.operators import ann, context, embedding, hyperplanes, integrity, query_tables, similarity, word_index
+from riskloom.operators import ann, context, embedding, embedding_state, hyperplanes, integrity, query_tables, similarity, word_index
 from riskloom.plans import bindings as b
 from riskloom.plans.registry import query
 from riskloom.session import scratch_path
@@ -448,3 +448,30 @@ def embedding_refresh(spark, sf):
 
     embedding.refresh_embeddings(labelled, target, embed, id_col="doc_id")
     return embedding.refresh_embeddings(documents, target, embed, id_col="doc_id")
+
+
+@query("embedding_changes", """
+SELECT doc_id, change, CASE WHEN change <> 'gone' THEN sha256(text) END AS stored_sha256 FROM (
+  SELECT doc_id, text, CASE WHEN l.quality IS NULL THEN 'same' WHEN l.quality = 1 THEN 'new' ELSE 'changed' END AS change
+  FROM documents LEFT JOIN labels l USING (doc_id) WHERE length(text) >= 10
+  UNION ALL SELECT -1 - item_id, text, 'gone' FROM benchmark WHERE length(text) >= 10
+)
+""")
+def embedding_changes(spark, sf):
+    """Two states of a corpus: well labelled documents come in, badly labelled ones change, benchmark items go."""
+    documents, quality = b.table(spark, sf, "documents").select("doc_id", "text"), b.table(spark, sf, "labels").select("doc_id", "quality")
+    benchmark = b.table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")
+    drafts = F.when(F.col("quality") == 0, F.concat(F.lit("draft: "), "text")).otherwise(F.col("text"))
+    before = (
+        documents.join(quality, "doc_id", "left").where("quality IS NULL OR quality = 0")
+        .select("doc_id", drafts.alias("text")).unionByName(benchmark)
+    )
+    root = scratch_path(spark, "embedding-state")
+
+    def embed(df):
+        return embedding.embed_by_hashing(df, id_col="doc_id", width=64)
+
+    embedding_state.refresh(before, root, embed, id_col="doc_id")
+    changes = embedding_state.refresh(documents, root, embed, id_col="doc_id")
+    stored = embedding_state.current(spark, root, embedding_state.state_schema(documents, embed))
+    return changes.join(stored, "doc_id", "left").select("doc_id", "change", F.sha2("text_content", 256).alias("stored_sha256"))
