@@ -1,6 +1,7 @@
 """Vectors kept in step with their texts: new, changed and gone items found by content.
 
-The vectors lie in folders by hash of the id; a manifest names the valid folder of each.
+The vectors lie in folders by hash of the id; a manifest names the valid folder of each
+(as bucket/buckets).
 A refresh compares two narrow tables of (id, content hash), embeds what is new or changed,
 writes the touched buckets anew and then names them. Untouched buckets are not read.
 """
@@ -45,7 +46,7 @@ def compare(items: DataFrame, done: DataFrame, id_col: str) -> DataFrame:
 def current(spark: SparkSession, root: str, schema: T.StructType, buckets: list[int] | None = None) -> DataFrame:
     """The valid vectors, of all buckets or of some; no rows before the first refresh."""
     folders = sinks.published(spark, root)
-    wanted = [path for b, path in folders.items() if buckets is None or int(b) in set(buckets)]
+    wanted = [path for b, path in folders.items() if buckets is None or int(b.partition("/")[0]) in set(buckets)]
     return spark.read.schema(schema).parquet(*wanted) if wanted else spark.createDataFrame([], schema)
 
 
@@ -60,7 +61,7 @@ def refresh(items: DataFrame, root: str, embed: Callable[[DataFrame], DataFrame]
 
     New and changed texts are embedded, vectors of items that are gone or have become too
     short to be embedded are left out, all others stay as they are. Another ``version``
-    embeds everything anew. ``buckets`` is fixed by the first refresh. Items without an id
+    embeds everything anew. The number of buckets is that of the first refresh. Items without an id
     are left out; an id that occurs twice ends the refresh, as it could not be told which
     text holds. A refresh that fails leaves the vectors as they were. One runs at a time.
     """
@@ -68,6 +69,9 @@ def refresh(items: DataFrame, root: str, embed: Callable[[DataFrame], DataFrame]
     usable = items.where(F.col(id_col).isNotNull() & embedding.long_enough(F.col(text_col)))
     hashed = usable.select(id_col, content_hash(F.col(text_col), version).alias("content_sha256"))
     schema = state_schema(usable, embed)
+    folders = sinks.published(spark, root)
+    if folders:
+        buckets = int(next(iter(folders)).partition("/")[2])
     known = current(spark, root, schema).select(id_col, "content_sha256")
     path = scratch_path(spark, "embedding-changes")
     compare(hashed, known, id_col).withColumn("bucket", _bucket(F.col(id_col), buckets)).write.parquet(path)
@@ -78,7 +82,6 @@ def refresh(items: DataFrame, root: str, embed: Callable[[DataFrame], DataFrame]
     moved = changes.where(F.col("change") != SAME)
     touched = [r["bucket"] for r in moved.select("bucket").distinct().collect()]  # at most ``buckets``
     if touched:
-        folders = sinks.published(spark, root)
         kept = current(spark, root, schema, touched).join(changes.where(F.col("change") == SAME), id_col, "left_semi")
         todo = usable.join(moved.where(F.col("change") != GONE), id_col, "left_semi")
         made = embed(todo).withColumn("content_sha256", content_hash(F.col("text_content"), version))
@@ -86,7 +89,7 @@ def refresh(items: DataFrame, root: str, embed: Callable[[DataFrame], DataFrame]
         rows = kept.unionByName(made).withColumn("bucket", _bucket(F.col(id_col), buckets))
         sinks.write_table(rows, target, partition_by=["bucket"], mode="error")
         written = changes.where(F.col("change") != GONE).where(F.col("bucket").isin(touched)).select("bucket").distinct()
-        filled = {str(r["bucket"]): f"{target}/bucket={r['bucket']}" for r in written.collect()}
-        untouched = {b: p for b, p in folders.items() if int(b) not in set(touched)}
+        filled = {f"{r['bucket']}/{buckets}": f"{target}/bucket={r['bucket']}" for r in written.collect()}
+        untouched = {b: p for b, p in folders.items() if int(b.partition("/")[0]) not in set(touched)}
         sinks.publish(spark, root, untouched | filled)
     return changes.select(id_col, "change")

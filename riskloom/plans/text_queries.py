@@ -471,7 +471,7 @@ def embedding_changes(spark, sf):
     def embed(df):
         return embedding.embed_by_hashing(df, id_col="doc_id", width=64)
 
-    embedding_state.refresh(before, root, embed, id_col="doc_id")
+    embedding_state.refresh(before, root, embed, id_col="doc_id", buckets=16)
     changes = embedding_state.refresh(documents, root, embed, id_col="doc_id")
     stored = embedding_state.current(spark, root, embedding_state.state_schema(documents, embed))
     return changes.join(stored, "doc_id", "left").select("doc_id", "change", F.sha2("text_content", 256).alias("stored_sha256"))

@@ -1,8 +1,15 @@
-"""Incremental load of the risk panel."""
+"""Incremental load of the risk panel, settled as it is written.
+
+Every month of the panel is one folder, and a manifest names the valid ones. A batch reads
+the months that it touches, settles them together with its own rows and writes them as new
+folders; the others stay. Settling the same rows again changes nothing, so a batch may be
+run twice, and a lost checkpoint costs time but no rows.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -10,90 +17,66 @@ from pyspark.sql.streaming import StreamingQuery
 from riskloom import schemas
 from riskloom.functions import fixed_values as fv
 from riskloom.plans import loads
-from riskloom.sources import sheets
-
-# Every batch of every run owns a partition, and what it holds is never changed.
-_RUN, _BATCH = "load_run", "load_batch"
-_COLUMNS = ["company_number", "u3_company_number", "month", *fv.PANEL_MEASURES]
-
-
-def _stored_schema() -> T.StructType:
-    kinds = {f.name: f.dataType for f in schemas.RISK_INDICATORS.fields}
-    kinds |= {"company_number": T.LongType(), _RUN: T.StringType(), _BATCH: T.LongType()}
-    return T.StructType([T.StructField(n, kinds[n]) for n in [*_COLUMNS, _RUN, _BATCH, "year"]])
+from riskloom.session import scratch_path
+from riskloom.sources import sheets, sinks
 
+_COLUMNS = [*loads.PANEL_KEY, "company_number", *fv.PANEL_MEASURES]
+# The folders repeat year and month, which stay in the files as well.
+_FOLDER = ["part_year", "part_month"]
 
-def _stored(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.schema(_stored_schema()).parquet(target)
 
+def _schema() -> T.StructType:
+    kinds = {f.name: f.dataType for f in schemas.RISK_INDICATORS.fields} | {"company_number": T.LongType()}
+    return T.StructType([T.StructField(n, kinds[n]) for n in _COLUMNS])
 
-def create_target(spark: SparkSession, target: str) -> None:
-    """Make the target folder if it does not exist yet."""
-    empty = spark.createDataFrame([], _stored_schema())
-    empty.write.mode("ignore").partitionBy(_RUN, _BATCH, "year").parquet(target)
 
+def _read(spark: SparkSession, folders: Iterable[str]) -> DataFrame:
+    paths = sorted(folders)
+    return spark.read.schema(_schema()).parquet(*paths) if paths else spark.createDataFrame([], _schema())
 
-def _run_name(spark: SparkSession, checkpoint: str) -> str:
-    """A name that lives as long as the checkpoint, whose batch numbers it qualifies.
-
-    A lost checkpoint starts again at batch 0; under a new name that batch does not
-    replace the rows of the earlier one.
-    """
-    path = f"{checkpoint.rstrip('/')}/run-name"
-    spark.createDataFrame([(uuid.uuid4().hex,)], "name string").coalesce(1).write.mode("ignore").parquet(path)
-    return spark.read.schema("name string").parquet(path).first()["name"]
 
+def settle_batch(batch: DataFrame, known_companies: DataFrame, target: str) -> None:
+    """Clean one batch and bring the months that it touches up to date.
 
-def append_batch(batch: DataFrame, run: str, batch_id: int, known_companies: DataFrame, target: str) -> None:
-    """Clean one batch and store it, unique by company and month.
-
-    A batch that is run again after a failure replaces what it wrote before, and nothing
-    else. Rows of other batches for the same month are settled when the panel is read.
+    Readers see all of a batch or nothing of it. One writer at a time. Folders that no
+    longer count are listed by ``sinks.unused_folders``.
     """
-    (
-        loads.risk_panel(batch, known_companies)
-        .withColumns({_RUN: F.lit(run), _BATCH: F.lit(batch_id).cast("long")})
-        .select(*_COLUMNS, _RUN, _BATCH, "year")
-        .hint("rebalance", "year")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(_RUN, _BATCH, "year")
-        .parquet(target)
+    spark = batch.sparkSession
+    path = scratch_path(spark, "panel-batch")
+    loads.risk_panel(batch, known_companies).select(*_COLUMNS).write.parquet(path)
+    rows = spark.read.schema(_schema()).parquet(path)
+    touched = [(r["year"], r["month"]) for r in rows.select("year", "month").distinct().collect()]  # calendar months
+    if not touched:
+        return
+    valid = sinks.published(spark, target)
+    before = _read(spark, [valid[f"{y}-{m}"] for y, m in touched if f"{y}-{m}" in valid])
+    settled = loads.one_row_per_month(before.unionByName(rows)).select(
+        *_COLUMNS, F.col("year").alias(_FOLDER[0]), F.col("month").alias(_FOLDER[1])
     )
+    folder = f"{target.rstrip('/')}/months-{uuid.uuid4().hex}"
+    sinks.write_table(settled, folder, partition_by=_FOLDER, sort_by=["u3_company_number"], mode="error")
+    fresh = {f"{y}-{m}": f"{folder}/{_FOLDER[0]}={y}/{_FOLDER[1]}={m}" for y, m in touched}
+    sinks.publish(spark, target, valid | fresh)
 
 
 def stream_panel(spark: SparkSession, source: str, known_companies: DataFrame, target: str,
                  checkpoint: str, max_files: int = 100) -> StreamingQuery:
     """Load all files that have arrived since the last run, then stop."""
-    create_target(spark, target)
-    run = _run_name(spark, checkpoint)
     return (
         sheets.stream_panel_csv(spark, source, max_files)
-        .writeStream.foreachBatch(
-            lambda batch, batch_id: append_batch(batch, run, batch_id, known_companies, target)
-        )
+        .writeStream.foreachBatch(lambda batch, _: settle_batch(batch, known_companies, target))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def stored_panel(spark: SparkSession, target: str) -> DataFrame:
-    """What the stream has stored so far, as the batch load would have it.
+def stored_panel(spark: SparkSession, target: str, years: Iterable[int] | None = None) -> DataFrame:
+    """What the stream has stored so far, as the batch load would have it; a plain scan.
 
-    The lowest company number of a month wins, in whatever order files came. Filters on
-    the year reach the scan.
+    The lowest company number of a month wins, in whatever order files came. With
+    ``years`` only their folders are listed.
     """
-    return loads.one_row_per_month(_stored(spark, target))
-
-
-def compact(spark: SparkSession, target: str, fresh: str) -> None:
-    """Write what ``target`` holds as one batch of a new target, to go on with there."""
-    (
-        stored_panel(spark, target)
-        .withColumns({_RUN: F.lit("compacted"), _BATCH: F.lit(0).cast("long")})
-        .select(*_COLUMNS, _RUN, _BATCH, "year")
-        .hint("rebalance", "year")
-        .write.partitionBy(_RUN, _BATCH, "year")
-        .parquet(fresh)
-    )
+    wanted = None if years is None else {str(y) for y in years}
+    folders = sinks.published(spark, target)
+    return _read(spark, [path for month, path in folders.items() if wanted is None or month.rpartition("-")[0] in wanted])

@@ -163,20 +163,42 @@ def test_stream_holds_what_a_batch_load_would(spark, tmp_path, names):
     expected = {(1, 2008, 1): 9.0, (2, 2008, 1): None, (1, 2009, 1): 3.0}
     assert run() == (expected, 3)
 
-    # A batch that is run again replaces what it wrote.
+    # A batch that is run again changes nothing, nor does a lost checkpoint.
     again = sheets.read_panel_csv(spark, str(source / "b.csv"))
     for _ in range(2):
-        panel_stream.append_batch(again, "other", 1, known, target)
+        panel_stream.settle_batch(again, known, target)
     assert panel_stream.stored_panel(spark, target).count() == 3
+    assert run(tmp_path / "restarted") == (expected, 3)
     # With a new checkpoint and only later files there, earlier months stay.
     later = tmp_path / "later"
     later.mkdir()
     (later / "c.csv").write_text("\n".join([PANEL_HEAD, panel_line(2001, 2010, 2, "4")]) + "\n")
     source = later
     assert run(tmp_path / "lost") == (expected | {(2, 2010, 2): 4.0}, 4)
-    fresh = str(tmp_path / "fresh")
-    panel_stream.compact(spark, target, fresh)
-    assert panel_stream.stored_panel(spark, fresh).count() == 4
+    assert "Exchange" not in panel_stream.stored_panel(spark, target)._jdf.queryExecution().executedPlan().toString()
+    assert {(r["year"], r["month"]) for r in panel_stream.stored_panel(spark, target, [2009, 2010]).collect()} == {(2009, 1), (2010, 2)}
+
+
+def test_stream_writes_touched_months_only_and_whole_batches(spark, tmp_path):
+    target, known = str(tmp_path / "out"), spark.createDataFrame([(1,)], "u3_company_number int")
+    assert panel_stream.stored_panel(spark, target).collect() == []
+
+    def batch(name, *lines):
+        (tmp_path / f"{name}.csv").write_text("\n".join([PANEL_HEAD, *lines]) + "\n")
+        return sheets.read_panel_csv(spark, str(tmp_path / f"{name}.csv"))
+
+    panel_stream.settle_batch(batch("a", panel_line(1001, 2008, 1, "1"), panel_line(1001, 2008, 2, "2")), known, target)
+    first = sinks.published(spark, target)
+    panel_stream.settle_batch(batch("b", panel_line(1000, 2008, 2, "3")), known, target)
+    second = sinks.published(spark, target)
+    assert second["2008-1"] == first["2008-1"] and second["2008-2"] != first["2008-2"]
+    panel_stream.settle_batch(batch("c", panel_line(9001, 2008, 2, "4")), known, target)  # nothing of a known company
+    assert sinks.published(spark, target) == second
+    broken = batch("d", panel_line(1000, 2008, 1, "9")).withColumn("dtd", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        panel_stream.settle_batch(broken, known, target)
+    assert sorted((r["month"], r["dtd"]) for r in panel_stream.stored_panel(spark, target).collect()) == [(1, 1.0), (2, 3.0)]
+    assert sinks.unused_folders(spark, target, keep=1) == [first["2008-2"]]
 
 
 def test_panel_columns_go_by_heading(spark, tmp_path):
