@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import fixed_values as fv
 from riskloom.functions.clean import iso_frame
-from riskloom.operators import guarded_sql, plan_audit, profile, quality as q
+from riskloom.operators import guarded_sql, plan_audit, profile, profile_parts, quality as q
 from riskloom.plans import bindings as b
 from riskloom.plans.registry import query
+from riskloom.session import scratch_path
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
 
@@ -208,6 +209,30 @@ def table_profile(spark, sf):
     )
 
 
+_EVENT_COLUMNS = {
+    "id": "bigint", "u3_company_number": "bigint", "announcement_date": "date", "effective_date": "date",
+    "event_type": "string", "action_name": "string", "subcategory": "string", "effective_month": "string",
+}
+
+
+@query("profile_by_month", "SELECT * EXCLUDE (table_name, data_type, is_key, n_distinct), true AS estimate_holds FROM ("
+       + _profile_sql("credit_events", "(SELECT *, strftime(effective_date, '%Y-%m') AS effective_month FROM undated)",
+                      _EVENT_COLUMNS, "id") + ")")
+def profile_by_month(spark, sf):
+    """The last month arrives after the others; the profile of all is put together from states."""
+    events = b.undated_events(spark, sf).withColumn("effective_month", F.date_format("effective_date", "yyyy-MM"))
+    target = scratch_path(spark, "profile-states")
+    last = events.agg(F.max("effective_month")).first()[0]
+    for months in (events.where(F.col("effective_month") < last), events.where(F.col("effective_month") == last)):
+        profile_parts.store_parts(months, "effective_month", target)
+    united = profile_parts.united_profile(spark, target, "credit_events", events.schema, ["id"])
+    exact = profile.table_profile({"credit_events": events}, exact=True).select("column_name", F.col("n_distinct").alias("exact"))
+    holds = F.abs(F.col("n_distinct") - F.col("exact")) <= 4 * profile_parts.STANDARD_ERROR * F.col("exact")
+    return united.join(exact, "column_name").withColumn("estimate_holds", holds).select(
+        "column_name", "n_rows", "n_present", "min_value", "max_value", "max_width", "estimate_holds"
+    )
+
+
 # A query log: one SQL text per event, its form chosen by the kind of event.
 _LOG = {
     "click": "SELECT * FROM companies WHERE id = {}",
