@@ -16,11 +16,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import partitions, words
+from riskloom.llm.common import partitions, stored, words
 
 K = 3
 BINS = 64
 CANDIDATES = BINS * 16  # hashes looked at: on average 16 per bin, of which 2 are used
+BROADCAST_BYTES = 64 << 20  # of texts that follow the slices' last ones
+SPREAD = 4096
 
 
 def _get(array: Column, i: Column | int) -> Column:
@@ -85,21 +87,32 @@ def sketch(df: DataFrame, text_cols: dict[str, str]) -> DataFrame:
 
     unique = runs.select(*keep, *[numbered(F.col(n), F.col(f"{n}_s"), F.col(f"{n}_b")).alias(n) for n in names])
 
-    # Only the smallest hashes can be selected; a bound in proportion keeps 16 per bin.
+    def binned(g: Column, positions: Column) -> Column:
+        return F.array_sort(F.transform(positions, lambda i: F.struct(
+            _get(g, i).bitwiseAND(F.lit(BINS - 1).cast("long")).alias("bin"), _get(g, i).alias("g"), i.alias("i")
+        )))
+
+    def least_two(s: Column) -> Column:
+        return F.filter(s, lambda e, i: (i < 2) | (_get(s, F.greatest(i - 2, F.lit(0))).bin != e.bin))
+
+    # Only the smallest hashes can be selected; a bound in proportion keeps 16 per bin. A
+    # text in which some bin has fewer than two below the bound is looked at again, whole.
     def small(g: Column) -> Column:
         bound = F.floor(F.lit(float(2**32) * CANDIDATES) / F.size(g)).cast("long") - 2**31
-        positions = F.filter(
+        return binned(g, F.filter(
             F.transform(g, lambda x, i: F.when((F.size(g) <= CANDIDATES) | (F.shiftright(x, 32) < bound), i)),
             lambda i: i.isNotNull(),
-        )
-        return F.array_sort(F.transform(positions, lambda i: F.struct(
-            _get(g, i).bitwiseAND(F.lit(BINS - 1).cast("long")).alias("bin"), _get(g, i).alias("g"), i.alias("i")
-        )))
+        ))
+
+    def again(g: Column, found: Column) -> Column:
+        short = (F.size(g) > CANDIDATES) & (F.size(found) < 2 * BINS)
+        return F.when(short, binned(g, F.sequence(F.lit(0), F.size(g) - 1)))
 
-    sorted_bins = step(unique, small)
-    two = step(sorted_bins, lambda s: F.filter(
-        s, lambda e, i: (i < 2) | (_get(s, F.greatest(i - 2, F.lit(0))).bin != e.bin)
-    ))
+    whole = [F.col(n).alias(f"{n}_g") for n in names]
+    sorted_bins = unique.select(*keep, *whole, *[small(F.col(n)).alias(n) for n in names])
+    first = sorted_bins.select(*keep, *[f"{n}_g" for n in names], *[least_two(F.col(n)).alias(n) for n in names])
+    checked = first.select(*keep, *names, *[again(F.col(f"{n}_g"), F.col(n)).alias(f"{n}_a") for n in names])
+    two = checked.select(*keep, *[F.coalesce(least_two(F.col(f"{n}_a")), F.col(n)).alias(n) for n in names])
 
     def tuples(t: Column) -> Column:
         def one(e: Column, i: Column) -> Column:
@@ -161,16 +174,20 @@ def with_next(docs: DataFrame, slices: int) -> DataFrame:
     spark = docs.sparkSession
     next_heads = spark.createDataFrame(rows, "tail_slice int, known boolean, head_id bigint")
     wanted = [h["doc_id"] for h in heads.values() if h["known"]]
-    first_texts = (
+    first_texts = stored(
         docs.where(F.col("doc_id").isin(wanted) | F.col("doc_id").isNull())
-        .groupBy(F.col("doc_id").alias("of_id")).agg(F.min("text").alias("head_text"))
+        .groupBy(F.col("doc_id").alias("of_id")).agg(F.min("text").alias("head_text")),
+        "slice-heads",
     )
     tails = next_heads.join(first_texts, F.col("head_id").eqNullSafe(F.col("of_id"))).select("tail_slice", "head_text")
     in_slice = Window.partitionBy("slice").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     ahead = sliced.withColumns({"nth": F.row_number().over(in_slice), "inner_text": F.lead("text").over(in_slice)})
-    last = F.when(F.col("inner_text").isNull(), F.col("slice"))
+    # Rows that are not the last of their slice have no partner; they are spread.
+    last = F.when(F.col("inner_text").isNull(), F.col("slice")).otherwise(
+        -1 - F.pmod(F.xxhash64("slice", "nth"), F.lit(SPREAD)).cast("int"))
+    head_bytes = first_texts.agg(F.sum(F.octet_length("head_text"))).first()[0] or 0
     return (
-        ahead.join(F.broadcast(tails) if len(rows) <= 10_000 else tails, last == F.col("tail_slice"), "left")
+        ahead.join(F.broadcast(tails) if head_bytes <= BROADCAST_BYTES else tails, last == F.col("tail_slice"), "left")
         .withColumn("next_text", F.coalesce("inner_text", "head_text"))
         .select("doc_id", "text", "slice", "nth", "next_text", F.col("inner_text").isNull().alias("is_last"))
     )

@@ -3,11 +3,13 @@
 import bisect
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -399,6 +401,52 @@ def test_shards_are_even_and_gapless(spark, documents):
     assert all(r.size == len((texts[r.doc_id] or "").encode()) + 16 and r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in rows)
 
 
+def plain_fingerprint(text):
+    """Two least occurrence-numbered 3-word k-mers per bin, in text order, hashed."""
+    def chain(*parts):
+        seed = 42
+        for part in parts:
+            seed = xxhash.xxh64_intdigest(part, seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    w = [x.encode() for x in WORD.findall(text)]
+    runs = [chain(*w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [chain(b" ".join(w))] if w else []
+    seen, bins = Counter(), {}
+    for i, h in enumerate(runs):
+        g = chain(struct.pack("<q", h), struct.pack("<i", seen[h])) if seen[h] else h
+        seen[h] += 1
+        bins.setdefault(g & 63, []).append((g, i))
+    found = []
+    for _, members in sorted(bins.items()):
+        least = sorted(sorted(members)[:2], key=lambda m: m[1])
+        found.append(chain(*[struct.pack("<q", g) for g, _ in least]))
+    return [f"{x & (1 << 64) - 1:x}" for x in found]
+
+
+@pytest.mark.parametrize("candidates, broadcast", [(fingerprints.CANDIDATES, fingerprints.BROADCAST_BYTES), (128, 0)])
+def test_fingerprints_against_brute_force(spark, documents, monkeypatch, candidates, broadcast):
+    """Every fingerprint and likeness, also where bins have to be looked at again."""
+    monkeypatch.setattr(fingerprints, "CANDIDATES", candidates)
+    monkeypatch.setattr(fingerprints, "BROADCAST_BYTES", broadcast)
+    texts = [(r.doc_id, r.text or "") for r in documents.orderBy("doc_id").collect()]
+
+    def like(a, b):
+        return len(set(a) & set(b)) / max(len(a), len(b)) if a or b else 1.0
+
+    want = {}
+    for k, (i, text) in enumerate(texts):
+        following = texts[(k + 1) % len(texts)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        own, other, after = plain_fingerprint(text), plain_fingerprint(edited), plain_fingerprint(following)
+        want[i] = (len(text), "-".join(own), "-".join(other), like(own, other), like(own, after))
+    rows = fingerprints.compare_with_edits(documents).collect()
+    got = {r.doc_id: (r.n_chars, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in rows}
+    assert got.keys() == want.keys()
+    for i, row in want.items():
+        assert got[i][:3] == row[:3] and got[i][3:] == pytest.approx(row[3:], abs=1e-12)
+
+
 NATIVE = ["op3_quality_rules", "op9_document_fingerprints", "op10_sharding"]
 
 
