@@ -483,3 +483,100 @@ def test_pipeline_against_brute_force(spark, data):
     assert seen <= scored
     run = corpus_pipeline.run(spark, data)
     assert run.columns[:2] == ["doc_id", "piece"] and run.count() > 0
+
+
+def plain_targets(sizes):
+    """150 % of all words by weights 5, 2, 1, at most twice a source's size, the excess dealt again."""
+    order = sorted(sizes, key=lambda n: (n is None, n or ""))
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(order)}
+    full, left = {}, 1.5 * sum(sizes.values())
+    while True:
+        rest = [n for n in order if n not in full]
+        share = {n: left * weight[n] / sum(weight[m] for m in rest) for n in rest}
+        over = [n for n in rest if share[n] > 2 * sizes[n]]
+        if not over:
+            return full | share
+        for n in over:
+            full[n] = 2.0 * sizes[n]
+            left -= full[n]
+
+
+def test_pipeline_stages_recomputed(spark, data):
+    """Every stage against a plain computation on what the stage before it kept."""
+    import corpus_pipeline
+    import public_tokenizers
+    from riskloom.llm.common import stored
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    kept = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        kept.append(stored(stage(spark, kept[-1], data), "test-stage"))
+        if name != "best-fit packing":
+            assert kept[-1].columns == docs.columns
+    start, good, single, clean, mixed, packed = [d.collect() for d in kept]
+
+    scores = {r.doc_id: r.predicted for r in catalog.op2(spark, data).collect()}
+    assert {r.doc_id: r.text for r in good} == {r.doc_id: r.text for r in start if scores[r.doc_id] == 1 and WORD.search(r.text or "")}
+
+    shingles = {}
+    for r in good:
+        w = WORD.findall(r.text)
+        shingles[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    ids, leader = sorted(shingles), {i: i for i in shingles}
+
+    def find(i):
+        while leader[i] != i:
+            i = leader[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for k in ids[:n]:
+            a, b = shingles[i], shingles[k]
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((find(i), find(k)))
+                leader[y] = x
+    assert sorted(r.doc_id for r in single) == sorted({find(i) for i in ids})
+    texts = {r.doc_id: r.text for r in good}
+    assert all(r.text == texts[r.doc_id] for r in single)
+
+    seen, want = set(), {}
+    for r in sorted(single, key=lambda r: r.doc_id):
+        w = WORD.findall(r.text)
+        gone = set()
+        for i in range(len(w) - 19):
+            window = tuple(w[i : i + 20])
+            if window in seen:
+                gone.update(range(i, i + 20))
+            seen.add(window)
+        if len(gone) < len(w):
+            want[r.doc_id] = " ".join(x for i, x in enumerate(w) if i not in gone) if gone else r.text
+    assert {r.doc_id: r.text for r in clean} == want
+
+    words_of, source_of = {r.doc_id: len(WORD.findall(r.text)) for r in clean}, {r.doc_id: r.source for r in clean}
+    sizes, taken, of_doc = Counter(), Counter(), Counter()
+    for i, n in words_of.items():
+        sizes[source_of[i]] += n
+    for r in mixed:
+        n = len(WORD.findall(r.text))
+        taken[r.source] += n
+        of_doc[r.doc_id] += n
+    for source, target in plain_targets(sizes).items():
+        assert abs(taken[source] - target) <= 1
+    assert all(n <= 2 * words_of[i] for i, n in of_doc.items())
+
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens, places = Counter(), {}
+    for r in mixed:
+        tokens[r.doc_id] += len(bpe.encode(r.text, add_special_tokens=False).ids) + 1
+    for r in packed:
+        tokens[r.doc_id] -= r.length
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(tokens.values()) == {0}
+    for parts in places.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    assert len(places) <= 1.02 * -(-sum(r.length for r in packed) // 1024) + 1
