@@ -5,17 +5,18 @@ cut into equal blocks of tokens; seats (one block each) go to sources by the hig
 quotients target / (2 j + 1). Seats are dealt to shards in the order of award, which gives
 every shard integer quotas close to the overall shares. A source's last block is as much
 smaller or larger as its target asks, so a source of less than one block gets its share,
-too. Which words fill the blocks is decided by a seeded order of the source's documents:
-shards take their quotas from it one after the other, each beginning where the one before
-ended, and at its end the order begins again.
+too. The words of a source, its documents in a seeded order, are cut into blocks of that
+size, and the blocks are put into a seeded order of their own: shards select their quotas
+from it one after the other, each beginning where the one before ended, and at its end the
+order begins again. A document is taken as far as its words lie in selected blocks.
 
 Only narrow rows (id, source, size) are shuffled. Positions inside a source come from
-slice sums, so a source that holds most rows is spread over ``SLICES`` groups.
+slice sums, so a source that holds most rows is spread over 16 ** ``SLICE_DIGITS`` groups.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import stored, word_count, words
@@ -60,6 +61,16 @@ def targets(sized: DataFrame, weights: tuple[float, ...], ratio: float, repeats:
     )
 
 
+def with_blocks(sources: DataFrame, blocks: int) -> DataFrame:
+    """Sources with mix (words of all targets), n_sources and block_size (words)."""
+    everything = Window.partitionBy()
+    return (
+        sources.withColumn("mix", F.sum(F.floor(F.col("target") + 0.5)).over(everything))
+        .withColumn("n_sources", F.count("*").over(everything))
+        .withColumn("block_size", F.greatest(F.lit(1), F.floor(F.col("mix") / blocks)).cast("long"))
+    )
+
+
 def apportion(sources: DataFrame, blocks: int, shards: int) -> DataFrame:
     """Sainte-Laguë seats: one row per seat with source_no, block_size and shard.
 
@@ -67,11 +78,8 @@ def apportion(sources: DataFrame, blocks: int, shards: int) -> DataFrame:
     ordered pass over the seats has a fixed size. A source gets no more seats than blocks
     fit in its limit. Ties go to the lower source number.
     """
-    everything = Window.partitionBy()
     prepared = (
-        sources.withColumn("mix", F.sum("target").over(everything))
-        .withColumn("n_sources", F.count("*").over(everything))
-        .withColumn("block_size", F.greatest(F.lit(1), F.floor(F.col("mix") / blocks)).cast("long"))
+        with_blocks(sources, blocks)
         .withColumn("seats", F.floor(F.col("mix") / F.col("block_size")))
         # Divisor methods stay within half a seat per source of the exact share.
         .withColumn(
@@ -131,6 +139,29 @@ def shard_words(sources: DataFrame, seats: DataFrame, shards: int) -> DataFrame:
     )
 
 
+def select_blocks(quotas: DataFrame, seed: int) -> DataFrame:
+    """The blocks of each source (source_no, source_size, block_size, last_pass) and what is selected of them.
+
+    Gives source_no and ``selected``: per block of the source, in the order of its words,
+    ``at`` (words before it in the seeded order of blocks) and ``n`` (words of the block
+    that the last, partial pass takes). Blocks are selected whole in the seeded order up to
+    ``last_pass`` words, but for the one in which they end. The shorter block at a source's
+    end comes last. A source has at most as many blocks as the mix, whatever its size.
+    """
+    blocks = quotas.where("source_size > 0").select(
+        "source_no", "source_size", "block_size", "last_pass",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("source_size") - 1) / F.col("block_size")))).alias("block"),
+    ).withColumn("words", F.least("block_size", F.col("source_size") - F.col("block") * F.col("block_size")))
+    draw = F.md5(F.concat(F.col("source_no").cast("string"), F.lit(":"), F.col("block").cast("string"), F.lit(f":{seed}")))
+    seeded = Window.partitionBy("source_no").orderBy(F.col("words") < F.col("block_size"), draw, "block")
+    at = F.coalesce(F.sum("words").over(seeded.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.greatest(F.lit(0), F.least(F.col("at") + F.col("words"), F.col("last_pass")) - F.col("at"))
+    return (
+        blocks.withColumn("at", at).withColumn("n", n).groupBy("source_no")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "at", "n"))), lambda b: F.struct(b["at"].alias("at"), b["n"].alias("n"))).alias("selected"))
+    )
+
+
 def _positions(sized: DataFrame, seed: int) -> DataFrame:
     """``start``: words of the same source before a document in the seeded order."""
     name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))
@@ -164,40 +195,77 @@ def mix(
     """How many words of each document the mix takes.
 
     One row per row of ``docs``: doc_id, source, size, source_size, target, quota (blocks
-    of the source), full_passes and cut (words of the document's start that are taken once
-    more), taken, shard (whose quota its first taken word fills; null if none is). A document is taken ``full_passes`` times, and once more for
-    the words that lie in the source's last, partial pass; only the document in which that
-    pass ends is cut. No text is taken more than ``repeats`` times. Null and empty texts
-    have size 0; a null source is a source of its own. Repeated rows are documents of
-    their own. Rows equal in id, source and size may swap their places, never their sum.
-    The empty table gives no rows. Reruns agree.
+    of the source), full_passes and pieces (runs of the document's words that are taken
+    once more: first, from 0, and n), taken, shard (whose quota its first taken word fills;
+    null if none is). A document is taken ``full_passes`` times, and once more for the words
+    that lie in blocks selected in the source's last, partial pass. No text is taken more
+    than ``repeats`` times. Null and empty texts have size 0; a null source is a source of
+    its own. Repeated rows are documents of their own. Rows equal in id, source and size may
+    swap their places, never their sum. The empty table gives no rows. Reruns agree.
     """
     sized = stored(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     sources = stored(targets(sized, weights, ratio, repeats), "mix-sources")
     quotas = shard_words(sources, apportion(sources, blocks, shards), shards)
-    per_source = (
-        sources.join(quotas, "source_no")
+    per_source = stored(
+        with_blocks(sources, blocks).join(quotas, "source_no")
         .withColumn("full_passes", F.when(F.col("source_size") > 0, F.floor(F.col("due") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("last_pass", F.col("due") - F.col("full_passes") * F.col("source_size"))
-        .select(F.col("source").alias("name"), "source_no", "source_size", "target", "quota", "full_passes", "last_pass", "shard_ends")
+        .select("source", "source_no", "source_size", "target", "block_size", "quota", "full_passes", "last_pass", "shard_ends"),
+        "mix-quotas",
     )
-    numbered = sized.join(per_source, sized.source.eqNullSafe(per_source.name)).drop("name")
-    cut = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("last_pass")) - F.col("start"))
-    taken = F.col("full_passes") * F.col("size") + F.col("cut")
+    names = per_source.select(F.col("source").alias("name"), "source_no")
+    numbered = sized.join(names, sized.source.eqNullSafe(names.name)).drop("name")
+    selected = per_source.drop("source").join(select_blocks(per_source, seed), "source_no", "left")
+
+    end = F.col("start") + F.col("size")
+    first_block = F.floor(F.col("start") / F.col("block_size"))
+    last_block = F.floor((end - 1) / F.col("block_size"))
+
+    def piece(block):
+        starts = block * F.col("block_size")
+        first = F.greatest(F.col("start"), starts)
+        held = F.get("selected", block.cast("int"))
+        return F.struct(
+            (first - F.col("start")).alias("first"),
+            F.greatest(F.lit(0), F.least(end, starts + held["n"]) - first).cast("long").alias("n"),
+            (held["at"] + first - starts).alias("at"),
+        )
+
+    in_blocks = F.when(F.col("size") > 0, F.transform(F.sequence(first_block, last_block), piece))
+    again = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["n"])
+    # Place of the first taken word in the seeded order of the source's blocks.
+    place = F.when(F.col("full_passes") > 0, F.get("held", F.lit(0))["at"]).otherwise(F.get("pieces", F.lit(0))["at"])
     return (
-        _positions(numbered, seed)
-        .withColumn("cut", cut.cast("long"))
-        .withColumn("taken", taken.cast("long"))
-        .withColumn("shard", F.when(F.col("taken") > 0, F.size(F.filter("shard_ends", lambda end: end <= F.col("start")))))
-        .select("doc_id", "source", "size", "source_size", "target", "quota", "full_passes", "cut", "taken", "shard")
+        _positions(numbered, seed).join(selected, "source_no")
+        .withColumn("held", in_blocks)
+        .withColumn("pieces", F.coalesce(F.filter("held", lambda p: p["n"] > 0), F.array()))
+        .withColumn("taken", (F.col("full_passes") * F.col("size") + again).cast("long"))
+        .withColumn("place", place)
+        .withColumn("shard", F.when(F.col("taken") > 0, F.size(F.filter("shard_ends", lambda end: end <= F.col("place")))))
+        .select("doc_id", "source", "size", "source_size", "target", "quota", "full_passes", _runs(F.col("pieces")).alias("pieces"), "taken", "shard")
     )
 
 
+def _runs(pieces: Column) -> Column:
+    """Pieces (first, n) in order, those that follow each other without a gap united."""
+    none = F.array().cast("array<struct<first:bigint,n:bigint>>")
+
+    def add(runs, piece):
+        last = F.try_element_at(runs, F.lit(-1))
+        follows = last["first"] + last["n"] == piece["first"]
+        longer = F.struct(last["first"].alias("first"), (last["n"] + piece["n"]).alias("n"))
+        single = F.struct(piece["first"].alias("first"), piece["n"].alias("n"))
+        return F.when(follows, F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(single)))
+
+    return F.aggregate(pieces, none, add)
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (doc_id, text, source and any others) as the mix takes them.
 
-    Whole copies as often as they are taken, plus the cut start of the document in which a
-    source's last pass ends; ``n_chars`` follows where it exists. Same columns as ``docs``.
+    Whole copies as often as they are taken, plus the runs of words that lie in blocks
+    selected in the source's last pass, each a text of its own; ``n_chars`` follows where
+    it exists. Same columns as ``docs``.
     Rows are known by id, text and source; equal rows each take one of their shares. Null
     ids and sources are values like others, texts without words are not taken, no rows
     give no rows, and other columns may have any names.
@@ -209,7 +277,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         mix(docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("id"), "text", "source"), id_col="id", **options)
         .where("taken > 0")
         .groupBy(F.col("doc_id").alias("share_of"), F.col("source").alias("share_source"))
-        .agg(F.sort_array(F.collect_list(F.struct("full_passes", "cut", "size"))).alias("shares"))
+        .agg(F.sort_array(F.collect_list(F.struct("full_passes", "pieces", "size"))).alias("shares"))
     )
     same = Window.partitionBy("id", "source").orderBy(F.lit(0))
     taken = (
@@ -218,12 +286,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         .where("share IS NOT NULL")
     )
     text = F.col("row")["text"]
-    start = F.array_join(F.slice(words(text), F.lit(1), F.col("share.cut").cast("int")), " ")
-    partial = F.when(F.col("share.cut") == F.col("share.size"), text).otherwise(start)
-    texts = F.concat(
-        F.array_repeat(text, F.col("share.full_passes").cast("int")),
-        F.when(F.col("share.cut") > 0, F.array(partial)).otherwise(F.array().cast("array<string>")),
-    )
+    partial = F.transform("share.pieces", lambda p: F.when(p["n"] == F.col("share.size"), text).otherwise(
+        F.array_join(F.slice(words(text), (p["first"] + 1).cast("int"), p["n"].cast("int")), " ")
+    ))
+    texts = F.concat(F.array_repeat(text, F.col("share.full_passes").cast("int")), partial)
     out = taken.select("row", F.explode(texts).alias("mixed_text"))
     changed = {"text": F.col("mixed_text")}
     if "n_chars" in docs.columns:

@@ -43,19 +43,53 @@ WITH sized AS (
   SELECT *, least(most, coalesce(
             (min(CASE WHEN level * weight <= most THEN {'at': most / weight, 'no': source_no, 'level': level} END) OVER ()).level * weight, most)) AS target
   FROM levels
-), passes AS (
-  SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS due,
-         CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS full_passes
+), limits AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS due, CAST(sum(floor(target + 0.5)) OVER () AS BIGINT) AS mix, count(*) OVER () AS n_sources
   FROM targets
+), sizes AS (
+  SELECT *, greatest(1, mix // 10000) AS block_size FROM limits
+), seats AS (
+  SELECT source_no, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, source_no) AS award, mix // block_size AS seats
+  FROM (
+    SELECT *, unnest(range(CAST(least(floor(most / block_size),
+              ceil(target / block_size) + 1 + ceil(n_sources * target / mix)) AS BIGINT))) AS j
+    FROM sizes
+  )
+), quotas AS (
+  SELECT source_no, (award - 1) % 8 AS shard, count(*) AS quota FROM seats WHERE award <= seats GROUP BY ALL
+), whole AS (
+  SELECT source_no, CAST(sum(quota) AS BIGINT) AS quota FROM quotas GROUP BY 1
+), filled AS (
+  SELECT s.*, coalesce(quota, 0) * block_size AS whole_blocks, due - coalesce(quota, 0) * block_size AS last_block
+  FROM sizes s LEFT JOIN whole USING (source_no)
+), passes AS (
+  SELECT *, CASE WHEN source_size > 0 THEN (whole_blocks + last_block) // source_size ELSE 0 END AS full_passes,
+         CASE WHEN source_size > 0 THEN (whole_blocks + last_block) % source_size ELSE 0 END AS last_pass
+  FROM filled
+), cut AS (
+  SELECT source_no, block_size, last_pass, block, least(block_size, source_size - block * block_size) AS n
+  FROM (SELECT *, unnest(range((source_size + block_size - 1) // block_size)) AS block FROM passes)
+), ordered AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY source_no ORDER BY n < block_size, md5(source_no || ':' || block || ':42'), block
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM cut
+), selected AS (
+  SELECT source_no, block, block * block_size AS low,
+         block * block_size + greatest(0, least(before + n, last_pass) - before) AS high
+  FROM ordered
 ), placed AS (
-  SELECT s.doc_id, s.size, p.source_size, p.target, p.full_passes, p.due - p.full_passes * p.source_size AS last_pass,
+  SELECT s.doc_id, s.size, p.source_no, p.source_size, p.target, p.full_passes, p.block_size, row_number() OVER () AS row_no,
          coalesce(sum(s.size) OVER (PARTITION BY p.source_no ORDER BY md5(s.doc_id || ':42'), s.doc_id
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized s JOIN passes p ON s.source IS NOT DISTINCT FROM p.source
+), met AS (
+  SELECT row_no, sum(greatest(0, least(start + size, high) - greatest(start, low))) AS again
+  FROM (SELECT *, unnest(range(CAST(start // block_size AS BIGINT), CAST((start + size - 1) // block_size + 1 AS BIGINT))) AS block
+        FROM placed WHERE size > 0) JOIN selected USING (source_no, block)
+  GROUP BY 1
 )
-SELECT doc_id, size, source_size, target,
-       CAST(full_passes * size + greatest(0, least(start + size, last_pass) - start) AS BIGINT) AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, CAST(full_passes * size + coalesce(again, 0) AS BIGINT) AS taken
+FROM placed LEFT JOIN met USING (row_no)
 """
 
 SUBSTRING_DEDUP = r"""

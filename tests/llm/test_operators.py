@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -271,6 +272,35 @@ def test_shards_fill_their_quotas(spark):
         assert sum(w != 100 * quota.get((r.source_no, s), 0) for s, w in enumerate(words)) <= 1 or due < 100 * r.quota
 
 
+def test_mix_selects_whole_blocks(spark):
+    """The last pass takes whole blocks of the seeded order of blocks, as many as the quotas say, and one smaller."""
+    docs = spark.createDataFrame([(i, "a b c"[: 1 + 2 * (i % 3)], "ab"[i % 4 == 0]) for i in range(4_000)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, blocks=200, seed=7).collect()
+    block_size = sum({r.source: math.floor(r.target + 0.5) for r in rows}.values()) // 200
+    for number, source in enumerate("ab", 1):
+        tape, taken = [], {}
+        for r in sorted((r for r in rows if r.source == source), key=lambda r: hashlib.md5(f"{r.doc_id}:7".encode()).hexdigest()):
+            again = [p.first + i for p in r.pieces for i in range(p.n)]
+            assert r.taken == r.full_passes * r.size + len(again) == r.full_passes * r.size + len(set(again))
+            tape += [(r.doc_id, i) for i in range(r.size)]
+            taken |= {(r.doc_id, i): i in again for i in range(r.size)}
+        cut = [tape[i : i + block_size] for i in range(0, len(tape), block_size)]
+        order = sorted(range(len(cut)), key=lambda b: (len(cut[b]) < block_size, hashlib.md5(f"{number}:{b}:7".encode()).hexdigest()))
+        due = math.floor(r.target + 0.5)
+        left = due % len(tape)
+        for b in order:
+            assert [taken[w] for w in cut[b]] == [i < left for i in range(len(cut[b]))]
+            left -= min(left, len(cut[b]))
+        assert abs(due - r.quota * block_size) < block_size
+    want, got = Counter(), Counter()
+    for r in rows:
+        want[r.source] += r.taken
+    for r in mixing.mixed_documents(docs, blocks=200, seed=7).collect():
+        assert r.text and r.text in "a b c"
+        got[r.source] += len(r.text.split())
+    assert got == want
+
+
 def test_seats_are_sainte_lague(spark):
     sources = spark.createDataFrame([(1, 530.0, 9e9), (2, 240.0, 9e9), (3, 230.0, 9e9)], "source_no int, target double, most double")
     seats = mixing.apportion(sources, 10, 3)
