@@ -26,6 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MIN_LENGTH = 10
 DIGITS = 12
 SLACK = 1e-9
+# Words of a task's texts that are counted at a time, but at least one text.
+WORDS_AT_ONCE = 262_144
 # Strongest lists that are read for the first scores: those up to this share of all bounds.
 FIRST_SHARE = 0.5
 
@@ -55,6 +57,16 @@ def word_columns(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataF
     return usable.select(id_col, F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0)).alias("words"), *more)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows that hold ``WORDS_AT_ONCE`` words together, or one row of more."""
+    ends = batch.column(1).offsets.to_numpy()
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + WORDS_AT_ONCE, side="right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def hashed_words(df: DataFrame, *, id_col: str = "id", text_col: str = "text", width: int = 1024) -> DataFrame:
     """Sparse vectors of texts: id, places, weights, length. Texts under 10 characters are
     left out; a text without words has no places."""
@@ -64,7 +76,7 @@ def hashed_words(df: DataFrame, *, id_col: str = "id", text_col: str = "text", w
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             n = batch.num_rows
             row, place, count = counted(batch.column(1), width)
             weight = weighted(row, count, n)

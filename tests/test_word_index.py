@@ -79,3 +79,19 @@ def test_no_documents_and_no_queries(spark, index, tmp_path):
     queries = spark.createDataFrame([(1, "some words to look for")], "query_id long, text string")
     assert word_index.search(spark, path, queries, 3).collect() == []
     assert word_index.search(spark, index, queries.limit(0), 3).collect() == []
+
+
+def test_words_are_counted_in_parts(spark, monkeypatch):
+    """No more words than ``WORDS_AT_ONCE`` are counted together, but for a text that has more alone."""
+    rows = [(i, " ".join(f"w{i + j}" for j in range(5 + i % 40))) for i in range(300)] + [(900, "long " * 500), (901, " " * 20)]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    counted = word_index.counted
+
+    def watched(words, width):
+        assert len(words.flatten()) <= 100 or len(words) == 1
+        return counted(words, width)
+
+    monkeypatch.setattr(word_index, "counted", watched)
+    monkeypatch.setattr(word_index, "WORDS_AT_ONCE", 100)
+    got = {r["id"]: dict(zip(r["places"], r["weights"], strict=True)) for r in word_index.hashed_words(docs).collect()}
+    assert got == {i: sparse(text) for i, text in rows}
