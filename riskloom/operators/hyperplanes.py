@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from riskloom.functions import vector
@@ -22,6 +23,9 @@ from riskloom.sources import sinks
 # Rows of a table's part, and queries of a block, that meet in one task at most (on average).
 PART_ROWS = 65_536
 QUERY_ROWS = 8_192
+# Queries and rows of a bucket compared at a time, to bound the memory of a task.
+QUERY_CHUNK = 256
+ROW_CHUNK = 4_096
 
 
 def planes(tables: int, bits: int, width: int) -> np.ndarray:
@@ -59,15 +63,23 @@ def _units(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     column = batch.column(name)
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     rows = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
-    return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+    rows /= np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+    return rows
 
 
-def _first(cosine: np.ndarray, by_id: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` highest cosines, ties by id."""
-    if len(cosine) <= k:
-        return np.arange(len(cosine))
-    at = np.flatnonzero(cosine >= np.partition(cosine, -k)[-k])
-    return at[np.lexsort((by_id[at], -cosine[at]))[:k]]
+def _merge(cosines: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` highest cosines of every row and their places; ties to the lower place.
+
+    ``places`` holds a place per value. Values of minus infinity stand for none.
+    """
+    if cosines.shape[1] <= k:
+        return cosines, places
+    columns = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosines, columns, 1).min(axis=1)
+    for row in np.flatnonzero(((cosines >= least[:, None]).sum(axis=1) > k) & (least > -np.inf)):
+        at = np.flatnonzero(cosines[row] >= least[row])
+        columns[row] = at[np.lexsort((places[row, at], -cosines[row, at]))[:k]]
+    return np.take_along_axis(cosines, columns, 1), np.take_along_axis(places, columns, 1)
 
 
 def build_index(items: DataFrame, path: str, *, tables: int = 24, bits: int = 12,
@@ -113,6 +125,11 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, *, probes
     )
     blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    in_part = index.select(F.posexplode("buckets").alias("tab", "bucket")).groupBy("tab", F.pmod("bucket", F.lit(parts)).alias("part")).count()
+    # Buckets with very many rows make a part large; such a part is split. One row per table and part.
+    splits = np.ones((tables, parts), int)
+    for r in in_part.collect():
+        splits[r["tab"], r["part"]] = max(1, r["count"] // PART_ROWS)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,21 +144,24 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, *, probes
                         for p in range(parts):
                             mine = wanted[i, t][wanted[i, t] % parts == p]
                             if len(mine):
-                                rows.append(i)
-                                names.append((t, p))
-                                lists.append(mine)
+                                for split in range(splits[t, p]):
+                                    rows.append(i)
+                                    names.append((t, p, split))
+                                    lists.append(mine)
                 yield pa.RecordBatch.from_arrays(
                     [*some.take(pa.array(rows)).columns, *(pa.array(x, pa.int32()) for x in zip(*names, strict=True)), pa.array(lists, pa.list_(pa.int32()))],
-                    [*some.schema.names, "q_tab", "q_part", "wanted"],
+                    [*some.schema.names, "q_tab", "q_part", "q_split", "wanted"],
                 )
 
     probe_schema = T.StructType([
         *asked.schema.fields, T.StructField("q_tab", T.IntegerType()), T.StructField("q_part", T.IntegerType()),
-        T.StructField("wanted", T.ArrayType(T.IntegerType())),
+        T.StructField("q_split", T.IntegerType()), T.StructField("wanted", T.ArrayType(T.IntegerType())),
     ])
+    n_splits = F.get(F.lit(splits.ravel().tolist()), F.col("tab") * parts + F.col("part"))
     placed = (
-        index.select(id_col, vector_col, F.posexplode("buckets").alias("tab", "bucket"))
+        index.select(id_col, vector_col, F.monotonically_increasing_id().alias("row"), F.posexplode("buckets").alias("tab", "bucket"))
         .withColumn("part", F.pmod("bucket", F.lit(parts)))
+        .withColumn("split", F.pmod("row", n_splits).cast("int")).drop("row")
         .withColumn("i_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     )
     schema = T.StructType([
@@ -153,43 +173,43 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, *, probes
     def meet(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         if not rows.num_rows or not wanted.num_rows:
             return arrow.empty_table()
-        rows = rows.sort_by(id_col)
-        order = np.argsort(rows["bucket"].to_numpy(), kind="stable")
-        rows, by_id = rows.take(pa.array(order)), order
+        # By bucket, then by id, so that ties by place are ties by id inside a bucket.
+        by_id = pc.sort_indices(rows[id_col]).to_numpy()
+        order = np.argsort(rows["bucket"].to_numpy()[by_id], kind="stable")
+        rows, rank = rows.select([id_col, vector_col, "bucket"]).take(pa.array(by_id[order])), order
+        bucket, ids = rows["bucket"].to_numpy(), rows[id_col].combine_chunks()
         units, asks = _units(rows, vector_col), _units(wanted, "query_vector")
-        bucket = rows["bucket"].to_numpy()
+        del rows
         lists = wanted["wanted"].combine_chunks()
         owner = np.repeat(np.arange(wanted.num_rows), np.diff(lists.offsets.to_numpy()))
         found = lists.flatten().to_numpy()
         order = np.argsort(found, kind="stable")
-        best: list[list] = [[] for _ in range(wanted.num_rows)]
-        read = np.zeros(wanted.num_rows, np.int64)
+        found, owner = found[order], owner[order]
+        # The best so far of every query; places are those in the order of ids.
+        best, place = np.full((len(asks), k), -np.inf), np.full((len(asks), k), -1, np.int64)
+        read = np.zeros(len(asks), np.int64)
         for b in np.unique(bucket):
             low, high = np.searchsorted(bucket, [b, b + 1])
-            mine = owner[order[slice(*np.searchsorted(found, [b, b + 1], sorter=order))]]
-            if not len(mine):
-                continue
-            read[mine] += high - low
-            cosines = np.round(asks[mine] @ units[low:high].T, similarity.DIGITS)
-            for q, row in zip(mine.tolist(), cosines, strict=True):
-                at = _first(row, by_id[low:high], k)
-                best[q].append((at + low, row[at]))
-        ids = rows[id_col].combine_chunks()
-        pieces = []
-        for q, lists_of_q in enumerate(best):
-            if lists_of_q:
-                at, cosine = (np.concatenate(x) for x in zip(*lists_of_q, strict=True))
-                keep = _first(cosine, by_id[at], k)
-                pieces.append((np.full(len(keep), q), at[keep], cosine[keep], np.r_[read[q], np.zeros(len(keep) - 1, np.int64)]))
-        if not pieces:
-            return arrow.empty_table()
-        q, at, cosine, n = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            askers = owner[slice(*np.searchsorted(found, [b, b + 1]))]
+            read[askers] += high - low
+            for at in range(0, len(askers), QUERY_CHUNK):
+                mine = askers[at : at + QUERY_CHUNK]
+                for start in range(low, high, ROW_CHUNK):
+                    end = min(start + ROW_CHUNK, high)
+                    cosines = np.round(asks[mine] @ units[start:end].T, similarity.DIGITS)
+                    places = np.broadcast_to(rank[start:end], cosines.shape)
+                    best[mine], place[mine] = _merge(np.hstack([best[mine], cosines]), np.hstack([place[mine], places]), k)
+        query, column = np.nonzero(place >= 0)
+        first = np.diff(query, prepend=-1) > 0
+        at = np.empty(len(rank), np.int64)
+        at[rank] = np.arange(len(rank))
         return pa.Table.from_arrays(
-            [wanted["query_id"].combine_chunks().take(pa.array(q)), ids.take(pa.array(at)), pa.array(cosine), pa.array(n)], schema=arrow
+            [wanted["query_id"].combine_chunks().take(pa.array(query)), ids.take(pa.array(at[place[query, column]])),
+             pa.array(best[query, column]), pa.array(np.where(first, read[query], 0))], schema=arrow
         )
 
-    found = placed.groupBy("tab", "part", "i_block").cogroup(
-        asked.mapInArrow(probe, probe_schema).groupBy("q_tab", "q_part", "block")
+    found = placed.groupBy("tab", "part", "split", "i_block").cogroup(
+        asked.mapInArrow(probe, probe_schema).groupBy("q_tab", "q_part", "q_split", "block")
     ).applyInArrow(meet, schema)
     # An item may be found in several tables.
     single = found.groupBy("query_id", id_col).agg(F.max("similarity").alias("similarity"), F.sum("comparisons").alias("comparisons"))

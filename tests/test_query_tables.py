@@ -106,6 +106,31 @@ def test_part_of_the_buckets(spark, index, vectors, asked):  # noqa: F811
         assert [r["id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i, _ in want]
 
 
+def test_a_hot_bucket_is_split(spark, tmp_path, monkeypatch):
+    """Copies share their buckets; no task may hold or compare all of them at once."""
+    items = spark.createDataFrame([(i, [1.0, 2.0, 3.0, 4.0]) for i in range(1_000)] + [(5_000, [1.0, 2.0, 3.0, 4.5])], "id long, embedding array<float>").repartition(4)
+    path = str(tmp_path / "index")
+    hyperplanes.build_index(items, path, tables=3, bits=4)
+    units = hyperplanes._units
+
+    def watched(batch, name):
+        assert len(batch) <= 400
+        return units(batch, name)
+
+    monkeypatch.setattr(hyperplanes, "_units", watched)
+    monkeypatch.setattr(hyperplanes, "PART_ROWS", 100)
+    queries = spark.createDataFrame([(7, [1.0, 2.0, 3.0, 4.5]), (8, [1.0, 2.0, 3.0, 4.0])], "query_id long, embedding array<float>")
+    got = hyperplanes.search(spark, path, queries, 4, probes=16, bits=4)
+    assert [i for i, _ in listed(got, 7)] == [5_000, 0, 1, 2] and [i for i, _ in listed(got, 8)] == [0, 1, 2, 3]
+    assert {r["comparisons"] for r in got.collect()} == {3 * 1_001}
+
+
+def test_merge_breaks_ties_by_place():
+    cosines, places = np.array([[0.5, 0.5, 0.9, 0.5], [-np.inf, -np.inf, 0.1, 0.2]]), np.array([[9, 3, 8, 5], [-1, -1, 4, 2]])
+    best, place = hyperplanes._merge(cosines, places, 2)
+    assert [sorted(p) for p in place.tolist()] == [[3, 8], [2, 4]] and best.max(axis=1).tolist() == [0.9, 0.2]
+
+
 def test_planes_of_a_table_are_at_right_angles():
     p = hyperplanes.planes(3, 12, 64)
     for table in p:
