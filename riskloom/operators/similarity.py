@@ -22,8 +22,12 @@ from riskloom.sources import sinks
 DIGITS = 12
 # Rows scored at a time, to bound the memory of a task.
 CHUNK = 2048
-# Rows of one block compared with another block at a time.
+# Rows of one block compared with another block at a time, and columns of that one.
 BLOCK_CHUNK = 512
+COLUMN_CHUNK = 4_096
+# Rows of a block that a task of an all-pairs comparison holds at least, where a cell has
+# them: every row is sent once per block of the others, so small blocks cost a square.
+TASK_ROWS = 32_768
 # Queries scored against a chunk at a time.
 QUERY_CHUNK = 512
 # Tasks' lists of one query are merged in so many parts before they meet in one.
@@ -193,9 +197,10 @@ def similar_items(items: DataFrame, k: int, *, id_col: str = "id", vector_col: s
 
     1. Equal vectors are folded into one, with the ``k + 1`` lowest ids among them; no
        more of them can ever be listed for one item.
-    2. A few vectors, ``cells`` at most, serve as cell centres. Each vector joins its nearest
-       centre, and cells are cut into blocks of about ``block_rows`` rows, so a cell
-       that holds a third of all rows is simply many blocks.
+    2. A few vectors, ``cells`` at most and one for ``block_rows`` rows, serve as cell centres.
+       Each vector joins its nearest centre, and cells are cut into blocks of about
+       ``block_rows`` rows, or ``TASK_ROWS`` if that is more, so a cell that holds a third
+       of all rows is simply many blocks.
     3. By the triangle inequality for angles, pairs of cells too far apart to matter are
        discarded. For the rest, pairs of blocks are compared as dense matrices, and
        each comparison emits only ``k + 1`` rows per vector.
@@ -213,7 +218,7 @@ def similar_items(items: DataFrame, k: int, *, id_col: str = "id", vector_col: s
     _place(folded, centres).write.parquet(placed_path)
     placed = spark.read.parquet(placed_path)
 
-    pairs = F.broadcast(_cell_pairs(placed, centres, k, block_rows))  # at most cells ** 2 rows
+    pairs = F.broadcast(_cell_pairs(placed, centres, k, max(block_rows, TASK_ROWS)))  # at most cells ** 2 rows
     merged = _compare_blocks(placed, spark.read.parquet(placed_path), pairs, k)
 
     # Lists hold at most (k + 1) ** 2 entries before and k + 1 after the cut.
@@ -259,6 +264,35 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
+def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    rows = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
+    return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+
+
+def _nearest(left: np.ndarray, right: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded cosine of the ``keep`` nearest of ``right`` for each row of ``left``.
+
+    Ties go to the lower column. Columns are compared chunk by chunk, and only cosines that
+    reach the last place so far are looked at.
+    """
+    row, column, cosine = np.empty(0, int), np.empty(0, int), np.empty(0)
+    least = np.full(len(left), -np.inf)
+    for start in range(0, len(right), COLUMN_CHUNK):
+        products = left @ right[start : start + COLUMN_CHUNK].T
+        if start == 0 and products.shape[1] > keep:
+            least = np.partition(products, -keep, axis=1)[:, -keep]
+        new_row, new_column = np.nonzero(products >= (least - 10.0 ** -DIGITS)[:, None])
+        row, column = np.r_[row, new_row], np.r_[column, new_column + start]
+        cosine = np.r_[cosine, np.round(products[new_row, new_column], DIGITS)]
+        order = np.lexsort((column, -cosine, row))
+        row, column, cosine = row[order], column[order], cosine[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < keep
+        row, column, cosine, place = row[kept], column[kept], cosine[kept], place[kept]
+        least[row[place == keep - 1]] = cosine[place == keep - 1]
+    return row, column, cosine
+
+
 def _centres(folded: DataFrame, cells: int) -> np.ndarray:
     picked = ranking.top_k(folded, [F.xxhash64("rep").asc(), F.col("rep").asc()], cells)
     rows = [r["vector"] for r in picked.select("vector").collect()]  # at most `cells` vectors
@@ -324,28 +358,26 @@ def _compare_blocks(placed: DataFrame, again: DataFrame, pairs: DataFrame, k: in
         T.StructField("similarity", T.DoubleType()), T.StructField("s_ids", ids_type),
     ])
 
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=schema.names)
-        # In order of `rep`, so that a stable sort by similarity leaves ties by `rep`.
-        right = right.sort_values("rep", ignore_index=True)
-        units, keep = _unit(right["vector"]).T, min(k + 1, len(right))
-        found = []
-        for start in range(0, len(left), BLOCK_CHUNK):
-            part = left.iloc[start:start + BLOCK_CHUNK]
-            cosines = np.round(_unit(part["vector"]) @ units, DIGITS)
-            columns = np.argsort(-cosines, axis=1, kind="stable")[:, :keep].ravel()
-            rows = np.repeat(np.arange(len(part)), keep)
-            found.append(pd.DataFrame({
-                "r_rep": part["rep"].to_numpy()[rows],
-                "s_rep": right["rep"].to_numpy()[columns],
-                "similarity": cosines[rows, columns],
-                "s_ids": right["ids"].to_numpy()[columns],
-            }))
-        return pd.concat(found)
+    arrow = _arrow_schema(schema)
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        right = right.sort_by("rep")  # ties by `rep`
+        units, keep = _unit_rows(right["vector"]), min(k + 1, right.num_rows)
+        rows, columns, cosines = [], [], []
+        for start in range(0, left.num_rows, BLOCK_CHUNK):
+            row, column, cosine = _nearest(_unit_rows(left["vector"].slice(start, BLOCK_CHUNK)), units, keep)
+            rows.append(row + start)
+            columns.append(column)
+            cosines.append(cosine)
+        row, column = pa.array(np.concatenate(rows)), pa.array(np.concatenate(columns))
+        return pa.Table.from_arrays(
+            [left["rep"].take(row), right["rep"].take(column), pa.array(np.concatenate(cosines)), right["ids"].take(column)], schema=arrow
+        )
 
     keys = ["r_block", "s_block"]
     left, right = side(placed, "r", "s"), side(again, "s", "r")
-    compared = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, schema)
+    compared = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest, schema)
     order = [F.col("similarity").desc(), F.col("s_rep").asc()]
     return ranking.top_k_per_group(compared, ["r_rep"], order, k + 1)

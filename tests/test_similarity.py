@@ -90,6 +90,40 @@ def test_all_neighbours_match_brute_force(items, vectors, cells, block_rows):
         close(lists[i], brute(vectors, rows[i], 4, skip=(i,)))
 
 
+@pytest.mark.parametrize("task_rows", [32_768, 25])
+def test_small_blocks_are_not_sent_to_each_other(items, vectors, monkeypatch, task_rows):
+    """However small the blocks asked for, a task holds ``TASK_ROWS`` rows of a cell, and the lists stay exact."""
+    dealt, compare = [], similarity._compare_blocks
+
+    def watched(placed, again, pairs, k):
+        dealt.extend(pairs.collect())
+        return compare(placed, again, pairs, k)
+
+    monkeypatch.setattr(similarity, "_compare_blocks", watched)
+    monkeypatch.setattr(similarity, "TASK_ROWS", task_rows)
+    monkeypatch.setattr(similarity, "COLUMN_CHUNK", 11)
+    got = similarity.similar_items(items, 4, cells=2, block_rows=5)
+    blocks = sum({r["r_cell"]: r["r_blocks"] for r in dealt}.values())
+    assert blocks == 2 if task_rows > 300 else 200 / 25 <= blocks <= 200 / 25 + 2
+    rows = vectors.astype("float32").astype(float)
+    lists = {}
+    for r in got.orderBy("id", "rank").collect():
+        lists.setdefault(r["id"], []).append((r["neighbour_id"], r["similarity"]))
+    assert set(lists) == set(range(300)) - {250}
+    for i in lists:
+        close(lists[i], brute(vectors, rows[i], 4, skip=(i,)))
+
+
+def test_nearest_breaks_ties_by_column(monkeypatch):
+    monkeypatch.setattr(similarity, "COLUMN_CHUNK", 7)
+    rng = np.random.default_rng(3)
+    left, right = np.sign(rng.normal(size=(20, 3))), np.sign(rng.normal(size=(50, 3)))
+    for keep in (1, 4, 50):
+        row, column, cosine = similarity._nearest(left, right, keep)
+        want = [sorted((-v, c) for c, v in enumerate(values))[:keep] for values in (left @ right.T).tolist()]
+        assert list(zip(row.tolist(), (-cosine).tolist(), column.tolist(), strict=True)) == [(r, *x) for r, w in enumerate(want) for x in w]
+
+
 def test_distant_cells_are_not_compared(spark):
     rng = np.random.default_rng(1)
     centres = np.eye(4)
