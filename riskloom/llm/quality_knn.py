@@ -31,6 +31,7 @@ RANK = 48
 SAMPLE = 4096
 NEIGHBOURS = 15
 BLOCK = 1024  # texts compared at once
+NORM_ROWS = 256  # texts weighted at once
 POWER = 8  # weight of a neighbour: cosine ** POWER
 REPEAT_WEIGHT = 4.0
 
@@ -76,15 +77,22 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Relative log counts times inverse document frequency, each kind of unit length times its weight."""
-    out = np.zeros(counts.shape, np.float32)
-    terms = out[:, :TERMS]
-    np.log1p(counts[:, :TERMS], out=terms)
-    terms *= idf
-    for a, b, weight in KINDS:
-        terms[:, a:b] *= weight / np.maximum(np.linalg.norm(terms[:, a:b], axis=1, keepdims=True), 1e-9)
-    out[:, TERMS] = np.sqrt(counts[:, TERMS]) * (REPEAT_WEIGHT / 4)
+def weighted(counts: np.ndarray, idf: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Relative log counts times inverse document frequency, each kind of unit length times its weight.
+
+    ``out`` may be ``counts``, which then are replaced; norms are taken of a few rows at a time.
+    """
+    if out is None:
+        out = np.empty(counts.shape, np.float32)
+    for start in range(0, len(counts), NORM_ROWS):
+        part, weights = counts[start : start + NORM_ROWS], out[start : start + NORM_ROWS]
+        terms = weights[:, :TERMS]
+        np.log1p(part[:, :TERMS], out=terms)
+        terms *= idf
+        for a, b, weight in KINDS:
+            terms[:, a:b] *= weight / np.maximum(np.linalg.norm(terms[:, a:b], axis=1, keepdims=True), 1e-9)
+        weights[:, TERMS] = np.sqrt(part[:, TERMS]) * (REPEAT_WEIGHT / 4)
+        weights[:, TERMS + 1 :] = 0
     return out
 
 
@@ -109,11 +117,11 @@ def leading_axes(x: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: np.ndarray, labels: np.ndarray) -> dict:
-    """Projection and labelled vectors from the sample's counts."""
+    """Projection and labelled vectors from the sample's counts, whose place the weights take."""
     n = max(1, len(counts))
-    idf = np.log((1 + n) / (1 + (counts[:, :TERMS] > 0).sum(0))) + 1
+    idf = np.log((1 + n) / (1 + np.count_nonzero(counts[:, :TERMS], axis=0))) + 1
     model = {"idf": idf.astype(np.float32)}
-    x = weighted(counts, model["idf"])
+    x = weighted(counts, model["idf"], out=counts)
     model["mean"] = x.mean(0) if len(x) else np.zeros(TERMS + EXTRA, np.float32)
     x -= model["mean"]
     model["axes"] = leading_axes(x)
@@ -171,10 +179,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     rows = texts.select("quality", "text").mapInArrow(_counted, "quality int, counts binary").collect()  # at most ``sample``
     rows.sort(key=lambda r: (r["quality"], bytes(r["counts"])))
+    qualities = np.array([r["quality"] for r in rows], np.float32)
     counts = np.zeros((len(rows), TERMS + EXTRA), np.float32)
-    for r, out in zip(rows, counts, strict=True):
-        unpacked_row(bytes(r["counts"]), out)
-    return fit(counts, np.array([r["quality"] for r in rows], np.float32))
+    for out in counts[::-1]:
+        unpacked_row(bytes(rows.pop()["counts"]), out)
+    return fit(counts, qualities)
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
