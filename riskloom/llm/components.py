@@ -2,7 +2,7 @@
 
 Edges, labels and stars stay distributed; each round is written to the shared folder, so
 lineage does not grow. Nodes may be of any ordered type. Only a count and a checksum per
-round reach the driver. What a round costs the driver is its tasks, four shuffle stages.
+round reach the driver. What a round costs the driver is its tasks: three stages after shuffles.
 """
 
 from __future__ import annotations
@@ -37,9 +37,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m"))
         # Every edge gives one row, so these are no more than the edges and need no ``distinct``.
-        large = (
+        # They are used twice below; stored, they are joined once.
+        large = stored(
             _attach(both, lowest.select("u", F.least("u", "m").alias("m")))
-            .where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), f"star-{turn}-large",
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _attach(large, least).select("m", F.explode(F.array("u", "v")).alias("u")).where("u <> m")
