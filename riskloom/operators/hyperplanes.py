@@ -2,8 +2,9 @@
 
 Every table hashes a vector to the signs of its products with a few planes. A query looks
 into its own bucket and those it would fall into if the planes it lies closest to were
-crossed; inside the buckets the ranking is exact. Queries are a table of any size: they
-meet the items of their buckets in a join, and every task keeps ``k`` rows per query.
+crossed; inside the buckets the ranking is exact. Queries are a table of any size: a block
+of them meets a part of the rows in a task, which looks the buckets up there and keeps
+``k`` rows per query, so a row is sent once per block of queries, not per table.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from riskloom.functions import vector
 from riskloom.operators import ranking, similarity
+from riskloom.operators.nearest import QUERY_CHUNK, ROW_CHUNK, Nearest
 from riskloom.sources import sinks
 
-# Rows of a table's part, and queries of a block, that meet in one task at most (on average).
-PART_ROWS = 65_536
+# Rows of a part, and queries of a block, that meet in one task at most (on average).
+PART_ROWS = 131_072
 QUERY_ROWS = 8_192
-# Queries and rows of a bucket compared at a time, to bound the memory of a task.
-QUERY_CHUNK = 256
-ROW_CHUNK = 4_096
+# Queries whose buckets are chosen at a time, and rows that are looked up at a time for a word of queries.
+PROBE_CHUNK = 256
+WORD_CHUNK = 65_536
 
 
 def planes(tables: int, bits: int, width: int) -> np.ndarray:
@@ -46,17 +48,54 @@ def hashed(units: np.ndarray, tables: int, bits: int) -> tuple[np.ndarray, np.nd
     return ((products > 0) << np.arange(bits)).sum(2).astype(np.int32), products
 
 
+def cheap_crossings(bits: int, probes: int) -> np.ndarray:
+    """Sets of planes that can be among the ``probes`` cheapest, sets x planes, for planes in
+    order of cost: those that are not preceded by so many others. A set is preceded by those
+    that lack some of its planes or have cheaper ones instead."""
+    sets = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+    above = np.cumsum(sets[:, ::-1], axis=1)[:, ::-1]  # planes of a set from each place on
+    size = np.arange(bits + 1)
+    ways = np.tile((size == 0).astype(np.int64), (1 << bits, 1))  # by number of planes chosen so far
+    for place in reversed(range(bits)):
+        ways[:, 1:] += ways[:, :-1].copy()
+        ways[size > above[:, place, None]] = 0
+    return sets[ways.sum(axis=1) <= probes].astype(float)
+
+
+def least_crossings(products: np.ndarray, bits: int, probes: int) -> np.ndarray:
+    """Planes crossed, as bits, for the ``probes`` buckets with the least sum of squared
+    products over them, rows x probes; ties go to the fewer upper planes."""
+    squares, sets = products**2, cheap_crossings(bits, probes)
+    out = np.empty((len(squares), probes), np.int32)
+    for at in range(0, len(squares), PROBE_CHUNK):
+        some = squares[at : at + PROBE_CHUNK]
+        order = np.argsort(some, axis=1, kind="stable")
+        cost = np.take_along_axis(some, order, 1) @ sets.T
+        crossed = ((1 << order).astype(float) @ sets.T).astype(np.int32)
+        near = cost <= np.partition(cost, probes - 1, axis=1)[:, probes - 1, None]
+        for row in np.flatnonzero(np.count_nonzero(near, axis=1) > probes):
+            near[row] = False
+            near[row, np.lexsort((crossed[row], cost[row]))[:probes]] = True
+        out[at : at + PROBE_CHUNK] = crossed[near].reshape(len(some), probes)
+    return out
+
+
 def probed(units: np.ndarray, tables: int, bits: int, probes: int) -> np.ndarray:
-    """Buckets that each row looks into, rows x tables x probes: those with the least sum
-    of squared products over the planes crossed; ties go to the fewer upper planes."""
+    """Buckets that each row looks into, rows x tables x probes, in no order."""
     buckets, products = hashed(units, tables, bits)
-    crossed = np.arange(1 << bits, dtype=np.int32)
-    which = ((crossed[:, None] >> np.arange(bits)) & 1).astype(float)
-    out = np.empty((len(units), tables, probes), np.int32)
-    for i in range(len(units)):
-        cost = (products[i] ** 2) @ which.T
-        out[i] = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-    return out ^ buckets[:, :, None]
+    return np.stack([least_crossings(products[:, t], bits, probes) ^ buckets[:, t, None] for t in range(tables)], 1)
+
+
+def bit_counts(words: np.ndarray) -> np.ndarray:
+    """How many of 64-bit words have each bit set, lowest bit first.
+
+    Three words are added bit by bit into one of sums and one of carries."""
+    if len(words) < 512:
+        return np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    n = len(words) // 3
+    a, b, c = words[:n], words[n : 2 * n], words[2 * n : 3 * n]
+    odd = a ^ b
+    return bit_counts(odd ^ c) + 2 * bit_counts((a & b) | (odd & c)) + bit_counts(words[3 * n :])
 
 
 def _units(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
@@ -108,6 +147,37 @@ def build_index(items: DataFrame, path: str, *, tables: int = 24, bits: int = 12
     return sinks.write_table(usable.mapInArrow(place, schema), path)
 
 
+def _for_parts(asked: DataFrame, blocks: int, parts: int) -> DataFrame:
+    """Queries with their block, once for each part of the rows."""
+    return asked.select(
+        "*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("q_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("q_part"),
+    )
+
+
+def _for_blocks(rows: DataFrame, blocks: int, parts: int) -> DataFrame:
+    """Rows with their part, once for each block of queries."""
+    return rows.select(
+        "*", (F.monotonically_increasing_id() % parts).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+    )
+
+
+def _in_buckets(bucket: np.ndarray, cells: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries and rows that meet in a bucket of one table, chunk by chunk: the queries,
+    which of their ``cells`` the bucket is, and the rows."""
+    names = np.arange((1 << bits) + 1)
+    bucket, wanted = bucket.astype(np.uint16), cells.ravel().astype(np.uint16)  # quick to sort
+    rows, asks = np.argsort(bucket, kind="stable"), np.argsort(wanted, kind="stable")
+    row_at, ask_at = np.searchsorted(bucket[rows], names), np.searchsorted(wanted[asks], names)
+    asks, nth = np.divmod(asks, cells.shape[1])
+    for b in np.flatnonzero((np.diff(row_at) > 0) & (np.diff(ask_at) > 0)):
+        for at in range(ask_at[b], ask_at[b + 1], QUERY_CHUNK):
+            mine = slice(at, min(at + QUERY_CHUNK, ask_at[b + 1]))
+            for start in range(row_at[b], row_at[b + 1], ROW_CHUNK):
+                yield asks[mine], nth[mine], rows[start : min(start + ROW_CHUNK, row_at[b + 1])]
+
+
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, *, probes: int = 80, bits: int = 12,
            id_col: str = "id", vector_col: str = "embedding", query_col: str = "query_id") -> DataFrame:
     """Top ``k`` of the probed rows for each row of ``queries`` (query_id, vector).
@@ -124,94 +194,51 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, *, probes
         F.col(query_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("query_vector")
     )
     blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    in_part = index.select(F.posexplode("buckets").alias("tab", "bucket")).groupBy("tab", F.pmod("bucket", F.lit(parts)).alias("part")).count()
-    # Buckets with very many rows make a part large; such a part is split. One row per table and part.
-    splits = np.ones((tables, parts), int)
-    for r in in_part.collect():
-        splits[r["tab"], r["part"]] = max(1, r["count"] // PART_ROWS)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                wanted = probed(_units(some, "query_vector"), tables, bits, min(probes, 1 << bits))
-                rows, names, lists = [], [], []
-                for i in range(len(wanted)):
-                    for t in range(tables):
-                        for p in range(parts):
-                            mine = wanted[i, t][wanted[i, t] % parts == p]
-                            if len(mine):
-                                for split in range(splits[t, p]):
-                                    rows.append(i)
-                                    names.append((t, p, split))
-                                    lists.append(mine)
-                yield pa.RecordBatch.from_arrays(
-                    [*some.take(pa.array(rows)).columns, *(pa.array(x, pa.int32()) for x in zip(*names, strict=True)), pa.array(lists, pa.list_(pa.int32()))],
-                    [*some.schema.names, "q_tab", "q_part", "q_split", "wanted"],
-                )
-
-    probe_schema = T.StructType([
-        *asked.schema.fields, T.StructField("q_tab", T.IntegerType()), T.StructField("q_part", T.IntegerType()),
-        T.StructField("q_split", T.IntegerType()), T.StructField("wanted", T.ArrayType(T.IntegerType())),
-    ])
-    n_splits = F.get(F.lit(splits.ravel().tolist()), F.col("tab") * parts + F.col("part"))
-    placed = (
-        index.select(id_col, vector_col, F.monotonically_increasing_id().alias("row"), F.posexplode("buckets").alias("tab", "bucket"))
-        .withColumn("part", F.pmod("bucket", F.lit(parts)))
-        .withColumn("split", F.pmod("row", n_splits).cast("int")).drop("row")
-        .withColumn("i_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    )
+    asked = _for_parts(asked, blocks, parts)
+    placed = _for_blocks(index.select(id_col, vector_col, "buckets"), blocks, parts)
     schema = T.StructType([
         T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField(id_col, index.schema[id_col].dataType),
         T.StructField("similarity", T.DoubleType()), T.StructField("comparisons", T.LongType()),
     ])
-    arrow = similarity._arrow_schema(schema)
+    arrow, probes = similarity._arrow_schema(schema), min(probes, 1 << bits)
 
     def meet(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         if not rows.num_rows or not wanted.num_rows:
             return arrow.empty_table()
-        # By bucket, then by id, so that ties by place are ties by id inside a bucket.
-        by_id = pc.sort_indices(rows[id_col]).to_numpy()
-        order = np.argsort(rows["bucket"].to_numpy()[by_id], kind="stable")
-        rows, rank = rows.select([id_col, vector_col, "bucket"]).take(pa.array(by_id[order])), order
-        bucket, ids = rows["bucket"].to_numpy(), rows[id_col].combine_chunks()
-        units, asks = _units(rows, vector_col), _units(wanted, "query_vector")
+        by_id = pc.sort_indices(rows[id_col])
+        ids = rows[id_col].combine_chunks().take(by_id).dictionary_encode("encode")  # codes rise with the ids
+        place, by_id = ids.indices.to_numpy(), by_id.to_numpy()
+        buckets = rows["buckets"].combine_chunks().flatten().to_numpy().reshape(-1, tables)[by_id]
+        units, asks = np.empty((len(place), width)), _units(wanted, "query_vector")
+        to, at = np.argsort(by_id), 0
+        for batch in rows.to_batches():
+            units[to[at : at + batch.num_rows]] = _units(batch, vector_col)
+            at += batch.num_rows
         del rows
-        lists = wanted["wanted"].combine_chunks()
-        owner = np.repeat(np.arange(wanted.num_rows), np.diff(lists.offsets.to_numpy()))
-        found = lists.flatten().to_numpy()
-        order = np.argsort(found, kind="stable")
-        found, owner = found[order], owner[order]
-        # The best so far of every query; places are those in the order of ids.
-        best, place = np.full((len(asks), k), -np.inf), np.full((len(asks), k), -1, np.int64)
+        best = Nearest(asks, units, k, place=place, kind=buckets)
+        buckets = buckets[best.rows]
+        own, products = hashed(asks, tables, bits)
         read = np.zeros(len(asks), np.int64)
-        for b in np.unique(bucket):
-            low, high = np.searchsorted(bucket, [b, b + 1])
-            askers = owner[slice(*np.searchsorted(found, [b, b + 1]))]
-            read[askers] += high - low
-            for at in range(0, len(askers), QUERY_CHUNK):
-                mine = askers[at : at + QUERY_CHUNK]
-                for start in range(low, high, ROW_CHUNK):
-                    end = min(start + ROW_CHUNK, high)
-                    cosines = np.round(asks[mine] @ units[start:end].T, similarity.DIGITS)
-                    places = np.broadcast_to(rank[start:end], cosines.shape)
-                    best[mine], place[mine] = _merge(np.hstack([best[mine], cosines]), np.hstack([place[mine], places]), k)
-        query, column = np.nonzero(place >= 0)
+        for t in range(tables):
+            bucket, cells = buckets[:, t], least_crossings(products[:, t], bits, probes) ^ own[:, t, None]
+            read += np.bincount(bucket, best.counts, 1 << bits).astype(np.int64)[cells].sum(axis=1)
+            if t == 0 and probes >= k:
+                # The nearest rows of the first table's buckets are all different.
+                tops = np.full(cells.shape, -np.inf, np.float32)
+                for askers, nth, some in _in_buckets(bucket, cells, bits):
+                    tops[askers, nth] = np.maximum(tops[askers, nth], best.products(askers, some).max(axis=1))
+                best.raise_bar(np.arange(len(asks)), tops)
+            for askers, _, some in _in_buckets(bucket, cells, bits):
+                best.sift(askers, some)
+            best.settle()
+        query, row, cosine = best.result()
         first = np.diff(query, prepend=-1) > 0
-        at = np.empty(len(rank), np.int64)
-        at[rank] = np.arange(len(rank))
         return pa.Table.from_arrays(
-            [wanted["query_id"].combine_chunks().take(pa.array(query)), ids.take(pa.array(at[place[query, column]])),
-             pa.array(best[query, column]), pa.array(np.where(first, read[query], 0))], schema=arrow
+            [wanted["query_id"].combine_chunks().take(pa.array(query)), ids.dictionary.take(pa.array(place[row])),
+             pa.array(cosine), pa.array(np.where(first, read[query], 0))], schema=arrow
         )
 
-    found = placed.groupBy("tab", "part", "split", "i_block").cogroup(
-        asked.mapInArrow(probe, probe_schema).groupBy("q_tab", "q_part", "q_split", "block")
-    ).applyInArrow(meet, schema)
-    # An item may be found in several tables.
+    found = placed.groupBy("part", "block").cogroup(asked.groupBy("q_part", "q_block")).applyInArrow(meet, schema)
     single = found.groupBy("query_id", id_col).agg(F.max("similarity").alias("similarity"), F.sum("comparisons").alias("comparisons"))
     read = single.groupBy("query_id").agg(F.sum("comparisons").alias("comparisons"))
     order = [F.col("similarity").desc(), F.col(id_col).asc()]
@@ -223,38 +250,45 @@ def rows_read(spark: SparkSession, path: str, queries: DataFrame, *, probes: int
     """How many different rows a search compares with each query: query_id, rows_read.
 
     A task holds the buckets of one part of the rows and one block of queries; no pairs
-    are made. Queries without direction or of another width give no row.
+    are made: a row looks up which of 64 queries read its bucket, table by table. Queries
+    without direction or of another width give no row.
     """
     index = spark.read.parquet(path)
     first = index.select(F.size("buckets").alias("tables"), F.size(vector_col).alias("width")).first()
     tables, width = (first["tables"], first["width"]) if first else (1, 1)
-    parts = max(1, math.ceil(index.count() / PART_ROWS))
+    parts = max(1, math.ceil(index.count() / (2 * PART_ROWS)))  # buckets alone are narrow
     asked = queries.filter(vector.measurable(F.col(vector_col), width)).select(
         F.col(query_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("query_vector")
     )
     blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
-    asked = asked.select(
-        "*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("q_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("q_part"),
-    )
-    rows = index.select("buckets", (F.monotonically_increasing_id() % parts).cast("int").alias("part"),
-                        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asked = _for_parts(asked, blocks, parts)
+    rows = _for_blocks(index.select("buckets"), blocks, parts)
     schema = T.StructType([asked.schema["query_id"], T.StructField("n", T.LongType())])
-    arrow = similarity._arrow_schema(schema)
+    arrow, probes = similarity._arrow_schema(schema), min(probes, 1 << bits)
 
     def count(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         if not rows.num_rows or not wanted.num_rows:
             return arrow.empty_table()
-        buckets = rows["buckets"].combine_chunks().flatten().to_numpy().reshape(-1, tables)
-        n = []
-        for unit in _units(wanted, "query_vector"):
-            met = np.zeros(len(buckets), bool)
-            for t, cells in enumerate(probed(unit[None], tables, bits, min(probes, 1 << bits))[0]):
-                looked = np.zeros(1 << bits, bool)
-                looked[cells] = True
-                met |= looked[buckets[:, t]]
-            n.append(int(met.sum()))
-        return pa.Table.from_arrays([wanted["query_id"].combine_chunks(), pa.array(n, pa.int64())], schema=arrow)
+        buckets = rows["buckets"].combine_chunks().flatten().to_numpy().reshape(-1, tables).T.astype(np.intp, order="C")
+        asks = _units(wanted, "query_vector")
+        n = np.zeros(len(asks), np.int64)
+        first_cell = (np.arange(tables) << bits)[:, None]
+        for at in range(0, len(asks), 64):
+            if at % (4 * PROBE_CHUNK) == 0:
+                probes_of = probed(asks[at : at + 4 * PROBE_CHUNK], tables, bits, probes) + first_cell
+            # A bit per query: the buckets it looks into.
+            looked = np.zeros(tables << bits, np.uint64)
+            cells = probes_of[at % (4 * PROBE_CHUNK) :][:64]
+            for query, mine in enumerate(cells):
+                looked[mine.ravel()] |= np.uint64(1 << query)
+            looked = looked.reshape(tables, -1)
+            for start in range(0, buckets.shape[1], WORD_CHUNK):
+                some = buckets[:, start : start + WORD_CHUNK]
+                met = looked[0].take(some[0])
+                for t in range(1, tables):
+                    met |= looked[t].take(some[t])
+                n[at : at + 64] += bit_counts(met)[: len(cells)]
+        return pa.Table.from_arrays([wanted["query_id"].combine_chunks(), pa.array(n)], schema=arrow)
 
     found = rows.groupBy("part", "block").cogroup(asked.groupBy("q_part", "q_block")).applyInArrow(count, schema)
     return found.groupBy("query_id").agg(F.sum("n").alias("rows_read"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from riskloom.functions import vector
 from riskloom.operators import hyperplanes, ranking, similarity
+from riskloom.operators.nearest import Nearest
 from riskloom.session import scratch_path
 from riskloom.sources import sinks
 
@@ -93,7 +94,8 @@ def place_items(items: DataFrame, path: str, cells: int, block_rows: int, id_col
 def _compare(placed: DataFrame, asked: DataFrame, cells: Cells, k: int, query_blocks: int, chosen) -> DataFrame:
     """Best items of the chosen cells' blocks for every query: query_id, item, similarity.
 
-    ``chosen`` gives queries x cells from unit vectors and the column ``worst``.
+    ``chosen`` gives queries x cells from unit vectors and the column ``worst``, the cosine
+    below which a query needs no item.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,12 +108,12 @@ def _compare(placed: DataFrame, asked: DataFrame, cells: Cells, k: int, query_bl
                 block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 query, cell = np.repeat(query, n), np.repeat(cell, n)
                 yield pa.RecordBatch.from_arrays(
-                    [*some.select(["query_id", "query_vector", "q_block"]).take(pa.array(query)).columns, pa.array(cell, pa.int32()), pa.array(block, pa.int32())],
-                    ["query_id", "query_vector", "q_block", "q_cell", "q_part"],
+                    [*some.select(["query_id", "query_vector", "worst", "q_block"]).take(pa.array(query)).columns, pa.array(cell, pa.int32()), pa.array(block, pa.int32())],
+                    ["query_id", "query_vector", "worst", "q_block", "q_cell", "q_part"],
                 )
 
     dealt = T.StructType([
-        *asked.select("query_id", "query_vector", "q_block").schema.fields,
+        *asked.select("query_id", "query_vector", "worst", "q_block").schema.fields,
         T.StructField("q_cell", T.IntegerType()), T.StructField("q_part", T.IntegerType()),
     ])
     schema = T.StructType([asked.schema["query_id"], T.StructField("item", placed.schema["item"].dataType), T.StructField("similarity", T.DoubleType())])
@@ -121,13 +123,11 @@ def _compare(placed: DataFrame, asked: DataFrame, cells: Cells, k: int, query_bl
         if not rows.num_rows or not wanted.num_rows:
             return arrow.empty_table()
         rows = rows.sort_by("item")  # ties by id
-        units, asks = hyperplanes._units(rows, "vector").T, hyperplanes._units(wanted, "query_vector")
-        found = []
-        for at in range(0, len(asks), QUERY_CHUNK):
-            cosines = np.round(asks[at : at + QUERY_CHUNK] @ units, similarity.DIGITS)
-            row, column = first_k(cosines, k)
-            found.append((row + at, column, cosines[row, column]))
-        query, item, cosine = (np.concatenate(x) for x in zip(*found, strict=True))
+        worst = wanted["worst"].to_numpy()
+        best = Nearest(hyperplanes._units(wanted, "query_vector"), hyperplanes._units(rows, "vector"), k,
+                       least=np.where(worst > -1.0, worst, -np.inf))
+        best.sift_all()
+        query, item, cosine = best.result()
         names, ids = wanted["query_id"].combine_chunks(), rows["item"].combine_chunks()
         return pa.Table.from_arrays([names.take(pa.array(query)), ids.take(pa.array(item)), pa.array(cosine)], schema=arrow)
 
@@ -155,7 +155,8 @@ def search_table(items: DataFrame, queries: DataFrame, k: int, *, id_col: str =
     """
     spark = items.sparkSession
     items_path, lists_path = scratch_path(spark, "placed-items"), scratch_path(spark, "home-lists")
-    at = place_items(items, items_path, cells, block_rows, id_col, vector_col)
+    # Every query is sent once per block of a cell that it visits, so blocks are not smaller than a task's.
+    at = place_items(items, items_path, cells, max(block_rows, similarity.TASK_ROWS), id_col, vector_col)
     asked = queries.select(F.col(query_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("query_vector"))
     if at is None:
         return asked.limit(0).select("query_id", F.lit(None).cast(items.schema[id_col].dataType).alias(id_col),
