@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from riskloom.functions import vector
 from riskloom.operators import ranking, similarity
@@ -239,10 +239,12 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, *, probes
         )
 
     found = placed.groupBy("part", "block").cogroup(asked.groupBy("q_part", "q_block")).applyInArrow(meet, schema)
-    single = found.groupBy("query_id", id_col).agg(F.max("similarity").alias("similarity"), F.sum("comparisons").alias("comparisons"))
-    read = single.groupBy("query_id").agg(F.sum("comparisons").alias("comparisons"))
+    # A row per hit of a part, so the window over a query is short; the search stands once in the plan.
+    single = found.filter("query_id IS NOT NULL").groupBy("query_id", id_col).agg(
+        F.max("similarity").alias("similarity"), F.sum("comparisons").alias("comparisons")
+    ).withColumn("comparisons", F.sum("comparisons").over(Window.partitionBy("query_id")))
     order = [F.col("similarity").desc(), F.col(id_col).asc()]
-    return ranking.top_k_per_group(single.drop("comparisons"), ["query_id"], order, k).join(read, "query_id")
+    return ranking.top_k_per_group(single, ["query_id"], order, k).select("query_id", id_col, "similarity", "rank", "comparisons")
 
 
 def rows_read(spark: SparkSession, path: str, queries: DataFrame, *, probes: int = 80, bits: int = 12,

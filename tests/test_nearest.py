@@ -92,3 +92,14 @@ def test_blocks_visited_by_all_queries_are_not_small(spark, monkeypatch):
     asked = items.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
     assert query_tables.search_table(items, asked, 3, cells=2, block_rows=10).count() == 90
     assert blocks[0].blocks.max() == 1
+
+
+def test_what_the_promise_uses_twice_is_made_once(spark, tmp_path):
+    """Exact hits and rows read are stored; only the hash search is left in the plan."""
+    rows = spark.range(60).select(
+        F.col("id").alias("vec_id"), F.array(*[(F.rand(i) - 0.5).cast("float") for i in range(64)]).alias("embedding"), F.lit(1).alias("label")
+    )
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    promise = text_queries.ann_promise(spark, str(tmp_path))
+    assert promise._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
+    assert [r["queries"] for r in promise.collect()] == [3]
