@@ -6,7 +6,8 @@ cost (sum of squared lengths). Pieces are placed in order of falling length into
 that fits them best under every constraint: by the residual norm that is left, or by the
 weighted dot product of demand and residual. Packing runs in groups of about
 ``GROUP_PIECES`` pieces; each group wastes at most part of its last bins. Only lengths and
-checksums travel to the groups, never token ids.
+checksums travel to the groups, never token ids; where these are asked for, they are written
+with the pieces and joined to the places.
 """
 
 from __future__ import annotations
@@ -82,17 +83,22 @@ PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
 ])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
+IDS = pa.field("ids", pa.binary())
 TEXTS_AT_ONCE = 64
 
 
-def pieces(docs: DataFrame, tokenizer: tuple, most: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: tuple, most: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, with_ids: bool = False
+) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32.
 
     ``tokenizer`` is the path of a ranks file, the pre-tokenizer's pattern and the special
     strings with their ids, which are recognised inside texts. Null and
-    empty texts are the end token alone.
+    empty texts are the end token alone. ``with_ids`` adds ``ids``, the bytes that the
+    checksum is of: little-endian 32-bit token ids.
     """
     end = np.asarray([end_id], "<u4").tobytes()
+    schema = PIECES.append(IDS) if with_ids else PIECES
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(*tokenizer)
@@ -103,13 +109,14 @@ def pieces(docs: DataFrame, tokenizer: tuple, most: int, id_col: str = "doc_id",
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = memoryview(encoder.encode(text or "") + end)
                     for i, (start, n) in enumerate(cut(len(ids) // 4, most)):
-                        rows.append((doc, i, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
+                        mine = ids[4 * start : 4 * (start + n)]
+                        rows.append((doc, i, start, n, zlib.crc32(mine), *([bytes(mine)] if with_ids else [])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
                 )
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(tokenise, PIECES_DDL)
+    return texts.mapInArrow(tokenise, PIECES_DDL + (", ids binary" if with_ids else ""))
 
 
 def best_fit(demands: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str) -> tuple[np.ndarray, int]:
@@ -158,14 +165,17 @@ def pack(
     pieces or ``max_cost`` squared tokens; a piece that alone exceeds a capacity raises.
     Groups go by ``piece_no``, a number fixed in a written table, so repeated rows and null
     ids are spread like others; without that column the pieces are written with one first.
+    Where the pieces have ``ids``, these come last in the result.
     """
     if "piece_no" not in cut_pieces.columns:
         cut_pieces = stored(cut_pieces.withColumn("piece_no", F.monotonically_increasing_id()), "numbered-pieces")
+    with_ids = IDS.name in cut_pieces.columns
     count = cut_pieces.count()
     groups = max(1, -(-count // GROUP_PIECES))
     capacity = np.array([most, max_docs, max_cost], np.int64)
     weight = np.array(weights, float)
-    out = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    number = [pa.field("piece_no", pa.int64())] if with_ids else []
+    out = pa.schema([*PIECES, *number, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def place(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
@@ -180,23 +190,30 @@ def pack(
         new = np.r_[True, bins[order][1:] != bins[order][:-1]] if len(order) else np.zeros(0, bool)
         offset = np.empty_like(length)
         offset[order] = starts - np.maximum.accumulate(np.where(new, starts, 0)) if len(order) else starts
-        table = table.select(PIECES.names)
+        table = table.select(out.names[:-2])
         return table.append_column("sequence_id", pa.array(key[0].as_py() * (1 << 32) + bins)).append_column("offset", pa.array(offset)).cast(out)
 
-    grouped = cut_pieces.withColumn("pack_group", F.pmod(F.xxhash64("piece_no"), F.lit(groups))).drop("piece_no")
-    return grouped.groupBy("pack_group").applyInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    grouped = cut_pieces.select(*PIECES.names, "piece_no", F.pmod(F.xxhash64("piece_no"), F.lit(groups)).alias("pack_group"))
+    if not with_ids:
+        grouped = grouped.drop("piece_no")
+    placed = grouped.groupBy("pack_group").applyInArrow(
+        place, PIECES_DDL + (", piece_no long" if with_ids else "") + ", sequence_id long, offset long"
     )
+    if not with_ids:
+        return placed
+    return placed.join(cut_pieces.select("piece_no", IDS.name), "piece_no").drop("piece_no")
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: tuple, most: int = 1024, max_docs: int = 1024, max_cost: int | None = None, **options
+    docs: DataFrame, tokenizer: tuple, most: int = 1024, max_docs: int = 1024, max_cost: int | None = None, with_ids: bool = False, **options
 ) -> DataFrame:
     """Tokenise, cut and pack all documents.
 
     ``max_cost`` defaults to the cost of one document of full length, which the token
     capacity already implies; lower it to keep sequences of few long pieces apart. Null
     ids and repeated rows are documents of their own. The empty table gives no rows.
+    ``with_ids`` adds the token ids of every piece, so the rows of a sequence in the order
+    of ``offset`` are its tokens.
     """
-    made = stored(pieces(docs, tokenizer, most).withColumn("piece_no", F.monotonically_increasing_id()), "token-pieces")
+    made = stored(pieces(docs, tokenizer, most, with_ids=with_ids).withColumn("piece_no", F.monotonically_increasing_id()), "token-pieces")
     return pack(made, most, max_docs, max_cost or most * most, **options)

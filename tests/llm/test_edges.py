@@ -2,6 +2,8 @@
 
 import os
 import sys
+from array import array
+from collections import Counter
 
 import pytest
 
@@ -105,3 +107,30 @@ def test_copies_leave_one(spark, edge_docs, data):
     kept = ngram_join.one_of_each(edge_docs)
     plain = [r.doc_id for r in kept.collect() if r.text and r.text.startswith("A plain")]
     assert plain == [5]
+
+
+def test_packed_sequences_hold_their_tokens(spark, data):
+    """Texts that share an id, as the mix makes them, come back from the sequences token by token."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [(1, "one text"), (1, "one text"), (1, "a run of its words"), (None, "no id <|endoftext|> here"), (2, ""), (3, None), (4, "many words " * 1_500)]
+    texts += [(5, f"short text {i}") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, data)
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
+    assert packed.where("crc32(ids) <> ids_crc32 OR length(ids) <> 4 * length OR ids IS NULL").count() == 0
+    sequences = {}
+    for r in packed.orderBy("sequence_id", "offset").collect():
+        held = sequences.setdefault(r.sequence_id, [])
+        assert r.offset == len(held)
+        held.extend(array("I", r.ids))
+    assert all(len(held) <= catalog.SEQUENCE_TOKENS for held in sequences.values())
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for _, text in texts:
+        ids = [*bpe.encode(text or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        want.update([tuple(ids[:first]), *(tuple(ids[s : s + 1024]) for s in range(first, len(ids), 1024))])
+    places = packed.select("sequence_id", "offset", "length").collect()
+    assert Counter(tuple(sequences[s][o : o + n]) for s, o, n in places) == want
